@@ -1,6 +1,6 @@
 """Query catalogue. Importing the package registers every query."""
 
-from . import q_slice  # noqa: F401
+from . import q_slice, q_sources, q_functions  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

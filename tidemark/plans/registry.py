@@ -24,3 +24,15 @@ def query(name, sql=None):
         return fn
 
     return deco
+
+
+def r6(df, digits=6):
+    """Round every double column, so both engines agree on the last digits of sums."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema if f.dataType.typeName() == "double"})
+
+
+def R(expr, digits=6):
+    """The same rounding in the oracle (adding zero turns -0.0 into 0.0)."""
+    return f"(round({expr}, {digits}) + 0e0)"

@@ -142,7 +142,7 @@ CTES = {
     "sales": """SELECT c_nationkey AS series_id, date_trunc('day', o_orderdate) AS ts, count(*) AS n,
         CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) AS cents
         FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
-    "ensembles": """SELECT vec_id, list_transform(embedding, v -> round(CAST(v AS DOUBLE)*40 + 50, 4)) AS members,
+    "ensembles": """SELECT vec_id, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE)*40 + 50, 4)) AS members,
         40e0 + label*5e0 AS y FROM embeddings""",
 }
 
