@@ -50,7 +50,7 @@ def asof_nearest(left, right, keys, left_ts, right_ts, tolerance_s, splits=64) -
     rcols = [c for c in right.columns if c not in keys]
     out = left.withColumn("_us", epoch_us(left_ts)).join(found, [*keys, "_us"], "left")
     tagged = right.withColumn("_match", epoch_us(right_ts))
-    return out.join(tagged, [*keys, "_match"], "left").select(*[left[c] for c in left.columns], *[tagged[c] for c in rcols])
+    return out.join(tagged, [*keys, "_match"], "left").select(*left.columns, *rcols)
 
 
 def calendar_lookup(df, table, parts: dict, keys=()) -> DataFrame:

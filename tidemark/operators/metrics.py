@@ -108,11 +108,11 @@ def event_block_metrics(blocks: DataFrame, keys) -> DataFrame:
         F.avg(F.when(a > 0, F.abs(b - a))).alias("cond_dur_mae_h"))
 
 
-def lead_time(df: DataFrame, keys, threshold="threshold", cut="cut", y="y_true", p="y_pred", ts="valid_ts", hours=72) -> DataFrame:
-    """Earliest alarm valid in the ``hours`` before each onset.
+def onset_leads(df: DataFrame, keys, threshold="threshold", cut="cut", y="y_true", p="y_pred", ts="valid_ts", hours=72) -> DataFrame:
+    """One row per onset with the hours since the earliest alarm valid in the ``hours`` before it.
 
     An onset is an exceeding hour whose previous hour did not exceed (or was not observed).
-    Onsets in a key's first ``hours`` have no full look-back: they count, but cannot be warned.
+    Onsets in a key's first ``hours`` have no full look-back: their lead is null.
     """
     ok = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(
         *keys, ts, (F.col(y) >= F.col(threshold)).alias("_a"), (F.col(p) >= F.col(cut)).alias("_b"))
@@ -123,11 +123,15 @@ def lead_time(df: DataFrame, keys, threshold="threshold", cut="cut", y="y_true",
         return {"_prev": f.at("_a", -1), "_first": F.min(F.when(F.col("_b"), F.col("_e"))).over(f.between(-hours, -1))}
 
     rows = windowed(ok, keys, make, ts, back=hours).where(F.col("_a") & ~F.coalesce("_prev", F.lit(False)))
-    onset = rows.join(start, keys)
     late = (e - F.col("_start")) >= hours * HOUR
-    lead = F.when(late, (e - F.col("_first")) / HOUR)
-    per = onset.groupBy(*keys).agg(F.count("*").alias("n_onset"), F.count(lead).alias("n_warned"), F.avg(lead).alias("mean_lead_h"))
-    out = start.select(*keys).join(per, keys, "left")
+    return rows.join(start, keys).select(*keys, ts, F.when(late, (e - F.col("_first")) / HOUR).alias("lead_h"))
+
+
+def lead_time(df: DataFrame, keys, **names) -> DataFrame:
+    """Onsets, warned onsets, detection rate and mean lead per key (zero onsets included)."""
+    per = onset_leads(df, keys, **names).groupBy(*keys).agg(
+        F.count("*").alias("n_onset"), F.count("lead_h").alias("n_warned"), F.avg("lead_h").alias("mean_lead_h"))
+    out = df.select(*keys).distinct().join(per, keys, "left")
     return out.select(
         *keys, F.coalesce("n_onset", F.lit(0)).cast("long").alias("n_onset"),
         F.coalesce("n_warned", F.lit(0)).cast("long").alias("n_warned"),

@@ -40,7 +40,7 @@ LEAD_SQL = """onset AS (SELECT t.*, (SELECT count(*) FROM test q WHERE q.series_
         AND q.threshold = o.threshold AND q.valid_ts < o.valid_ts AND q.valid_ts >= o.valid_ts - INTERVAL 72 HOUR AND q.y_pred >= q.cut) AS first_ts
     FROM onset o JOIN (SELECT series_id, model, horizon_h, threshold, min(valid_ts) AS start_ts FROM test GROUP BY ALL) s
       USING (series_id, model, horizon_h, threshold) WHERE prev = 0),
-  leads AS (SELECT series_id, model, horizon_h, threshold, CASE WHEN valid_ts - start_ts >= INTERVAL 72 HOUR
+  leads AS (SELECT series_id, model, horizon_h, threshold, valid_ts, CASE WHEN valid_ts - start_ts >= INTERVAL 72 HOUR
       THEN (epoch(valid_ts) - epoch(first_ts)) / 3600e0 END AS lead_h FROM led)"""
 
 query("slice0_alarm_scorecard", f"""WITH {CUTS_SQL}, {TEST_SQL}, {BLOCK_SQL}, {LEAD_SQL},
