@@ -59,6 +59,21 @@ def l2(t):
     return weights(fit(feats(t)))
 
 
+TWO = X.FeatureSpec(drivers=("t_c", "rh"), lags=1, windows=(), slow=False, ratio=False)
+TWO_SQL = f"""WITH z AS (SELECT series_id, ts, (t_c - avg(t_c) OVER ())/stddev_pop(t_c) OVER () AS z1, (rh - avg(rh) OVER ())/stddev_pop(rh) OVER () AS z2 FROM met WHERE ts < TIMESTAMP '2024-01-11'),
+    m AS (SELECT h.horizon_h, count(*) AS n, avg(z1) AS m1, avg(z2) AS m2, avg(f.y) AS my, var_pop(z1) + 0.5 AS c11, var_pop(z2) + 0.5 AS c22, covar_pop(z1, z2) AS c12, covar_pop(f.y, z1) AS c1, covar_pop(f.y, z2) AS c2
+      FROM z CROSS JOIN (SELECT unnest([0, 24, 48, 72]) AS horizon_h) h JOIN met f ON f.series_id = z.series_id AND f.ts = z.ts + to_hours(h.horizon_h) GROUP BY 1),
+    w AS (SELECT *, (c1*c22 - c2*c12)/(c11*c22 - c12*c12) AS w1, (c2*c11 - c1*c12)/(c11*c22 - c12*c12) AS w2 FROM m)
+    SELECT horizon_h, n, {R('w1')} AS w1, {R('w2')} AS w2, {R('my - w1*m1 - w2*m2')} AS b0 FROM w"""
+
+
+@query("l2_two_driver_ridge", TWO_SQL)
+def l2b(t):
+    """Two drivers: the solve has a closed form, so SQL can check the moments and the missing labels."""
+    m = fit(feats(t, HS, TWO))
+    return r6(m.select("horizon_h", "n", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
+
+
 @query("l3_expectile")
 def l3(t):
     m = L.fit_reweighted(feats(t, (24,)).where(IS_TRAIN), (24,), (0.9, 0.95), kind="expectile")
@@ -144,13 +159,19 @@ def l11(t):
     return r6(p.select("series_id", "ts", "y_true", "y_pred"), 5)
 
 
-@query("l11_daily_anchor")
+@query("l11_daily_anchor", f"""WITH ar AS ({AR}), o AS (SELECT m.series_id, m.ts, date_trunc('day', m.ts) AS t0, hour(m.ts) + 6 AS s FROM met m),
+    g AS (SELECT o.*, j.j, x.rh, a.y AS y0 FROM o JOIN (SELECT unnest(range(1, 30)) AS j) j ON j.j <= o.s JOIN met x ON x.series_id = o.series_id AND x.ts = o.t0 + to_hours(CAST(j.j - 3 AS INT)) JOIN met a ON a.series_id = o.series_id AND a.ts = o.t0)
+    SELECT g.series_id, g.ts, 6 AS horizon_h, f.y AS y_true, {R('pow(any_value(a), s)*any_value(g.y0) + sum(pow(a, s - j)*(b*g.rh + c))', 5)} AS y_pred FROM g JOIN ar USING (series_id)
+    JOIN met f ON f.series_id = g.series_id AND f.ts = g.ts + INTERVAL 6 HOUR GROUP BY g.series_id, g.ts, f.y, s HAVING count(*) = s""")
 def l11b(t):
     m = t.met_core()
     return r6(L.transfer_reanchored(m, stage(L.autoregressive(m, S, "rh", "y", 3)), S, "rh", "y", 6, 3, rebase=24), 5)
 
 
-@query("l12_recursive_rollout")
+@query("l12_recursive_rollout", f"""WITH RECURSIVE ar AS ({AR}), o AS (SELECT m.series_id, m.ts, m.y, m.rh, a, b, c, row_number() OVER (PARTITION BY m.series_id ORDER BY m.ts) AS rn FROM met m JOIN ar USING (series_id)),
+    rec AS (SELECT series_id, ts, rn, y AS y_true, a*y + b*rh + c AS y_pred FROM o WHERE rn = 1
+      UNION ALL SELECT o.series_id, o.ts, o.rn, o.y, o.a*rec.y_pred + o.b*o.rh + o.c FROM rec JOIN o ON o.series_id = rec.series_id AND o.rn = rec.rn + 1)
+    SELECT series_id, ts, y_true, {R('y_pred', 5)} AS y_pred FROM rec""")
 def l12(t):
     m = t.met_core()
     return r6(L.recursive_rollout(m, stage(L.autoregressive(m, S, "rh", "y", 3)), S, "rh", "y", chunk_hours=240), 5)
@@ -240,7 +261,10 @@ def l19(t):
 @query("l20_trajectory_readout")
 def l20(t):
     """Same-hour readout applied at the valid time, where the drivers of that time are known."""
-    f = feats(t, (0,))
+    return trajectory(feats(t, (0,)))
+
+
+def trajectory(f):
     m = fit(f, (0,)).select("model_id", "w_raw", "b_raw")
     now = L.score(f.select("model_id", "series_id", F.col("ts").alias("valid_ts"), "psi", F.get("labels", F.lit(0)).alias("y_true")), m, ["model_id"])
     origin = f.where("split = 'test'").select("series_id", F.col("ts").alias("origin_ts"), F.explode(F.array(F.lit(24), F.lit(48))).alias("horizon_h"))
@@ -259,6 +283,59 @@ def s9(t):
     return r6(m.select("fingerprint", "horizon_h", F.lit(hit1).alias("first_hit"), F.lit(hit2).alias("second_hit"), F.posexplode("w").alias("idx", "w")))
 
 
+# ---- two-driver variants with a closed form in SQL ------------------------------------------
+
+SPLIT = "CASE WHEN {0} < TIMESTAMP '2024-01-11' THEN 'train' WHEN {0} < TIMESTAMP '2024-01-21' THEN 'val' ELSE 'test' END"
+ZZ = f"""zz AS (SELECT m.series_id, m.ts, m.y, {SPLIT.format('m.ts')} AS split, (t_c - mu1)/sd1 AS z1, (rh - mu2)/sd2 AS z2 FROM met m CROSS JOIN
+    (SELECT avg(t_c) AS mu1, stddev_pop(t_c) AS sd1, avg(rh) AS mu2, stddev_pop(rh) AS sd2 FROM met WHERE ts < TIMESTAMP '2024-01-11') s)"""
+MOM = "count(*) AS n, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my, var_pop(z1) AS v1, var_pop(z2) AS v2, covar_pop(z1, z2) AS c12, covar_pop(y, z1) AS c1, covar_pop(y, z2) AS c2"
+W1 = "(c1*(v2 + {b}) - c2*c12)/((v1 + {b})*(v2 + {b}) - c12*c12)"
+W2 = "(c2*(v1 + {b}) - c1*c12)/((v1 + {b})*(v2 + {b}) - c12*c12)"
+
+
+@query("l6_two_driver_beta", f"""WITH {ZZ}, lb AS (SELECT zz.split, z1, z2, f.y FROM zz JOIN met f ON f.series_id = zz.series_id AND f.ts = zz.ts + INTERVAL 24 HOUR), mo AS (SELECT {MOM} FROM lb WHERE split = 'train'),
+    w AS (SELECT beta, {W1.format(b='beta')} AS w1, {W2.format(b='beta')} AS w2, m1, m2, my FROM mo CROSS JOIN (SELECT unnest([0.01e0, 1e0, 10e0]) AS beta)),
+    v AS (SELECT beta, 1 - avg(pow(y - my - w1*(z1 - m1) - w2*(z2 - m2), 2))/var_pop(y) AS val_r2 FROM lb CROSS JOIN w WHERE split = 'val' GROUP BY 1)
+    SELECT 24 AS horizon_h, beta, {R('val_r2')} AS val_r2, (SELECT arg_max(beta, val_r2) FROM v) AS best_beta FROM v""")
+def l6b(t):
+    return r6(L.select_beta(feats(t, (24,), TWO), ["model_id"], (24,), (0.01, 1.0, 10.0)).select("horizon_h", "beta", "val_r2", "best_beta"))
+
+
+@query("l7_two_driver_qr", f"""WITH s AS (SELECT series_id, avg(t_c) AS mu1, stddev_pop(t_c) AS sd1, avg(rh) AS mu2, stddev_pop(rh) AS sd2 FROM met WHERE ts < TIMESTAMP '2024-01-11' GROUP BY 1),
+    mo AS (SELECT series_id, {MOM} FROM (SELECT m.series_id, (t_c - mu1)/sd1 AS z1, (rh - mu2)/sd2 AS z2, y FROM met m JOIN s USING (series_id) WHERE ts < TIMESTAMP '2024-01-11') GROUP BY 1)
+    SELECT series_id, n, {R(W1.format(b='0.25e0'))} AS w1, {R(W2.format(b='0.25e0'))} AS w2, {R('my')} AS b0 FROM mo""")
+def l7b(t):
+    f = feats(t, (0,), TWO, key="series_id").withColumn("y", F.get("labels", F.lit(0))).where(IS_TRAIN)
+    m = L.ridge_by_qr(f, S, 0.25)
+    return r6(m.select("series_id", "n", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
+
+
+@query("l8_two_driver_hour", f"""WITH {ZZ}, mo AS (SELECT {MOM} FROM zz WHERE split = 'train') SELECT n, {R(W1.format(b='1e0/n'))} AS w1, {R(W2.format(b='1e0/n'))} AS w2, {R('n*my/(n + 1)')} AS b0 FROM mo""")
+def l8b(t):
+    m = fit(feats(t, (0,), TWO), (0,), beta=1.0, penalise_intercept=True, normalise=False)
+    return r6(m.select("n", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
+
+
+@query("l14_two_driver_rollout", f"""WITH z AS (SELECT series_id, ts, y, (t_c - avg(t_c) OVER w)/stddev_pop(t_c) OVER w AS z1, (rh - avg(rh) OVER w)/stddev_pop(rh) OVER w AS z2 FROM met WHERE ts < TIMESTAMP '2024-01-11' WINDOW w AS (PARTITION BY series_id)),
+    mo AS (SELECT series_id, {MOM} FROM z GROUP BY 1), r AS (SELECT series_id, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, my FROM mo),
+    g AS (SELECT a.series_id, avg(a.z1*a.z1) + 0.5 AS a11, avg(a.z2*a.z2) + 0.5 AS a22, avg(a.z1*a.z2) AS a12, avg(a.z1*b.z1) AS b11, avg(a.z1*b.z2) AS b12, avg(a.z2*b.z1) AS b21, avg(a.z2*b.z2) AS b22
+      FROM z a JOIN z b ON b.series_id = a.series_id AND b.ts = a.ts + INTERVAL 1 HOUR GROUP BY 1),
+    k AS (SELECT series_id, (a22*b11 - a12*b21)/d AS k11, (a11*b21 - a12*b11)/d AS k12, (a22*b12 - a12*b22)/d AS k21, (a11*b22 - a12*b12)/d AS k22 FROM (SELECT *, a11*a22 - a12*a12 AS d FROM g)),
+    h1 AS (SELECT series_id, w1*k11 + w2*k21 AS u1, w1*k12 + w2*k22 AS u2, my, k11, k12, k21, k22 FROM r JOIN k USING (series_id))
+    SELECT series_id, 1 AS horizon_h, {R('u1')} AS w1, {R('u2')} AS w2, {R('my')} AS b0 FROM h1 UNION ALL SELECT series_id, 2, {R('u1*k11 + u2*k21')}, {R('u1*k12 + u2*k22')}, {R('my')} FROM h1""")
+def l14b(t):
+    """Rolled readouts w'K and w'K^2; the transition comes from moments of consecutive hours."""
+    m = L.fit_transition(feats(t, (0,), TWO, key="series_id").where(IS_TRAIN), S, (1, 2))
+    return r6(m.select("series_id", "horizon_h", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
+
+
+@query("l20_two_driver_trajectory", f"""WITH {ZZ}, mo AS (SELECT {MOM} FROM zz WHERE split = 'train'), w AS (SELECT {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, my FROM mo),
+    p AS (SELECT h.horizon_h, f.y AS y_true, my + w1*f.z1 + w2*f.z2 AS y_pred FROM zz o CROSS JOIN (SELECT unnest([24, 48]) AS horizon_h) h JOIN zz f ON f.series_id = o.series_id AND f.ts = o.ts + to_hours(h.horizon_h) CROSS JOIN w WHERE o.split = 'test')
+    SELECT horizon_h, count(*) AS n, {R('sqrt(avg((y_pred-y_true)*(y_pred-y_true)))', 5)} AS rmse, {R('1 - avg((y_pred-y_true)*(y_pred-y_true))/var_pop(y_true)', 5)} AS r2 FROM p GROUP BY 1""")
+def l20b(t):
+    return trajectory(feats(t, (0,), TWO))
+
+
 # ---- domains ------------------------------------------------------------------------------
 
 TASK = ["horizon_h"]
@@ -304,7 +381,13 @@ def arm_scores(t, arms, coord="mean", **kw):
     return r6(s.select("horizon_h", "coord", "domain", "arm", "n", "beta", "inner_risk", "r2", "rmse", "nrmse", "error"), 5)
 
 
-@query("d1_domain_moments")
+SITE_ROWS = """site AS (SELECT *, (rh + u)/2 AS y FROM (SELECT 'site' || (user_id % 8) AS domain, date_trunc('hour', ts) AS ts, avg(CAST(regexp_extract(props,'[0-9]+') AS DOUBLE)) AS rh, avg(user_id % 100) AS u FROM events GROUP BY 1, 2)),
+    ok AS (SELECT domain, ts, row_number() OVER (PARTITION BY domain ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n_rows FROM (SELECT domain, ts, count(*) OVER (PARTITION BY domain ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW) AS c FROM site) WHERE c = 3),
+    lab AS (SELECT CASE WHEN pos < floor(n_rows*0.6) THEN 'train' WHEN pos < floor(n_rows*0.6) + floor(n_rows*0.2) THEN 'val' ELSE 'test' END AS split, ok.domain, h.horizon_h, f.y FROM ok CROSS JOIN (SELECT unnest([0, 6]) AS horizon_h) h
+      JOIN site f ON f.domain = ok.domain AND f.ts = ok.ts + to_hours(h.horizon_h))"""
+
+
+@query("d1_domain_moments", f"WITH {SITE_ROWS} SELECT horizon_h, domain, split, count(*) AS n, {R('avg(y*y)', 4)} AS mean_y2, {R('avg(y)', 4)} AS mean_y FROM lab WHERE split <> 'test' GROUP BY 1, 2, 3")
 def d1(t):
     """Rows, mean squared label and the label mean per domain and split, from the moment rows."""
     _, mom = D.domain_moments(site_rows(t)[1], TASK)
