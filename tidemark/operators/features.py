@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import HOUR, calendar_encoding, epoch_s
-from ..functions.physics import MAGNUS_SONNTAG, clip, saturation_density, saturation_pa, vapour_density
-from .chunks import windowed
+from ..functions.physics import (KELVIN, MAGNUS_ALDUCHOV, MAGNUS_SONNTAG, R_VAPOUR, clip, saturation_density,
+                                 saturation_pa, vapour_density)
+from .chunks import windowed, with_halo
 
 
 @dataclass(frozen=True)
@@ -54,45 +57,116 @@ def slow_ratio(q_mean, t_mean) -> Column:
     return clip(q_mean / saturation_density(t_mean) * 100.0, 0, 120)
 
 
-def lag_list(f, drivers, lags) -> Column:
-    """Flat lag vector, lag-major with lag 0 first; null unless every hour of the window is present."""
-    seen = F.collect_list(F.struct(*drivers)).over(f.between(-(lags - 1), 0))
-    flat = F.flatten(F.transform(F.reverse(seen), lambda s: F.array(*[s[d].cast("double") for d in drivers])))
-    return F.when((F.size(seen) == lags) & ~F.exists(flat, lambda v: v.isNull()), flat)
+class Block:
+    """One (series, chunk) with its halo as dense arrays on the time step; gaps are NaN."""
 
+    def __init__(self, table, step):
+        e = table.column("_e").to_numpy()
+        self.order = np.argsort(e, kind="stable")
+        self.table = table.take(pa.array(self.order))
+        e = e[self.order]
+        if ((e - e[0]) % step).any():
+            raise ValueError("rows are not on the time step; floor the timestamps first")
+        self.pos = (e - e[0]) // step
+        self.size = int(self.pos[-1]) + 1
+        self.home = self.table.column("_chunk").to_numpy() == self.table.column("_home").to_numpy()
 
-def build_features(df, keys, spec: FeatureSpec = FeatureSpec(), ts="ts", carry=(), chunk=None, keep_warm=False) -> DataFrame:
-    """Rows ``(keys, ts, carry…, psi)``; rows without a full window are dropped unless ``keep_warm``."""
-    needs_q = spec.slow and spec.ratio or spec.ratio
-    src = df.withColumn("_q", vapour_density("rh", "t_c")) if needs_q else df
+    def dense(self, name):
+        out = np.full(self.size, np.nan)
+        out[self.pos] = self.table.column(name).to_numpy().astype(float)
+        return out
 
-    def make(f):
-        cols = {"_lags": lag_list(f, spec.drivers, spec.lags)}
+    def lags(self, names, n):
+        """(rows, n * drivers): lag-major, lag 0 first; NaN before the start and in gaps."""
+        pad = np.full((n - 1, len(names)), np.nan)
+        seq = np.vstack([pad, np.column_stack([self.dense(c) for c in names])])
+        win = np.lib.stride_tricks.sliding_window_view(seq, n, axis=0)[self.pos]
+        return win[:, :, ::-1].transpose(0, 2, 1).reshape(len(self.pos), -1)
+
+    def mean(self, name, w, strict=False):
+        x = self.dense(name)
+        ok = np.isfinite(x)
+        shift = x[ok].mean() if ok.any() else 0.0  # keeps the running sums small
+        total = np.concatenate([[0.0], np.cumsum(np.where(ok, x - shift, 0.0))])
+        count = np.concatenate([[0], np.cumsum(ok)])
+        hi = self.pos + 1
+        lo = np.maximum(hi - w, 0)
+        n = count[hi] - count[lo]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m = (total[hi] - total[lo]) / n + shift
+        return np.where(n == w, m, np.nan) if strict else m
+
+    def ahead(self, name, steps):
+        x = np.concatenate([self.dense(name), np.full(max(steps) + 1, np.nan)])
+        return x[self.pos[:, None] + np.asarray(steps)[None, :]]
+
+    def output(self, columns, vectors, keep):
+        rows = self.table.select(columns).filter(pa.array(keep))
+        for name, values in vectors.items():
+            flat = np.ascontiguousarray(values[keep])
+            n, p = flat.shape
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * p)
+            rows = rows.append_column(name, pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), from_pandas=True)))
+        return rows
+
+
+def in_blocks(df, keys, columns, names, make, ts, back, ahead, step, chunk):
+    """Append vectors: ``make(block)`` gives ({name: matrix}, rows to keep) per (series, chunk)."""
+    halo = with_halo(df, ts, back, ahead, step, chunk)
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(table):
+        blk = Block(table, step)
+        vectors, keep = make(blk)
+        return blk.output(columns, vectors, keep & blk.home)
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in columns] + [f"{n} ARRAY<DOUBLE>" for n in names])
+    # The output is many times wider than the input: an explicit partition count keeps AQE from
+    # merging small-looking input partitions into one task.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return halo.repartition(n, *keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(run, schema)
+
+
+def build_features(df, keys, spec: FeatureSpec = FeatureSpec(), ts="ts", carry=(), chunk=None, keep_warm=False, labels=None) -> DataFrame:
+    """Rows ``(keys, ts, carry…, psi)``; rows without a full window are dropped unless ``keep_warm``.
+
+    ``labels=(target, horizons)`` adds the target's leads as an array from the same block, which
+    saves the join of two wide tables.
+
+    Spark cuts and shuffles the series into bounded (series, chunk) blocks with a halo; inside a
+    block the vectors are built as Arrow arrays. ``df`` is unique on (keys, ts).
+    """
+    needs_q = spec.ratio
+    need = {*spec.drivers, *(spec.mean_of if spec.slow else ()), *(("t_c", "rh") if needs_q else ()),
+            *((labels[0],) if labels else ())}
+    src = df.select(*keys, ts, *[c for c in dict.fromkeys([*carry, *sorted(need)]) if c not in (*keys, ts)])
+    if needs_q:
+        src = src.withColumn("_q", vapour_density("rh", "t_c"))
+
+    def make(b):
+        parts = [b.lags(spec.drivers, spec.lags)]
         if spec.slow:
-            for w in spec.windows:
-                for c in spec.mean_of:
-                    cols[f"{c}_ma{w}"] = moving_means(f, c, w, spec.strict)
+            parts += [b.mean(c, w, spec.strict)[:, None] for w in spec.windows for c in spec.mean_of]
         if needs_q:
-            for w in spec.windows:
-                cols[f"q_ma{w}"] = moving_means(f, "_q", w, spec.strict)
-                if "t_c" not in spec.mean_of or not spec.slow:
-                    cols[f"t_c_ma{w}"] = moving_means(f, "t_c", w, spec.strict)
-        return cols
-
+            q = {w: b.mean("_q", w, spec.strict) for w in spec.windows}
+            if spec.slow:
+                parts += [q[w][:, None] for w in spec.windows]
+            parts += [ratio_of_means(q[w], b.mean("t_c", w, spec.strict))[:, None] for w in spec.windows]
+        psi = np.hstack(parts)
+        out = {"psi": psi} | ({"labels": b.ahead(*labels)} if labels else {})
+        return out, np.ones(len(psi), bool) if keep_warm else np.isfinite(psi).all(axis=1)
+
+    names = ["psi", "labels"] if labels else ["psi"]
+    ahead = max(labels[1]) if labels else 0
     back = max([spec.lags, *(spec.windows if spec.slow or spec.ratio else ())])
-    out = windowed(src, keys, make, ts, back=back, step=spec.step, chunk=chunk)
-    tail = []
-    if spec.slow:
-        tail += [F.col(f"{c}_ma{w}") for w in spec.windows for c in spec.mean_of]
-    if spec.slow and spec.ratio:
-        tail += [F.col(f"q_ma{w}") for w in spec.windows]
-    if spec.ratio:
-        tail += [slow_ratio(F.col(f"q_ma{w}"), F.col(f"t_c_ma{w}")) for w in spec.windows]
-    psi = F.concat("_lags", F.array(*tail)) if tail else F.col("_lags")
-    out = out.select(*keys, ts, *carry, psi.alias("psi"))
-    if keep_warm:
-        return out
-    return out.where(F.col("psi").isNotNull() & ~F.exists("psi", lambda v: v.isNull()))
+    return in_blocks(src, keys, [*keys, ts, *carry], names, make, ts, back, ahead, spec.step, chunk)
+
+
+def ratio_of_means(q, t):
+    """``slow_ratio`` on arrays."""
+    scale, slope, offset = MAGNUS_ALDUCHOV
+    rho = scale * np.exp(slope * t / (offset + t)) / (R_VAPOUR * (t + KELVIN))
+    return np.clip(q / rho * 100.0, 0.0, 120.0)
 
 
 SITE_SPEC = FeatureSpec(drivers=("t_c", "rh"), lags=24, windows=(6, 24, 72), ratio=False, strict=True, mean_of=("t_c", "rh"))
@@ -121,10 +195,8 @@ def feature_subset(psi, names, keep) -> Column:
 
 def target_leads(df, keys, target, horizons, ts="ts", step=HOUR, chunk=None) -> DataFrame:
     """Array ``labels``: the target at each horizon, null where that time is not observed."""
-    def make(f):
-        return {"labels": F.array(*[f.at(target, h) if h else F.col(target) for h in horizons])}
-
-    return windowed(df, keys, make, ts, ahead=max([1, *horizons]), step=step, chunk=chunk)
+    return in_blocks(df, keys, df.columns, ["labels"], lambda b: ({"labels": b.ahead(target, horizons)}, np.ones(len(b.pos), bool)),
+                     ts, 0, max([1, *horizons]), step, chunk)
 
 
 def future_max(df, keys, col, hours, ts="ts", name="future_max") -> DataFrame:

@@ -41,27 +41,48 @@ def prepare(feats: DataFrame, keys, train=None):
     return standardise_vectors(feats, stats, keys), stats
 
 
+def standardised(G):
+    """Mean and deviation held in a moment matrix of ``[psi, 1]``, and the map of moments to that scale."""
+    def scaled(S, mu, sigma):
+        T = np.diag(np.append(1.0 / sigma, 1.0))
+        T[-1, :-1] = -mu / sigma
+        return T.T @ S[0] @ T, T.T @ S[1]
+
+    n = G[-1, -1]
+    mu = G[-1, :-1] / n
+    var = np.diag(G)[:-1] / n - mu * mu
+    # A constant column leaves only rounding noise in var.
+    sigma = np.sqrt(np.where(var > 1e-12 * np.maximum(mu * mu, 1e-12), var, 1.0))
+    return mu, sigma, lambda S: scaled(S, mu, sigma)
+
+
 def fit_ridge(feats: DataFrame, keys, horizons, beta=0.5, penalise_intercept=False, normalise=True) -> DataFrame:
-    """One weight vector per (key, horizon) from a single moment pass.
+    """One weight vector per (key, horizon) from a single pass over the training rows.
 
-    ``feats`` holds ``psi`` and ``labels`` (one entry per horizon) for the training rows.
+    ``feats`` holds ``psi`` and ``labels`` (one entry per horizon). Means and deviations come from
+    the same moment matrix, so the features are read once and never standardised row by row.
     """
-    z, stats = prepare(feats, keys)
-    g = grams(z, keys)
+    g = grams(feats, keys, z="psi")
 
     def solve(pdf):
         key = {k: pdf[k].iloc[0] for k in keys}
+        shared = np.vstack(pdf[pdf["h"] == -1].sort_values("i")["g"].to_list())
+        mu, sigma, scale = standardised(shared)
         rows = []
         for h, (G, b, _) in zip(horizons, unpack(pdf, len(horizons))):
             n = G[-1, -1]
             if n < 2:
                 continue
+            G, b = scale((G, b))
             w = ridge(G, b, n, beta, penalise_intercept, normalise)
-            rows.append({**key, "horizon_h": h, "beta": beta, "n": int(round(n)), "w": w[:-1], "b0": float(w[-1])})
-        return pd.DataFrame(rows, columns=[*keys, "horizon_h", "beta", "n", "w", "b0"])
+            raw = w[:-1] / sigma
+            rows.append({**key, "horizon_h": h, "beta": beta, "n": int(round(n)), "mu": mu, "sigma": sigma, "w": w[:-1], "b0": float(w[-1]),
+                         "w_raw": raw, "b_raw": float(w[-1] - raw @ mu)})
+        return pd.DataFrame(rows, columns=[*keys, "horizon_h", "beta", "n", "mu", "sigma", "w", "b0", "w_raw", "b_raw"])
 
-    schema = f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, w ARRAY<DOUBLE>, b0 DOUBLE"
-    return _raw(g.groupBy(*keys).applyInPandas(solve, schema), stats, keys)
+    schema = (f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, mu ARRAY<DOUBLE>, sigma ARRAY<DOUBLE>, w ARRAY<DOUBLE>, b0 DOUBLE, "
+              "w_raw ARRAY<DOUBLE>, b_raw DOUBLE")
+    return g.groupBy(*keys).applyInPandas(solve, schema)
 
 
 def score(feats: DataFrame, models: DataFrame, keys, psi="psi", clip=None, carry=()) -> DataFrame:

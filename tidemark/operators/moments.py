@@ -93,8 +93,8 @@ def grams(df: DataFrame, keys, z="z", labels="labels") -> DataFrame:
                 cross = np.column_stack([y0.T @ a, (y0 * y0).sum(axis=0)])
                 for h in range(y.shape[1]):
                     _add(acc, (key, 2 * h), cross[h : h + 1])
-                    if not ok[:, h].all():
-                        gone = a[~ok[:, h]]
+                    gone = a[~ok[:, h]]
+                    if len(gone):
                         _add(acc, (key, 2 * h + 1), gone.T @ gone)
             if len({k for k, _ in acc}) > MAX_OPEN_KEYS:
                 yield from _emit(keys, acc)

@@ -25,8 +25,7 @@ IS_TRAIN = "split = 'train'"
 def feats(t, horizons=HS, spec=SPEC, key="model_id"):
     """Features and leads of every series, pooled under one model key or one per series."""
     m = t.met()
-    lead = X.target_leads(m.select("series_id", "ts", "y"), S, "y", horizons)
-    f = X.build_features(m, S, spec).join(lead, ["series_id", "ts"]).withColumn("split", split_of("ts"))
+    f = X.build_features(m, S, spec, labels=("y", horizons)).withColumn("split", split_of("ts"))
     return stage(f.withColumn("model_id", F.lit("pooled")) if key == "model_id" else f)
 
 
@@ -283,6 +282,43 @@ def s9(t):
     return r6(m.select("fingerprint", "horizon_h", F.lit(hit1).alias("first_hit"), F.lit(hit2).alias("second_hit"), F.posexplode("w").alias("idx", "w")))
 
 
+# ---- the full 258-column feature vector and all 73 horizons ---------------------------------
+
+FULL = X.FeatureSpec(windows=(7, 14, 30, 90, 180, 365), step=DAY)
+FIVE = ("t_c", "rh", "rain", "wind", "p_hpa")
+WF = {w: f"(PARTITION BY series_id ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (48, *FULL.windows)}
+RHO = "(610.94e0*exp(17.625e0*{0}/(243.04e0+{0}))/(461.5e0*({0}+273.15e0)))"
+FULL_SQL = f"""WITH d AS (SELECT *, rh/100e0*{RHO.format('t_c')} AS q FROM depots), m AS (SELECT series_id, ts, count(*) OVER {WF[48]} AS n, {' + '.join(f'sum({c}) OVER {WF[48]}' for c in FIVE)} AS lags,
+    {', '.join(f'avg(t_c) OVER {WF[w]} AS t{w}, avg(q) OVER {WF[w]} AS q{w}' for w in FULL.windows)} FROM d)
+    SELECT series_id, count(*) AS n_rows, {R('avg(lags)', 4)} AS lags, {R('avg(' + ' + '.join(f't{w} + q{w}' for w in FULL.windows) + ')', 5)} AS slow,
+    {R('avg(' + ' + '.join(f"least(q{w}/{RHO.format(f't{w}')}*100e0, 120e0)" for w in FULL.windows) + ')', 5)} AS ratio FROM m WHERE n = 48 GROUP BY 1"""
+
+
+def full_features(t):
+    return X.build_features(t.depots(), S, FULL, carry=("y",))
+
+
+@query("w4_full_vector", FULL_SQL)
+def w4f(t):
+    """258 columns per row (240 lags, 12 slow means, 6 ratios), checked by sums per family."""
+    def total(lo, n):
+        return F.avg(F.aggregate(F.slice("psi", lo, n), F.lit(0.0), lambda a, v: a + v))
+
+    g = full_features(t).groupBy("series_id").agg(F.count("*").alias("n_rows"), F.round(total(1, 240), 4).alias("lags"),
+                                                  F.round(total(241, 12), 5).alias("slow"), F.round(total(253, 6), 5).alias("ratio"))
+    return g
+
+
+@query("l2_all_horizons")
+def l2f(t):
+    """73 readouts on 258 columns from one moment pass; scored against the next part in time."""
+    hs = tuple(range(73))
+    src = t.depots()
+    f = X.build_features(src, S, FULL, labels=("y", hs)).withColumn("model_id", F.lit("pooled"))
+    m = L.fit_ridge(f.where("year(ts) < 2000"), ["model_id"], hs)
+    return r6(m.select("horizon_h", "n", "b0", F.aggregate("w", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("l1_norm")))
+
+
 # ---- two-driver variants with a closed form in SQL ------------------------------------------
 
 SPLIT = "CASE WHEN {0} < TIMESTAMP '2024-01-11' THEN 'train' WHEN {0} < TIMESTAMP '2024-01-21' THEN 'val' ELSE 'test' END"
@@ -353,8 +389,7 @@ def sites(t):
 
 def site_rows(t, horizons=(0, 6)):
     m = sites(t)
-    lead = X.target_leads(m.select("domain", "ts", "y"), ["domain"], "y", horizons)
-    f = X.build_features(m, ["domain"], DSPEC).join(lead, ["domain", "ts"])
+    f = X.build_features(m, ["domain"], DSPEC, labels=("y", horizons))
     f = split_by_fraction(f, ["domain"]).select("domain", "ts", "split", "psi", F.posexplode("labels").alias("_i", "y"))
     return m, f.where("y IS NOT NULL").withColumn("horizon_h", F.get(F.array(*[F.lit(h) for h in horizons]), F.col("_i"))).drop("_i")
 
@@ -456,8 +491,7 @@ def d15(t):
     daily = t.orders.groupBy(day_floor("o_orderdate").alias("ts")).agg(F.count("*").cast("double").alias("n"), (F.sum("o_totalprice") / 1e6).alias("rev"))
     daily = stage(daily.withColumn("series_id", F.lit("all")))
     spec = X.FeatureSpec(drivers=("n", "rev"), lags=7, windows=(7, 30), ratio=False, mean_of=("n", "rev"), step=DAY)
-    lead = X.target_leads(daily.select("series_id", "ts", "n"), S, "n", (1, 7), step=DAY)
-    f = X.build_features(daily, S, spec).join(lead, ["series_id", "ts"])
+    f = X.build_features(daily, S, spec, labels=("n", (1, 7)))
     f = f.select(F.year("ts").cast("string").alias("domain"), "ts", "psi", F.posexplode("labels").alias("_i", "y"))
     f = f.withColumn("horizon_h", F.when(F.col("_i") == 0, 24).otherwise(168)).drop("_i")
     f = f.where((F.year("ts") == F.year(add_hours("ts", "horizon_h"))) & F.col("y").isNotNull())

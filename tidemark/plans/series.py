@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import add_hours, day_floor, hour_floor
-from ..operators.chunks import windowed
+from ..operators.chunks import complete_grid, windowed
 from ..session import prepare
 
 THRESHOLDS = (62.0, 67.0, 75.0)
@@ -96,6 +96,21 @@ class Tables:
         return (li.groupBy(F.col("l_suppkey").alias("series_id"), day_floor("l_shipdate").alias("ts"))
                 .agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"), F.count("*").alias("lines")))
 
+    def depots(self) -> DataFrame:
+        """Complete daily grid of 100 depots (suppliers modulo 100) with five weather-like drivers.
+
+        Days without a shipment count as zero, so the series have no gaps.
+        """
+        li = self.lineitem
+        cents = F.sum(F.round(F.col("l_discount") * 100).cast("long"))
+        d = (li.groupBy((F.col("l_suppkey") % 100).alias("series_id"), day_floor("l_shipdate").alias("ts"))
+             .agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("c"), cents.alias("d"),
+                  F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("x")))
+        g = complete_grid(d, ["series_id"], step_hours=24).na.fill(0, ["q", "c", "d", "x"])
+        return g.select("series_id", "ts", (F.expr("least(q, 400L)") / 10.0).alias("t_c"), F.expr("least(d, 100L)").cast("double").alias("rh"),
+                        (F.col("c") / 10.0).alias("rain"), F.col("x").cast("double").alias("wind"), (F.lit(860.0) + F.col("c")).alias("p_hpa"),
+                        (F.expr("least(q, 1000L) + d") / 10.0).alias("y"))
+
     def sales(self) -> DataFrame:
         """Daily order count and turnover (in whole cents) per nation."""
         cust = self.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("series_id"))
@@ -111,6 +126,8 @@ class Tables:
 
 # The same derivations for the SQL oracle.
 CTES = {
+    "depot_days": """SELECT l_suppkey % 100 AS series_id, date_trunc('day', l_shipdate) AS ts, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS c,
+        CAST(sum(CAST(round(l_discount*100) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(round(l_tax*100) AS BIGINT)) AS BIGINT) AS x FROM lineitem GROUP BY 1, 2""",
     "cells": """SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, count(*) AS n,
         CAST(sum(CAST(round(value*100) AS BIGINT)) // count(*) AS BIGINT) AS xc,
         CAST(sum(CAST(regexp_extract(props,'[0-9]+') AS BIGINT))*100 // count(*) AS BIGINT) AS kc,
@@ -139,6 +156,9 @@ CTES = {
     "fct": "SELECT fc.*, thr.threshold FROM fc CROSS JOIN (SELECT unnest([62e0, 67e0, 75e0]) AS threshold) thr",
     "ship": """SELECT l_suppkey AS series_id, date_trunc('day', l_shipdate) AS ts,
         CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS lines FROM lineitem GROUP BY 1, 2""",
+    "depots": """SELECT series_id, ts, least(q, 400)/10e0 AS t_c, CAST(least(d, 100) AS DOUBLE) AS rh, c/10e0 AS rain, CAST(x AS DOUBLE) AS wind, 860e0 + c AS p_hpa, (least(q, 1000) + d)/10e0 AS y FROM (
+        SELECT g.series_id, g.ts, coalesce(q, 0) AS q, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(x, 0) AS x FROM
+          (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM depot_days GROUP BY 1) g LEFT JOIN depot_days USING (series_id, ts))""",
     "sales": """SELECT c_nationkey AS series_id, date_trunc('day', o_orderdate) AS ts, count(*) AS n,
         CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) AS cents
         FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
