@@ -66,14 +66,6 @@ def windowed(df, keys, make, ts="ts", back=0, ahead=0, step=HOUR, chunk=None) ->
     return without_halo(halo.withColumns(make(fr)))
 
 
-def chunk_offsets(df, keys, sums: dict[str, Column]) -> DataFrame:
-    """Totals of all earlier chunks per key; one small row per (key, chunk)."""
-    per = df.groupBy(*keys, "_chunk").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*keys, "_chunk", *[
-        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
-
-
 def positions(df, keys, ts="ts", tie=(), step=HOUR, chunk=None, name="pos") -> DataFrame:
     """0-based row number per key in time order, plus the key's row count ``n_rows``."""
     cut = with_halo(df, ts, 0, 0, step, chunk)
@@ -90,7 +82,7 @@ def positions(df, keys, ts="ts", tie=(), step=HOUR, chunk=None, name="pos") -> D
 def complete_grid(df, keys, ts="ts", step_hours=1) -> DataFrame:
     """Every step between a key's first and last row; missing steps get nulls.
 
-    The span is cut into chunks before it is expanded, so a long series is filled by many tasks.
+    The span is expanded in two steps, so no row ever holds an array longer than one chunk.
     """
     width = CHUNK_HOURS * HOUR
     span = df.groupBy(*keys).agg(F.min(epoch_s(ts)).alias("_lo"), F.max(epoch_s(ts)).alias("_hi"))

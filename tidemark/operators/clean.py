@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..functions.calendar import epoch_s
 from .chunks import positions
 
 
@@ -116,8 +115,3 @@ def with_and_without_spinup(df: DataFrame, keys, col, lo, hi, ts="ts") -> DataFr
         F.count(x).alias("n_eval"), F.avg(x).alias("mean_eval"), F.min(x).alias("min_eval"), F.max(x).alias("max_eval"),
         F.count(col).alias("n_all"), F.avg(col).alias("mean_all"), F.min(col).alias("min_all"), F.max(col).alias("max_all"))
 
-
-def hours_since_start(df: DataFrame, keys, ts="ts", name="hour_pos") -> DataFrame:
-    """Hours since the key's first row; the anchor table has one row per key."""
-    start = df.groupBy(*keys).agg(F.min(epoch_s(ts)).alias("_start"))
-    return (df.join(start, keys).withColumn(name, ((epoch_s(ts) - F.col("_start")) / 3600).cast("long")).drop("_start"))

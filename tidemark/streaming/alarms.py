@@ -39,7 +39,8 @@ def alarm_runs_stream(scored: DataFrame, cut, silence_h=6, late="2 hours") -> Da
         else:
             state.update((int(first), int(last)))
             state.setTimeoutTimestamp(max((int(last) + silence_h) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["series_id", "onset_hour", "last_hour", "duration_h"])
+        if out:
+            yield pd.DataFrame(out, columns=["series_id", "onset_hour", "last_hour", "duration_h"])
 
     src = scored.withColumn("_t", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("_t", late)
     return src.select("series_id", "hour", "y_pred", "_t").groupBy("series_id").applyInPandasWithState(

@@ -45,7 +45,8 @@ def score_hours(hours: DataFrame, spec: FeatureSpec, w_raw, b_raw, late="2 hours
                     psi += [float(np.mean([v[col[c]] for k, v in kept.items() if k > h - w])) for c in spec.mean_of]
                 out.append((key[0], int(h), float(b_raw + weights @ np.asarray(psi))))
         state.update((list(kept), [float(x) for v in kept.values() for x in v]))
-        yield pd.DataFrame(out, columns=["series_id", "hour", "y_pred"])
+        if out:
+            yield pd.DataFrame(out, columns=["series_id", "hour", "y_pred"])
 
     src = hours.select("series_id", F.floor(F.unix_seconds("ts") / 3600).cast("long").alias("hour"), *drivers)
     return src.groupBy("series_id").applyInPandasWithState(
