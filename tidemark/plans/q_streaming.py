@@ -67,9 +67,10 @@ def x2(t):
 
 @query("x3_alarm_runs", f"""WITH {CLOSED}, {X2}, r AS (SELECT series_id, hour, hour - row_number() OVER (PARTITION BY series_id ORDER BY hour) AS g FROM sc WHERE y_pred >= {CUT}),
     runs AS (SELECT series_id, min(hour) AS onset_hour, max(hour) AS last_hour, count(*) AS duration_h FROM r GROUP BY series_id, g), z AS (SELECT series_id, max(hour) AS zh FROM sc GROUP BY 1)
-    SELECT series_id, onset_hour, last_hour, duration_h FROM runs JOIN z USING (series_id) WHERE last_hour < zh""")
+    SELECT series_id, onset_hour, last_hour, duration_h FROM runs JOIN z USING (series_id)
+    WHERE last_hour < zh OR last_hour + 6 < (SELECT max(hour) - 2 FROM sc)""")
 def x3(t):
-    """Alarm runs that have cleared, from the state machine."""
+    """Alarm runs that have cleared, by a later hour or by six hours of silence behind the watermark."""
     folder, out = scored_hours(t)
     schema = t.spark.read.parquet(out).schema
     runs = alarms.alarm_runs_stream(t.spark.readStream.schema(schema).parquet(out).withColumn("y_pred", F.round("y_pred", 6)), CUT)
