@@ -12,7 +12,7 @@ KEYS = ["series_id", "model", "horizon_h", "threshold"]
 def scorecard(t):
     """Cuts from the validation part, scores on the test part, one row per key."""
     f = stage(t.fct())  # read by five aggregations below
-    cuts = calibrate_cuts(f.where("split = 'val'"), KEYS).select(*KEYS, F.round("cut", 6).alias("cut"))
+    cuts = stage(calibrate_cuts(f.where("split = 'val'"), KEYS).select(*KEYS, F.round("cut", 6).alias("cut")))
     test = f.where("split = 'test'").join(cuts, KEYS)
     ev = event_metrics(test, KEYS).select(*KEYS, "n_event", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
     du = duration_metrics(block_hours(test, KEYS), KEYS).select(
