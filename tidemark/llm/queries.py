@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash
+from . import distinct_bpe, line_dedup, quality_rules, simhash
 from .common import table
 
 QUERIES = {
     "op3_line_dedup": lambda spark, sf: line_dedup.query(table(spark, sf, "documents")),
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
+    "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
 }
 ORACLES: dict[str, str] = {}
