@@ -8,9 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import ODD
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import distinct_bpe
+from tidemark.llm import distinct_bpe, rans
 
 SMALL = "/root/testdata/sf0.001"
 RANDOM = random.Random(5)
@@ -47,3 +48,42 @@ def test_bpe_round_trip(documents):
     docs = documents(MIXED)
     back = distinct_bpe.decode(distinct_bpe.encode(docs)).collect()
     assert {r.doc_id: r.text for r in back} == dict(MIXED)
+
+
+def test_rans_files(docs):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = pairs(docs)
+    got = rans.query(docs, block_tokens=3000, lanes=64, mark_steps=7, shard_bytes=50_000).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    ids = {}
+    for i, x in rows:
+        ids.setdefault(i, []).append(t.encode(x or "", add_special_tokens=False).ids + [1])
+    got = sorted(map(tuple, got), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    before = 0
+    for i, start, n, c in got:
+        assert start == before
+        before += n
+        assert (n, c) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids[i]]
+    assert sorted(n for _, _, n, _ in got) == sorted(len(x) for v in ids.values() for x in v)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000, 70_000])
+def test_rans_round_trip_and_checkpoints(n):
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % 50_000).astype(np.uint32)
+    table = rans.Table.of(np.bincount(ids, minlength=50_000))
+    assert int(table.freq.sum()) == 1 << table.precision and (table.freq[np.unique(ids)] > 0).all()
+    words, marks = rans.encode(ids, table, 64, 10)
+    assert (rans.decode(words, marks, table, n, 64) == ids).all()
+    for m, end in zip(marks[::-1], [-(-n // 64), *[m[0] for m in marks[:0:-1]]]):  # any part, in any order
+        assert (rans.decode_part(words, m, table, m[0], end, n, 64) == ids[m[0] * 64 : min(n, end * 64)]).all()
+
+
+def test_rans_notices_damage(documents, tmp_path):
+    docs = documents(ODD)
+    rans.write(docs, f"{tmp_path}/a")
+    rows = docs.sparkSession.read.parquet(f"{tmp_path}/a/blocks")
+    rows.withColumn("words", F.encode(F.regexp_replace(F.hex("words"), "^.", "0"), "utf-8")).write.parquet(f"{tmp_path}/b/blocks")
+    docs.sparkSession.read.parquet(f"{tmp_path}/a/tables").write.parquet(f"{tmp_path}/b/tables")
+    with pytest.raises(Exception, match="damaged"):
+        rans.read(docs.sparkSession, f"{tmp_path}/b", lambda d, i: (d,), "doc_id LONG").collect()

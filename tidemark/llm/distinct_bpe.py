@@ -19,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks as B
 from .common import pack, ragged, stage, unpack, unpack_words
@@ -117,7 +117,7 @@ def per_document(docs: DataFrame, each, schema: str, vocabulary: str = VOCABULAR
     path = public_tokenizers.path(vocabulary)
     made, found = encoded(docs, path, block_bytes)
     out_schema = docs.sparkSession.createDataFrame([], schema).schema
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in out_schema])
+    arrow = to_arrow_schema(out_schema)
 
     def join(block: pa.Table, ans: pa.Table) -> pa.Table:
         rows = []
@@ -142,12 +142,6 @@ def per_document(docs: DataFrame, each, schema: str, vocabulary: str = VOCABULAR
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, schema)
 
 
-def _arrow(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids of every row."""
     return per_document(docs, lambda doc, ids: (doc, ids.astype(np.int32)), "doc_id LONG, ids ARRAY<INT>", vocabulary)

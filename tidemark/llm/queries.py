@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import distinct_bpe, line_dedup, quality_rules, simhash
+from . import distinct_bpe, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
+    "op1_rans": lambda spark, sf: rans.query(table(spark, sf, "documents")),
     "op3_line_dedup": lambda spark, sf: line_dedup.query(table(spark, sf, "documents")),
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
