@@ -81,7 +81,7 @@ def test_rans_round_trip_and_checkpoints(n):
 
 def test_rans_notices_damage(documents, tmp_path):
     docs = documents(ODD)
-    rans.write(docs, f"{tmp_path}/a")
+    rans.write(docs, f"{tmp_path}/a", lanes=4)
     rows = docs.sparkSession.read.parquet(f"{tmp_path}/a/blocks")
     rows.withColumn("words", F.encode(F.regexp_replace(F.hex("words"), "^.", "0"), "utf-8")).write.parquet(f"{tmp_path}/b/blocks")
     docs.sparkSession.read.parquet(f"{tmp_path}/a/tables").write.parquet(f"{tmp_path}/b/tables")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import distinct_bpe, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, distinct_bpe, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
     "op1_rans": lambda spark, sf: rans.query(table(spark, sf, "documents")),
     "op3_line_dedup": lambda spark, sf: line_dedup.query(table(spark, sf, "documents")),
+    "op4_compression_quality": lambda spark, sf: compression_quality.query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
