@@ -1,9 +1,16 @@
 """Learned operators: held-out accuracy, and defined results on odd rows."""
 
+import html
+import random
+import re
+
+import numpy as np
+import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_quality
+from tidemark.llm import compression_quality, html_labeller
+from tidemark.llm.html_blocks import leaves
 
 SF = "/root/testdata/sf0.1"
 
@@ -27,3 +34,67 @@ def test_compression_quality_edges(spark, documents):
     got = compression_quality.query(docs, few).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert compression_quality.query(docs.limit(0), few).count() == 0
+
+
+# -- HTML ---------------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id LONG, url STRING, html STRING"
+PAGE = ("<html><head><title>No</title><style>p{}</style><script>var x='</p>';</script></head><body><header><p>Site name</p></header>"
+        "<nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><div class='cookie-notice'>We use cookies</div>"
+        "<article><h1>A &amp; B</h1><p>One&nbsp;two\n\t three <b>bold<p>Next &lt;p&gt; <!-- no -->para<div class=ad>Buy this now</div>"
+        "<ul><li>first<li>second</ul><section class=comments><h3>Comments</h3><p>nice post</p></section></article>"
+        "<aside><p>See also</p></aside><form><label>Name</label><textarea>no</textarea></form><footer>&copy; 2024</footer>")
+TEXT = "A & B\nOne two three bold\nNext <p> para\nfirst\nsecond"
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return html_labeller.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+def test_labeller_on_the_whole_table(spark, labeller):
+    """The marked article of every page, found without looking for its mark."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in html_labeller.extract(pages, labeller).collect()}
+    for r in pages.collect():
+        part = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", part))
+        assert got[r.page_id] == "\n".join(x for x in lines if x)
+
+
+def test_labeller_on_layouts_it_never_saw(labeller):
+    rng = random.Random(77)
+    pages = [html_labeller.made_page(rng) for _ in range(300)]
+    got = labeller.main([p[0] for p in pages])
+    assert np.mean(np.concatenate([a == p[1] for a, p in zip(got, pages)])) > 0.97
+
+
+def test_labeller_edges(spark, labeller):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain < text"), (5, "u", "<p" * 2000), (None, "u", "<article><p>" + "word " * 60_000)]
+    df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash"))
+    got = html_labeller.extract(df, labeller).collect()
+    assert len(got) == len(rows) and [r.text for r in got if r.page_id == 1] == [TEXT, TEXT]
+    assert {r.text for r in got if r.page_id in (2, 3)} == {""}
+    assert next(r.text for r in got if r.page_id is None) == ("word " * 60_000).strip()
+    assert html_labeller.query(df.limit(0)).count() == 0
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    net = html_labeller.Labeller()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, mask, y = html_labeller.padded([rng.normal(0, 1, (n, html_labeller.DIM)) for n in (3, 5)], [rng.integers(0, 2, n) for n in (3, 5)])
+    _, g = net.gradients(x.astype(np.float64), mask, y)
+    for name in ("wh", "b", "wx", "wo"):
+        at = tuple(rng.integers(0, s) for s in net.p[name].shape)
+        old, eps = net.p[name][at], 1e-4
+        net.p[name][at] = old + eps
+        up, _ = net.gradients(x, mask, y)
+        net.p[name][at] = old - eps
+        down, _ = net.gradients(x, mask, y)
+        net.p[name][at] = old
+        assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-4
+
+
+def test_leaves_of_tag_soup():
+    assert [t for _, t, _ in leaves("<p>a<b>b<p>c</b>d<table><tr><td>e<td>f<tr><td>g</table>h<br>i</p>j")] == ["ab", "cd", "e", "f", "g", "h i", "j"]

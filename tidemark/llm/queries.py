@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import compression_quality, distinct_bpe, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, distinct_bpe, html_labeller, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
     "op1_rans": lambda spark, sf: rans.query(table(spark, sf, "documents")),
+    "op2_html_labeller": lambda spark, sf: html_labeller.query(table(spark, sf, "pages")),
     "op3_line_dedup": lambda spark, sf: line_dedup.query(table(spark, sf, "documents")),
     "op4_compression_quality": lambda spark, sf: compression_quality.query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
