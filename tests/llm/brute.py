@@ -69,3 +69,14 @@ def simhash(docs):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
     return [(i, f"{p:016x}", least.get(find(k))) for k, ((i, _), p) in enumerate(zip(docs, prints))]
+
+
+def nearest_part(item, text):
+    """Smallest number of edits between the item and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, distinct_bpe, html_labeller, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, decontaminate, distinct_bpe, html_labeller, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
@@ -13,5 +13,6 @@ QUERIES = {
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
+    "op9_qgram_decontamination": lambda spark, sf: decontaminate.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
 ORACLES: dict[str, str] = {}
