@@ -4,7 +4,8 @@ Text and items are lower-cased and every run of white space becomes one space. A
 document if some part of the document is within k = m * ``EDIT_RATE`` edits of the whole item. Such a part shares at
 least m + 1 - q (k + 1) of the item's q-grams, and their diagonals (place in the document minus place in the item) differ
 by at most k. Diagonals are counted in bins of k + 1; two neighbouring bins are one of the overlapping bands, so a band
-that holds the whole alignment always exists. Bands that meet the bound are verified by banded alignment.
+that holds the whole alignment always exists. Bands that meet the bound, with distinct q-grams of the item on k + 1 diagonals,
+are verified by banded alignment.
 
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters (plus one item), every block against all documents.
 
@@ -90,15 +91,35 @@ class Index:
         n = self.last[g] - self.first[g]
         at = np.repeat(at, n)
         occ = np.arange(len(at)) + np.repeat(self.first[g] - (np.cumsum(n) - n), n)
-        item = self.item[occ]
-        low = at - self.place[occ]
+        item, place = self.item[occ], self.place[occ]
+        low = at - place
         key = item * (1 << 40) + ((low + (1 << 20)) // (self.k[item] + 1))
-        key, count = np.unique(key, return_counts=True)
-        after = np.zeros(len(key), np.int64)
-        after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        item = key >> 40
-        met = (count + after) >= self.need[item]
-        return list(zip(item[met].tolist(), (key[met] & ((1 << 40) - 1)).tolist()))
+        order = np.lexsort((low, key))
+        key, low, place = key[order], low[order], place[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(key)]
+        name = key[first]
+        joined = np.zeros(len(name), bool)
+        joined[:-1] = name[1:] == name[:-1] + 1
+        end = np.where(joined, np.r_[last[1:], 0], last)
+        item = name >> 40
+        out = []
+        for c in np.flatnonzero(end - first >= self.need[item]).tolist():
+            a, z, i = first[c], end[c], int(item[c])
+            if self._dense(low[a:z], place[a:z], int(self.k[i]), int(self.need[i])):
+                out.append((i, int(name[c]) & ((1 << 40) - 1)))
+        return out
+
+    @staticmethod
+    def _dense(low: np.ndarray, place: np.ndarray, k: int, need: int) -> bool:
+        """Whether some k + 1 neighbouring diagonals share ``need`` different q-grams of the item (``low`` ascends)."""
+        if len(np.unique(place)) < need:
+            return False
+        right = np.searchsorted(low, low + k, "right")
+        for a in np.flatnonzero(right - np.arange(len(low)) >= need).tolist():
+            if len(np.unique(place[a : right[a]])) >= need:
+                return True
+        return False
 
     def origin(self, item: int, b: int) -> int:
         """The smallest diagonal of a bin."""
