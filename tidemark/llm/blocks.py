@@ -2,8 +2,9 @@
 
 A block is a run of documents of about ``BLOCK_BYTES`` text: its distinct words, and per document the positions as
 numbers into that list. Blocks are written once. Only the distinct words of a block travel: each goes to the shard of
-its hash, where every distinct word of the corpus is met exactly once, and an answer per word travels back. A word that
-makes up a third of all text is one entry per block, so no shard is hot.
+its first half (six bytes at least) by hash, so that like words compress together; there every distinct word of the corpus
+is met exactly once, and an answer per word travels back. A word that makes up a third of all text is one entry per
+block, so no shard is hot.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import pack, pack_words, unpack, unpack_words, utf8
 
 BLOCK_BYTES = 16 << 20
+#: zstd level of the positions, the largest part of what is written and shuffled.
+TOKEN_LEVEL = 16
 #: Words of blocks that meet in one shard task, about.
 SHARD_WORDS = 400_000
 BLOCK = "block LONG, doc_ids ARRAY<LONG>, lens BINARY, tokens BINARY, words BINARY, n_words LONG"
@@ -28,16 +31,13 @@ _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("
 
 
 def number_words(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words, frequent ones first, and every position as a number into them."""
-    index: dict[bytes, int] = {}
-    add = index.setdefault
+    """Distinct words, frequent ones first and in byte order among equals, and every position as a number into them."""
     flat = [w for d in docs for w in d]
-    for w in set(flat):
-        add(w, len(index))
+    words = sorted(set(flat))
+    index = dict(zip(words, range(len(words))))
     ids = np.fromiter(map(index.__getitem__, flat), np.uint32, len(flat))
-    words = list(index)
     count = np.bincount(ids, minlength=len(words))
-    order = np.lexsort((np.arange(len(words)), -count))
+    order = np.argsort(-count, kind="stable")
     rank = np.empty(len(words), np.uint32)
     rank[order] = np.arange(len(words), dtype=np.uint32)
     return [words[i] for i in order.tolist()], rank[ids]
@@ -53,7 +53,7 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
         def block():
             names, tokens = number_words(words)
             lens = np.fromiter(map(len, words), np.uint32, len(words))
-            return pa.record_batch([[task + n], [ids], [pack(lens)], [pack(tokens)], [pack_words(names)], [len(names)]], schema=_BLOCK)
+            return pa.record_batch([[task + n], [ids], [pack(lens)], [pack(tokens, level=TOKEN_LEVEL)], [pack_words(names)], [len(names)]], schema=_BLOCK)
 
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), utf8(b["text"])):
@@ -87,7 +87,7 @@ def send_words(blocks: DataFrame, shards: int, extra: Callable[[dict], np.ndarra
         for b in batches:
             for row in b.to_pylist():
                 words = unpack_words(row["words"])
-                shard = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)
+                shard = np.fromiter((xxhash.xxh3_64_intdigest(w[: max(6, len(w) // 2)]) for w in words), np.uint64, len(words)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
                 more = extra(row) if extra else None

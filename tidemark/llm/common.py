@@ -34,17 +34,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 
-def pack(a) -> bytes:
-    """An unsigned array as byte planes under zstd: small values cost little."""
+def pack(a, level: int = 3, planes: bool = True) -> bytes:
+    """An unsigned array under zstd, as byte planes (small values cost little) or as it is (repeats cost little)."""
     a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(-1, a.itemsize)
-    keep = next((k for k in range(a.itemsize, 0, -1) if planes[:, k - 1].any()), 0)
+    cut = a.view(np.uint8).reshape(-1, a.itemsize)
+    keep = next((k for k in range(a.itemsize, 0, -1) if cut[:, k - 1].any()), 0) if planes else 255
     head = bytes([a.itemsize, keep]) + len(a).to_bytes(8, "little")
-    return head + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes[:, :keep].T).tobytes())
+    return head + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(cut[:, :keep].T).tobytes() if planes else a.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
     size, keep, n = b[0], b[1], int.from_bytes(b[2:10], "little")
+    if keep == 255:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[10:], max_output_size=n * size), f"<u{size}") if n else np.zeros(0, f"<u{size}")
     out = np.zeros((n, size), np.uint8)
     if n and keep:
         raw = zstandard.ZstdDecompressor().decompress(b[10:], max_output_size=n * keep)
@@ -54,7 +56,7 @@ def unpack(b: bytes) -> np.ndarray:
 
 def pack_words(words: list[bytes]) -> bytes:
     lens = pack(np.fromiter(map(len, words), np.uint32, len(words)))
-    return len(lens).to_bytes(8, "little") + lens + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    return len(lens).to_bytes(8, "little") + lens + zstandard.ZstdCompressor(level=12).compress(b"".join(words))
 
 
 def unpack_words(b: bytes) -> list[bytes]:

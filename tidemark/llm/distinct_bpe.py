@@ -101,10 +101,11 @@ def encoded(docs: DataFrame, path: str, block_bytes: int = B.BLOCK_BYTES) -> tup
         ids = [e.ids for e in library(path).encode_batch_fast([word_of(w) for w in words], add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        flat = flat.astype(np.uint16) if len(flat) and flat.max() < 65536 else flat
         starts = np.cumsum(lens) - lens
         out = []
         for block, at, own in zip(t["block"].to_pylist(), t["at"].to_pylist(), index):
-            n, body = pack(lens[own].astype(np.uint32)), pack(flat[ragged(starts[own], lens[own])])
+            n, body = pack(lens[own].astype(np.uint32)), pack(flat[ragged(starts[own], lens[own])], 12, planes=False)
             out.append((block, 0, at, len(n).to_bytes(8, "little") + n + body))
         return B.answers(out)
 
@@ -128,7 +129,7 @@ def per_document(docs: DataFrame, each, schema: str, vocabulary: str = VOCABULAR
                 at, k = B.positions(at), int.from_bytes(a[:8], "little")
                 n, body = unpack(a[8 : 8 + k]).astype(np.int64), unpack(a[8 + k :])
                 lens[at], starts[at] = n, used + np.cumsum(n) - n
-                flat.append(body)
+                flat.append(body.astype(np.uint32))
                 used += len(body)
             flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
             tokens, at = unpack(row["tokens"]), 0
