@@ -50,7 +50,9 @@ LOW = np.uint64(1 << 31)
 #: Text of one shard, about; a shard is one sorted partition and so one file.
 SHARD_BYTES = 32 << 20
 #: Words remembered per Python worker: about 150 bytes each.
-MEMO = 600_000
+MEMO = 500_000
+#: Texts that are split into words at the same time.
+TEXTS = 200
 
 
 class Table:
@@ -188,11 +190,13 @@ def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], s
     def run(batches):
         shard, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = tokenise(utf8(b["text"]))
-            n = len(ids)
-            yield pa.record_batch([pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(seq, seq + n)), b["doc_id"].cast(pa.int64()),
-                                   pa.array(ids, pa.binary())], ["shard", "seq", "doc_id", "ids"])
-            seq += n
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                ids = tokenise(utf8(part["text"]))
+                n = len(ids)
+                yield pa.record_batch([pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(seq, seq + n)), part["doc_id"].cast(pa.int64()),
+                                       pa.array(ids, pa.binary())], ["shard", "seq", "doc_id", "ids"])
+                seq += n
 
     return stage(ordered.mapInArrow(run, "shard INT, seq LONG, doc_id LONG, ids BINARY"), "rans-ids")
 
