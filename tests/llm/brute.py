@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -80,3 +81,49 @@ def nearest_part(item, text):
             new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
+
+
+class Katz:
+    """A bigram model in dictionaries, after Katz (1987); the unknown word has the unigrams' left-over mass."""
+
+    def __init__(self, docs, discounts):
+        from collections import Counter
+        from math import log10
+
+        self.log10, self.uni, self.bi = log10, Counter(), Counter()
+        self.tokens = lambda t: [lower(w) for w in WORD.findall(t or "")] + [""]
+        for i, t in docs:
+            if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
+                w = self.tokens(t)
+                self.uni.update(w)
+                self.bi.update(zip(["", *w], w))
+        self.n = sum(self.uni.values())
+        count = lambda c: [sum(v == r for v in c.values()) for r in range(7)]
+        self.d1, self.d2 = discounts(count(self.uni)), discounts(count(self.bi))
+        left = self.n and sum((1 - self.d1[min(c, 6)]) * c for c in self.uni.values()) / self.n
+        self.s1, self.unknown = (1, left) if left > 0 else (self.n / (self.n + 1), 1 / (self.n + 1))
+        self.follow = {}
+        for (h, w), c in self.bi.items():
+            self.follow.setdefault(h, {})[w] = c
+
+    def low(self, w):
+        c = self.uni[w]
+        return self.d1[min(c, 6)] * c * self.s1 / self.n if c else self.unknown
+
+    def p(self, h, w):
+        f = self.follow.get(h)
+        if not f:
+            return self.low(w)
+        c = sum(f.values())
+        left = sum((1 - self.d2[min(x, 6)]) * x for x in f.values()) / c
+        scale, left = (1, left) if left > 1e-12 else (c / (c + 1), 1 / (c + 1))
+        if w in f:
+            return self.d2[min(f[w], 6)] * f[w] / c * scale
+        return left / (1 - sum(self.low(x) for x in f)) * self.low(w)
+
+    def rows(self, docs):
+        for i, t in docs:
+            w = self.tokens(t)
+            base = sum(self.log10((self.uni[x] + 0.5) / (self.n + 0.5 * (len(self.uni) + 1))) for x in w)
+            yield (i, zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1, len(w), sum(self.uni[x] > 0 for x in w), self.n,
+                   round(base, 6), round(sum(self.log10(self.p(h, x)) for h, x in zip(["", *w], w)), 6))

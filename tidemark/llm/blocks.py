@@ -25,9 +25,9 @@ BLOCK_BYTES = 16 << 20
 TOKEN_LEVEL = 16
 #: Words of blocks that meet in one shard task, about.
 SHARD_WORDS = 400_000
-BLOCK = "block LONG, doc_ids ARRAY<LONG>, lens BINARY, tokens BINARY, words BINARY, n_words LONG"
+BLOCK = "block LONG, doc_ids ARRAY<LONG>, lens BINARY, tokens BINARY, words BINARY, n_words LONG, mark LONG"
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("tokens", pa.binary()),
-                    ("words", pa.binary()), ("n_words", pa.int64())])
+                    ("words", pa.binary()), ("n_words", pa.int64()), ("mark", pa.int64())])
 
 
 def number_words(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
@@ -43,8 +43,8 @@ def number_words(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in order.tolist()], rank[ids]
 
 
-def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block. The number of a block is unique in the written table; nothing relies on it being stable."""
+def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_bytes: int = BLOCK_BYTES, mark: bytes | None = None) -> DataFrame:
+    """One row per block; ``mark`` is the number of that word in the block. The number of a block is unique in the written table; nothing relies on it being stable."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -53,7 +53,8 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
         def block():
             names, tokens = number_words(words)
             lens = np.fromiter(map(len, words), np.uint32, len(words))
-            return pa.record_batch([[task + n], [ids], [pack(lens)], [pack(tokens, level=TOKEN_LEVEL)], [pack_words(names)], [len(names)]], schema=_BLOCK)
+            return pa.record_batch([[task + n], [ids], [pack(lens)], [pack(tokens, level=TOKEN_LEVEL)], [pack_words(names)], [len(names)],
+                                    [names.index(mark) if mark is not None else None]], schema=_BLOCK)
 
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), utf8(b["text"])):

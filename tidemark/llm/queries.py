@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, distinct_bpe, html_labeller, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, decontaminate, distinct_bpe, html_labeller, katz, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
     "op9_qgram_decontamination": lambda spark, sf: decontaminate.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+    "op10_katz": lambda spark, sf: katz.query(table(spark, sf, "documents")),
 }
 ORACLES: dict[str, str] = {}
