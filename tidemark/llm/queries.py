@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, distinct_bpe, html_labeller, katz, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, decontaminate, distinct_bpe, extendible, html_labeller, katz, line_dedup, quality_rules, rans, simhash
 from .common import table
 
 QUERIES = {
@@ -11,9 +11,10 @@ QUERIES = {
     "op3_line_dedup": lambda spark, sf: line_dedup.query(table(spark, sf, "documents")),
     "op4_compression_quality": lambda spark, sf: compression_quality.query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
+    "op6_extendible_hashing": lambda spark, sf: extendible.query(table(spark, sf, "documents")),
     "op7_distinct_bpe": lambda spark, sf: distinct_bpe.query(table(spark, sf, "documents")),
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
     "op9_qgram_decontamination": lambda spark, sf: decontaminate.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_katz": lambda spark, sf: katz.query(table(spark, sf, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_extendible_hashing": extendible.oracle()}
