@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import _c
+from ..session import stage
 from .metrics import calibrate_cuts, event_metrics
 
 # The three humidity levels (percent) and the advice text per level.
@@ -60,17 +61,23 @@ def scan_origins(lev: DataFrame, keys, warn=WARN) -> DataFrame:
 def demo_candidates(scan: DataFrame, min_alarm=6, min_lead=12, min_true=6) -> DataFrame:
     """Origins that meet all three floors; if there is none at all, every true positive (``crosses`` = 0)."""
     strict = (F.col("n_alarm") >= min_alarm) & (F.col("lead_h") >= min_lead) & (F.col("n_true") >= min_true)
-    s = scan.withColumn("_ok", strict).withColumn("_k", F.lit(1))
-    total = s.groupBy("_k").agg(F.count_if("_ok").alias("_n"))  # one row
-    j = s.join(total, "_k")
+    s = stage(scan.withColumn("_ok", strict))
+    j = s.withColumn("_n", s.agg(F.count_if("_ok")).scalar())
     return (j.where(F.col("_ok") | (F.col("_n") == 0))
-            .withColumn("crosses", F.when(F.col("_n") == 0, 0).otherwise(F.col("crosses"))).drop("_ok", "_n", "_k"))
+            .withColumn("crosses", F.when(F.col("_n") == 0, 0).otherwise(F.col("crosses"))).drop("_ok", "_n"))
 
 
 def candidate_order(tie=("series_id", "model", "origin_ts")):
     return [F.desc("crosses"), F.desc("n_true"), F.desc("lead_h"), F.desc("true_peak"), *tie]
 
 
+def best_origins(candidates: DataFrame, n: int) -> DataFrame:
+    """(origin_ts, rank) of the n best different origins, ranked by their best candidate."""
+    key = F.struct(-F.col("crosses"), -F.col("n_true"), -F.col("lead_h"), -F.col("true_peak"), "series_id", "model", "origin_ts")
+    top = candidates.groupBy("origin_ts").agg(F.min(key).alias("_key")).orderBy("_key").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("_key"))).drop("_key")
+
+
 def scenario_summary(rows: DataFrame, keys) -> DataFrame:
     """Peaks, worst level, alarm hours, first alarm step (-1 if none)."""
     alarm = F.col("level") > 0

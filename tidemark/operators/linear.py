@@ -85,12 +85,26 @@ def fit_ridge(feats: DataFrame, keys, horizons, beta=0.5, penalise_intercept=Fal
     return g.groupBy(*keys).applyInPandas(solve, schema)
 
 
+#: Bytes of model tables that every task may hold.
+MODEL_BYTES = 64 << 20
+
+
+def small_side(models: DataFrame, psi="w_raw") -> DataFrame:
+    """The models as the side that is sent, after a check of their size; larger ones are joined by shuffle on their keys.
+
+    A key that is the same literal on all rows is no join key to the optimizer, and the features would then be sent.
+    """
+    models = stage(models)
+    size = models.agg(F.sum(F.size(psi)) * 24).first()[0] or 0
+    return F.broadcast(models) if size <= MODEL_BYTES else models
+
+
 def score(feats: DataFrame, models: DataFrame, keys, psi="psi", clip=None, carry=()) -> DataFrame:
     """``y_pred`` for every (row, model) pair of a key: an equi-join and a dot product in the JVM."""
     dot = F.aggregate(F.zip_with(psi, "w_raw", lambda a, b: a * b), F.col("b_raw"), lambda a, v: a + v)
     if clip:
         dot = F.greatest(F.least(dot, F.lit(float(clip[1]))), F.lit(float(clip[0])))
-    return feats.join(models, list(keys)).withColumn("y_pred", dot).drop("w", "b0", "w_raw", "b_raw", "mu", "sigma", "psi", *carry)
+    return feats.join(small_side(models), list(keys)).withColumn("y_pred", dot).drop("w", "b0", "w_raw", "b_raw", "mu", "sigma", "psi", *carry)
 
 
 def select_beta(feats: DataFrame, keys, horizons, betas, split="split") -> DataFrame:
@@ -118,6 +132,32 @@ def select_beta(feats: DataFrame, keys, horizons, betas, split="split") -> DataF
     return out.join(out.groupBy(*keys, "horizon_h").agg(best), [*keys, "horizon_h"])
 
 
+def fit_and_test(feats: DataFrame, keys, horizons, beta=0.5, split="split") -> DataFrame:
+    """Ridge readouts from the train part and their R2 on the test part, both from one pass of moments."""
+    g = grams(feats.where(F.col(split).isin("train", "test")), [*keys, split], z="psi")
+
+    def solve(pdf):
+        part = {s: d for s, d in pdf.groupby(split)}
+        if len(part) < 2:
+            return pd.DataFrame(columns=[*keys, *names])
+        mu, sigma, scale = standardised(np.vstack(part["train"][part["train"]["h"] == -1].sort_values("i")["g"].to_list()))
+        rows = []
+        for h, (G, b, _), (Gt, bt, yy) in zip(horizons, unpack(part["train"], len(horizons)), unpack(part["test"], len(horizons))):
+            n, m = G[-1, -1], Gt[-1, -1]
+            if n < 2 or m < 2:
+                continue
+            w = ridge(*scale((G, b)), n, beta)
+            Gt, bt = scale((Gt, bt))
+            spread = yy - bt[-1] ** 2 / m
+            r2 = 1 - (w @ Gt @ w - 2 * w @ bt + yy) / spread if spread > 0 else np.nan
+            rows.append({**{k: pdf[k].iloc[0] for k in keys}, "horizon_h": h, "n": int(round(n)), "n_test": int(round(m)), "w": w[:-1], "b0": float(w[-1]), "test_r2": r2})
+        return pd.DataFrame(rows, columns=[*keys, *names])
+
+    names = ["horizon_h", "n", "n_test", "w", "b0", "test_r2"]
+    schema = f"{_types(feats, keys)}, horizon_h INT, n LONG, n_test LONG, w ARRAY<DOUBLE>, b0 DOUBLE, test_r2 DOUBLE"
+    return g.groupBy(*keys).applyInPandas(solve, schema)
+
+
 def ridge_by_qr(feats: DataFrame, keys, beta, y="y", weight=None) -> DataFrame:
     """Ridge through stacked QR factors: keeps digits that the normal equations lose on collinear lags."""
     z, stats = prepare(feats, keys)
@@ -150,8 +190,8 @@ def fit_reweighted(feats: DataFrame, horizons, taus, beta=0.5, kind="expectile",
     z, stats = prepare(feats, keys)
     z = stage(z.select("model_id", "z", "labels"))
     sets = [(h, tau) for h in range(len(horizons)) for tau in taus]
-    W = None
-    for _ in range(max_iter):
+    W, moved, done = None, np.inf, 0
+    for done in range(max_iter + 1):  # the unweighted start, then max_iter reweighted solves
         def weigh(A, Y, W=W):
             for s, (h, tau) in enumerate(sets):
                 r = np.zeros(len(A)) if W is None else Y[:, h] - A @ W[s]
@@ -177,8 +217,8 @@ def fit_reweighted(feats: DataFrame, horizons, taus, beta=0.5, kind="expectile",
         if moved < tol:
             break
     spark = feats.sparkSession
-    rows = [(kind, horizons[h], float(tau), float(beta), [float(v) for v in W[s][:-1]], float(W[s][-1])) for s, (h, tau) in enumerate(sets)]
-    models = spark.createDataFrame(rows, "model_id STRING, horizon_h INT, tau DOUBLE, beta DOUBLE, w ARRAY<DOUBLE>, b0 DOUBLE")
+    rows = [(kind, horizons[h], float(tau), float(beta), [float(v) for v in W[s][:-1]], float(W[s][-1]), done, moved < tol) for s, (h, tau) in enumerate(sets)]
+    models = spark.createDataFrame(rows, "model_id STRING, horizon_h INT, tau DOUBLE, beta DOUBLE, w ARRAY<DOUBLE>, b0 DOUBLE, iterations INT, converged BOOLEAN")
     return _raw(models, stats, keys)
 
 
@@ -318,9 +358,9 @@ def fit_transition(feats: DataFrame, keys, horizons, beta=0.5) -> DataFrame:
     g, stats = _transition_cells(feats, keys)
 
     def solve(pdf):
-        K, w = _operator(pdf, beta)
+        K, w, n = _operator(pdf, beta)
         key = {k: pdf[k].iloc[0] for k in keys}
-        rows = [{**key, "horizon_h": h, "beta": float(beta), "n": int(pdf["h"].size), "w": np.linalg.matrix_power(K, h).T @ w[:-1], "b0": float(w[-1])} for h in horizons]
+        rows = [{**key, "horizon_h": h, "beta": float(beta), "n": n, "w": np.linalg.matrix_power(K, h).T @ w[:-1], "b0": float(w[-1])} for h in horizons]
         return pd.DataFrame(rows)
 
     schema = f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, w ARRAY<DOUBLE>, b0 DOUBLE"
@@ -328,7 +368,7 @@ def fit_transition(feats: DataFrame, keys, horizons, beta=0.5) -> DataFrame:
 
 
 def _operator(pdf, beta):
-    """Transition matrix (no intercept) and the same-hour readout from one key's moments."""
+    """Transition matrix (no intercept), the same-hour readout and its labelled rows, from one key's moments."""
     p = len(pdf.loc[pdf["h"] == -1, "g"].iloc[0]) - 1
     cells = unpack(pdf, p + 1)
     G0, b0, _ = cells[0]
@@ -337,7 +377,7 @@ def _operator(pdf, beta):
     m = G1[-1, -1]
     cross = np.column_stack([cells[1 + j][1][:p] for j in range(p)])
     K = np.linalg.solve(G1[:p, :p] / m + beta * np.eye(p), cross / m).T
-    return K, w
+    return K, w, int(round(G0[-1, -1]))
 
 
 def mode_table(feats: DataFrame, keys, beta=0.5, top_k=8) -> DataFrame:
@@ -345,17 +385,15 @@ def mode_table(feats: DataFrame, keys, beta=0.5, top_k=8) -> DataFrame:
     g, _ = _transition_cells(feats, keys)
 
     def solve(pdf):
-        K, _w = _operator(pdf, beta)
-        ev = np.linalg.eigvals(K)
-        ev = ev[np.isfinite(ev) & (np.abs(ev) > 1e-9) & (np.abs(ev) < 1.0)]
-        ev = ev[np.lexsort((-ev.imag, -np.round(np.abs(ev), 12)))][:top_k].astype(complex)
-        lam = np.log(ev)
-        key = {k: pdf[k].iloc[0] for k in keys}
-        with np.errstate(divide="ignore"):
-            tau = np.where(np.abs(lam.real) > 1e-12, -1.0 / lam.real, np.inf)
-            period = np.where(np.abs(lam.imag) > 1e-12, 2 * np.pi / np.abs(lam.imag), np.inf)
-        return pd.DataFrame([{**key, "mode": i, "eigenvalue": {"re": float(e.real), "im": float(e.imag)}, "abs_lambda": float(abs(e)),
-                              "tau_hours": float(t), "period_hours": float(q)} for i, (e, t, q) in enumerate(zip(ev, tau, period))])
+        # z(t + 1) = K z(t): a mode shrinks by |v| an hour and turns by arg v, so exp(-1/tau) = |v| and 2 pi / period = |arg v|.
+        v = np.linalg.eigvals(_operator(pdf, beta)[0]).astype(complex)
+        modes = pd.DataFrame({"re": v.real, "im": v.imag, "size": np.abs(v), "turn": np.abs(np.angle(v))}).query("0 < size < 1")
+        modes = modes.assign(rank=-modes["size"].round(12), down=-modes["im"]).sort_values(["rank", "down"]).head(top_k)
+        tau = -1 / np.log(modes["size"])
+        period = 2 * np.pi / modes["turn"].where(modes["turn"] > 0)
+        head = {k: [pdf[k].iloc[0]] * len(modes) for k in keys}
+        return pd.DataFrame({**head, "mode": range(len(modes)), "eigenvalue": modes[["re", "im"]].to_dict("records"), "abs_lambda": modes["size"].to_numpy(),
+                             "tau_hours": tau.to_numpy(), "period_hours": period.fillna(np.inf).to_numpy()})
 
     schema = f"{_types(feats, keys)}, mode INT, eigenvalue STRUCT<re: DOUBLE, im: DOUBLE>, abs_lambda DOUBLE, tau_hours DOUBLE, period_hours DOUBLE"
     return g.groupBy(*keys).applyInPandas(solve, schema)
@@ -374,7 +412,5 @@ def family_importance(weights: DataFrame, name="name", w="w") -> DataFrame:
     """Totals of absolute weights per feature family and their share of the whole."""
     g = weights.groupBy(feature_family(name).alias("family")).agg(
         F.sum(F.abs(w)).alias("total"), F.avg(F.abs(w)).alias("mean"), F.count("*").alias("n"))
-    # A handful of families: the share needs one row with their sum.
-    tagged = g.withColumn("_k", F.lit(1))
-    return tagged.join(tagged.groupBy("_k").agg(F.sum("total").alias("_sum")), "_k").select(
-        "family", "total", "mean", "n", F.round(F.col("total") / F.col("_sum"), 4).alias("share"))
+    g = stage(g)  # a handful of families; their sum is a scalar
+    return g.select("family", "total", "mean", "n", F.round(F.col("total") / g.agg(F.sum("total")).scalar(), 4).alias("share"))

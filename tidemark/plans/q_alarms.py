@@ -16,24 +16,27 @@ from .q_sources import S
 from .registry import R, query, r6
 from .series import CTES, ts_lit
 
-STEPS = tuple(range(6, 73, 6))
+STEPS = tuple(range(73))
 XK = ["series_id", "model", "horizon_h"]
 
-CTES["fcxw"] = CTES["fcw"].replace("unnest([24, 48, 72])", "CAST(unnest(range(6, 73, 6)) AS INT)")
-CTES["fcx"] = CTES["fc"].replace("fcw", "fcxw").replace("SELECT *, 'persistence' AS model, p1 AS p FROM fcxw UNION ALL", "")
+CTES["fcxw"] = CTES["fcw"].replace("unnest([24, 48, 72])", "CAST(unnest(range(0, 73)) AS INT)")
+CTES["fcx"] = CTES["fc"].replace("fcw", "fcxw")
 CTES["fcxt"] = "SELECT fcx.*, thr.threshold FROM fcx CROSS JOIN (SELECT unnest([62e0, 67e0, 75e0]) AS threshold) thr"
 XCUTS = CUTS_SQL.replace("cuts AS", "xc AS").replace("fct", "fcxt") + """, xcuts AS (SELECT series_id, model, horizon_h, max(cut) FILTER (threshold = 62) AS cut_62, max(cut) FILTER (threshold = 67) AS cut_67,
     max(cut) FILTER (threshold = 75) AS cut_75 FROM xc GROUP BY 1, 2, 3), lev AS (SELECT f.*, cut_62, cut_67, cut_75, CAST(CASE WHEN y_pred >= cut_75 THEN 2 WHEN y_pred >= cut_67 OR y_pred >= cut_62 THEN 1 ELSE 0 END AS BIGINT) AS level,
     CAST(CASE WHEN y_pred >= 75 THEN 2 WHEN y_pred >= 62 THEN 1 ELSE 0 END AS BIGINT) AS level_raw FROM fcx f JOIN xcuts USING (series_id, model, horizon_h) WHERE split = 'test')"""
-SCEN = XCUTS + """, sc AS (SELECT CASE origin_ts WHEN TIMESTAMP '2024-01-22 00:00:00' THEN 'alarm' ELSE 'demo' END AS scenario, * FROM lev
-    WHERE origin_ts IN (TIMESTAMP '2024-01-22 00:00:00', TIMESTAMP '2024-01-24 12:00:00'))"""
 SCAN = """scan AS (SELECT *, first_true_h - first_alarm_h AS lead_h, CASE WHEN pred_peak >= 62 THEN 1 ELSE 0 END AS crosses FROM (SELECT series_id, model, origin_ts, min(horizon_h) FILTER (y_true >= 62) AS first_true_h,
     min(horizon_h) FILTER (level >= 1) AS first_alarm_h, count(*) FILTER (level >= 1) AS n_alarm, count(*) FILTER (y_true >= 62) AS n_true, max(y_true) AS true_peak, max(y_pred) AS pred_peak FROM lev GROUP BY 1, 2, 3) WHERE n_alarm > 0 AND n_true > 0)"""
-CAND = """cand AS (SELECT * REPLACE (CASE WHEN tot = 0 THEN 0 ELSE crosses END AS crosses) FROM (SELECT *, count(*) FILTER (ok) OVER () AS tot FROM (SELECT *, n_alarm >= 2 AND lead_h >= 12 AND n_true >= 2 AS ok FROM scan)) WHERE ok OR tot = 0)"""
+CAND = """cand AS (SELECT * REPLACE (CASE WHEN tot = 0 THEN 0 ELSE crosses END AS crosses) FROM (SELECT *, count(*) FILTER (ok) OVER () AS tot FROM (SELECT *, n_alarm >= 6 AND lead_h >= 12 AND n_true >= 6 AS ok FROM scan)) WHERE ok OR tot = 0)"""
+
+BEST = "crosses DESC, n_true DESC, lead_h DESC, true_peak DESC, series_id, model, origin_ts"
+SCEN = XCUTS + f""", {SCAN}, {CAND}, pick AS (SELECT CASE rk WHEN 1 THEN 'alarm' ELSE 'demo' END AS scenario, origin_ts FROM (
+    SELECT origin_ts, row_number() OVER (ORDER BY best) AS rk FROM (SELECT origin_ts, min(rk) AS best FROM (SELECT origin_ts, row_number() OVER (ORDER BY {BEST}) AS rk FROM cand) GROUP BY 1)) WHERE rk <= 2),
+    sc AS (SELECT pick.scenario, lev.* FROM lev JOIN pick USING (origin_ts))"""
 
 
 def fcx(t):
-    return stage(t.fc(STEPS).where("model <> 'persistence'"))
+    return stage(t.fc(STEPS))
 
 
 def levels(t):
@@ -43,8 +46,10 @@ def levels(t):
 
 
 def scenarios(t):
-    when = (ts_lit("2024-01-22 00:00:00"), ts_lit("2024-01-24 12:00:00"))
-    return levels(t).where(F.col("origin_ts").isin(*when)).withColumn("scenario", F.when(F.col("origin_ts") == when[0], "alarm").otherwise("demo"))
+    """All series and readouts at the two origins that the ranking of the scan puts first."""
+    lev = stage(levels(t))
+    best = A.best_origins(A.demo_candidates(A.scan_origins(lev, ["series_id", "model"])), 2)
+    return lev.join(best.select("origin_ts", F.when(F.col("rank") == 1, "alarm").otherwise("demo").alias("scenario")), "origin_ts")
 
 
 SK = ["scenario", "series_id", "model"]
@@ -62,7 +67,7 @@ def o2(t):
 
 @query("o3_window_ranking", f"WITH {XCUTS}, {SCAN}, {CAND} SELECT series_id, model, origin_ts, lead_h, n_alarm, n_true, true_peak, pred_peak FROM cand ORDER BY crosses DESC, n_true DESC, lead_h DESC, true_peak DESC, series_id, model, origin_ts LIMIT 10")
 def o3(t):
-    c = A.demo_candidates(A.scan_origins(levels(t), ["series_id", "model"]), 2, 12, 2)
+    c = A.demo_candidates(A.scan_origins(levels(t), ["series_id", "model"]))
     return K.top_k(c, A.candidate_order(), 10).select("series_id", "model", "origin_ts", "lead_h", "n_alarm", "n_true", "true_peak", "pred_peak")
 
 

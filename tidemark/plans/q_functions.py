@@ -90,26 +90,29 @@ GATE = "(1e0/(1e0+exp(-(y_pred-67e0)/2e0)))"
 
 @query("f14_tail_weights", f"""SELECT series_id, model, origin_ts, horizon_h, tau, {R(f'1e0 + 1.5e0*{GATE}*greatest(2e0*tau-1e0,0e0)*exp(-horizon_h/48e0)')} AS w_operator,
     {R('1e0 + 1.5e0*0.5e0*greatest(2e0*tau-1e0,0e0)*exp(-horizon_h/48e0)')} AS w_fixed, 1e0 AS w_none
-    FROM fc CROSS JOIN (SELECT unnest([0.1e0,0.5e0,0.9e0,0.95e0]) AS tau) WHERE model = 'mean24'""")
+    FROM fc CROSS JOIN (SELECT unnest([0.1e0,0.5e0,0.9e0,0.95e0]) AS tau)""")
 def f14(t):
     def w(mode):
         return S.tail_weights("y_pred", "horizon_h", TAUS, gamma=1.5, mode=mode)
 
     z = F.arrays_zip(F.array(*[F.lit(x) for x in TAUS]).alias("tau"), w("operator").alias("w_operator"), w("fixed").alias("w_fixed"), w("none").alias("w_none"))
-    return r6(t.fc().where("model = 'mean24'").select("series_id", "model", "origin_ts", "horizon_h", F.inline(z).alias("tau", "w_operator", "w_fixed", "w_none")))
+    return r6(t.fc().select("series_id", "model", "origin_ts", "horizon_h", F.inline(z).alias("tau", "w_operator", "w_fixed", "w_none")))
+
+
+LEVELS = tuple(i / 65 for i in range(1, 65))
 
 
 @query("f15_pinball", f"""SELECT vec_id, tau, {R('greatest(tau*(y-q),(tau-1e0)*(y-q))')} AS loss FROM (SELECT vec_id, y,
-    unnest([0.1e0,0.5e0,0.9e0,0.95e0]) AS tau, unnest(list_slice(members, 1, 4)) AS q FROM ensembles)""")
+    unnest(list_transform(range(1, 65), lambda i: i/65e0)) AS tau, unnest(members) AS q FROM ensembles)""")
 def f15(t):
-    e = t.ensembles().select("vec_id", "y", F.slice("members", 1, 4).alias("q"))
-    z = F.arrays_zip(F.array(*[F.lit(x) for x in TAUS]).alias("tau"), S.pinball_vector("q", "y", TAUS).alias("loss"))
-    return r6(e.select("vec_id", F.inline(z).alias("tau", "loss")))
+    """All 64 members as quantile levels 1/65 … 64/65."""
+    z = F.arrays_zip(F.array(*[F.lit(x) for x in LEVELS]).alias("tau"), S.pinball_vector("members", "y", LEVELS).alias("loss"))
+    return t.ensembles().select("vec_id", F.inline(z).alias("tau", "loss")).withColumn("loss", F.round("loss", 6))
 
 
-@query("f16_non_crossing", "SELECT vec_id, i - 1 AS pos, list_sort(list_slice(members, 1, 8))[i] AS q FROM ensembles CROSS JOIN (SELECT unnest(range(1, 9)) AS i)")
+@query("f16_non_crossing", "SELECT vec_id, i - 1 AS pos, list_sort(members)[i] AS q FROM ensembles CROSS JOIN (SELECT unnest(range(1, 65)) AS i)")
 def f16(t):
-    return t.ensembles().select("vec_id", F.posexplode(S.non_crossing(F.slice("members", 1, 8))).alias("pos", "q")).withColumn("pos", F.col("pos").cast("long"))
+    return t.ensembles().select("vec_id", F.posexplode(S.non_crossing("members")).alias("pos", "q")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("f17_round_half_even", "SELECT event_id, round_even(value*10e0, 0) AS v0 FROM events")

@@ -9,6 +9,7 @@ from ..operators.chunks import windowed
 from ..operators.features import moving_means
 from ..operators.joins import by_label, with_grid
 from ..operators.order import fixed_quantiles
+from ..session import stage
 from .q_features import staged_cuts
 from .q_slice import BLOCK_SQL, CUTS_SQL, KEYS, LEAD_SQL, TEST_SQL
 from .q_sources import S
@@ -116,15 +117,15 @@ def m11(t):
     return r6(reg.join(ev, K3).join(top, K3).join(fixed_quantiles(f, K3, "y_pred", {"pred_p95": 0.95}), K3))
 
 
-TAU4 = (0.1, 0.5, 0.9, 0.95)
+TAU64 = tuple(i / 65 for i in range(1, 65))
 
 
-@query("m12_weighted_quantile_score", f"""SELECT y, count(*)//4 AS n, {R('avg((1e0 + 1.5e0*(1e0/(1e0+exp(-(y-67e0)/2e0)))*greatest(2e0*tau-1e0,0e0)*exp(-24/48e0))*greatest(tau*(y-q),(tau-1e0)*(y-q)))')} AS score
-    FROM (SELECT vec_id, y, unnest([0.1e0,0.5e0,0.9e0,0.95e0]) AS tau, unnest(list_sort(list_slice(members, 1, 4))) AS q FROM ensembles) GROUP BY 1""")
+@query("m12_weighted_quantile_score", f"""SELECT y, count(*)//64 AS n, {R('avg((1e0 + 1.5e0*(1e0/(1e0+exp(-(y-67e0)/2e0)))*greatest(2e0*tau-1e0,0e0)*exp(-24/48e0))*greatest(tau*(y-q),(tau-1e0)*(y-q)))')} AS score
+    FROM (SELECT vec_id, y, unnest(list_transform(range(1, 65), lambda i: i/65e0)) AS tau, unnest(list_sort(members)) AS q FROM ensembles) GROUP BY 1""")
 def m12(t):
-    e = t.ensembles().select("y", SC.non_crossing(F.slice("members", 1, 4)).alias("q"))
-    w = SC.tail_weights("y", F.lit(24), TAU4, gamma=1.5)
-    return r6(e.groupBy("y").agg(F.count("*").alias("n"), F.avg(SC.weighted_quantile_loss("q", "y", TAU4, w)).alias("score")))
+    e = t.ensembles().select("y", SC.non_crossing("members").alias("q"))
+    w = SC.tail_weights("y", F.lit(24), TAU64, gamma=1.5)
+    return r6(e.groupBy("y").agg(F.count("*").alias("n"), F.avg(SC.weighted_quantile_loss("q", "y", TAU64, w)).alias("score")))
 
 
 @query("m13_threshold_crps", f"""WITH x AS (SELECT vec_id, greatest(y, 52e0) AS y, unnest(members) AS m FROM ensembles), r AS (SELECT vec_id, y, greatest(m, 52e0) AS m,
@@ -229,9 +230,9 @@ def m23(t):
 @query("m24_acceptance", f"""WITH a AS ({month_sql('n')}), r AS (SELECT avg(lo) AS ref_lo, avg(hi) AS ref_hi FROM a) SELECT series_id, {R('lo')} AS model_lo, {R('hi')} AS model_hi, {R('ref_lo')} AS ref_lo, {R('ref_hi')} AS ref_hi,
     abs(lo - ref_lo) <= greatest(0.35*abs(ref_lo), 0.3) AND abs(hi - ref_hi) <= greatest(0.35*abs(ref_hi), 0.3) AS accepted FROM a CROSS JOIN r""")
 def m24(t):
-    a = C.monthly_climatology(t.sales(), S, "n").select("series_id", F.col("lo").alias("model_lo"), F.col("hi").alias("model_hi"), F.lit(1).alias("k"))
-    ref = a.groupBy("k").agg(F.avg("model_lo").alias("ref_lo"), F.avg("model_hi").alias("ref_hi"))
-    return r6(C.acceptance(a.join(ref, "k").drop("k"), floor=0.3))
+    a = C.monthly_climatology(t.sales(), S, "n").select("series_id", F.col("lo").alias("model_lo"), F.col("hi").alias("model_hi"))
+    a = stage(a)
+    return r6(C.acceptance(a.withColumns({f"ref_{k}": a.agg(F.avg(f"model_{k}")).scalar() for k in ("lo", "hi")}), floor=0.3))
 
 
 FOLD = f"SELECT series_id, model, horizon_h, sqrt(avg({E2})) AS rmse, {r2_sql()} AS r2, sqrt(avg({E2}))/stddev_pop(y_true) AS nrmse FROM fc GROUP BY 1, 2, 3"

@@ -19,6 +19,7 @@ from .series import split_of
 
 SPEC = X.FeatureSpec(drivers=("t_c", "rh", "wind"), lags=6, windows=(24, 72))
 HS = (0, 24, 48, 72)
+LEADS = HS[1:]
 IS_TRAIN = "split = 'train'"
 
 
@@ -75,13 +76,14 @@ def l2b(t):
 
 @query("l3_expectile")
 def l3(t):
-    m = L.fit_reweighted(feats(t, (24,)).where(IS_TRAIN), (24,), (0.9, 0.95), kind="expectile")
-    return r6(m.select("horizon_h", "tau", "b0", F.posexplode("w").alias("idx", "w")))
+    """Asymmetric squares at three horizons and two levels, all in the same passes."""
+    m = L.fit_reweighted(feats(t, LEADS).where(IS_TRAIN), LEADS, (0.9, 0.95), kind="expectile")
+    return r6(m.select("horizon_h", "tau", "b0", "converged", F.posexplode("w").alias("idx", "w")))
 
 
 @query("l4_quantile")
 def l4(t):
-    m = L.fit_reweighted(feats(t, (24,)).where(IS_TRAIN), (24,), (0.9,), kind="quantile")
+    m = L.fit_reweighted(feats(t, LEADS).where(IS_TRAIN), LEADS, (0.9, 0.95), kind="quantile")
     return r6(m.select("horizon_h", "tau", "b0", F.posexplode("w").alias("idx", "w")))
 
 
@@ -105,10 +107,10 @@ def l6(t):
 
 @query("l7_qr_ridge")
 def l7(t):
-    """Per-site ridge through stacked QR factors."""
-    f = feats(t, (24,), key="series_id").withColumn("y", F.get("labels", F.lit(0))).where(IS_TRAIN).where("y IS NOT NULL")
-    m = L.ridge_by_qr(f, S, 1e-3)
-    return r6(m.select("series_id", "n", "b0", "condition", F.posexplode("w").alias("idx", "w")), 5)
+    """Per-site ridge through stacked QR factors, one model per site and horizon."""
+    f = truth(feats(t, LEADS, key="series_id").withColumn("model_id", F.col("series_id")), LEADS).where(IS_TRAIN).where("y_true IS NOT NULL")
+    m = L.ridge_by_qr(f.select("series_id", F.col("horizon_h").alias("lead_h"), "psi", F.col("y_true").alias("y")), ["series_id", "lead_h"], 1e-3)
+    return r6(m.select("series_id", "lead_h", "n", "b0", "condition", F.posexplode("w").alias("idx", "w")), 5)
 
 
 @query("l8_hour_ridge")
@@ -244,7 +246,7 @@ def l19(t):
     m = fit(f, (0,)).select("model_id", "w_raw", "b_raw")
     row = F.array("t_c", "rh")
     d = windowed(t.met_core(), S, lambda fr: {"h": F.collect_list(row).over(fr.between(-6, -1)), "g": F.collect_list(row).over(fr.between(0, 0))}, back=6)
-    w = X.splice_windows(d.where(F.size("h") == 6), F.col("h"), F.col("g"), 1, 6).withColumn("model_id", F.lit("pooled")).join(m, "model_id")
+    w = X.splice_windows(d.where(F.size("h") == 6), F.col("h"), F.col("g"), 1, 6).withColumn("model_id", F.lit("pooled")).join(L.small_side(m), "model_id")
 
     def read(vec):
         return F.aggregate(F.zip_with(vec, "w_raw", lambda a, b: a * b), F.col("b_raw"), lambda a, v: a + v)
@@ -315,8 +317,8 @@ def l2f(t):
     hs = tuple(range(73))
     src = t.depots()
     f = X.build_features(src, S, FULL, labels=("y", hs)).withColumn("model_id", F.lit("pooled"))
-    m = L.fit_ridge(f.where("year(ts) < 2000"), ["model_id"], hs)
-    return r6(m.select("horizon_h", "n", "b0", F.aggregate("w", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("l1_norm")))
+    m = L.fit_and_test(f.withColumn("split", F.when(F.year("ts") < 2000, "train").otherwise("test")), ["model_id"], hs)
+    return r6(m.select("horizon_h", "n", "b0", "n_test", "test_r2", F.aggregate("w", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("l1_norm")))
 
 
 # ---- two-driver variants with a closed form in SQL ------------------------------------------

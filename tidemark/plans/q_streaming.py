@@ -36,7 +36,7 @@ def closed_hours(t):
 
 def drivers(df):
     d = df.selectExpr("series_id", "ts", "n", "v div n as xc", "(k * 100) div n as kc")
-    return d.select("series_id", "ts", "n", (F.expr("least(xc div 4 - 1000, 4500L)") / 100.0).alias("t_c"), (F.col("kc") / 100.0).alias("rh"))
+    return d.select("series_id", "ts", "n", (F.expr("xc div 4 - 1000") / 100.0).alias("t_c"), (F.col("kc") / 100.0).alias("rh"))
 
 
 CLOSED = "done AS (SELECT m.* FROM met m WHERE m.ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events))"

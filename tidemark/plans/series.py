@@ -55,7 +55,7 @@ class Tables:
         yc = F.expr("(kc + uc) div 2")
         return self.cells().select(
             "series_id", "ts", "n",
-            (F.expr("least(xc div 4 - 1000, 4500L)") / 100.0).alias("t_c"),
+            (F.expr("xc div 4 - 1000") / 100.0).alias("t_c"),
             (F.col("kc") / 100.0).alias("rh"),
             F.when(F.col("n") % 3 == 0, F.col("xc") / 1000.0).otherwise(0.0).alias("rain"),
             (F.col("uc") / 10.0).alias("wind"),
@@ -99,7 +99,8 @@ class Tables:
     def depots(self) -> DataFrame:
         """Complete daily grid of 100 depots (suppliers modulo 100) with five weather-like drivers.
 
-        Days without a shipment count as zero, so the series have no gaps.
+        Drivers are means per line (quantity, discount, tax) in whole tenths or hundredths, which do not grow with the
+        number of lines; only ``rain`` counts lines. Days without a shipment are zero, so the series have no gaps.
         """
         li = self.lineitem
         cents = F.sum(F.round(F.col("l_discount") * 100).cast("long"))
@@ -107,9 +108,9 @@ class Tables:
              .agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("c"), cents.alias("d"),
                   F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("x")))
         g = complete_grid(d, ["series_id"], step_hours=24).na.fill(0, ["q", "c", "d", "x"])
-        return g.select("series_id", "ts", (F.expr("least(q, 400L)") / 10.0).alias("t_c"), F.expr("least(d, 100L)").cast("double").alias("rh"),
-                        (F.col("c") / 10.0).alias("rain"), F.col("x").cast("double").alias("wind"), (F.lit(860.0) + F.col("c")).alias("p_hpa"),
-                        (F.expr("least(q, 1000L) + d") / 10.0).alias("y"))
+        mean = {k: F.coalesce(F.expr(f"({k} * 100) div nullif(c, 0)"), F.lit(0)) for k in "qdx"}
+        return g.select("series_id", "ts", (mean["q"] / 100.0).alias("t_c"), (mean["d"] / 10.0).alias("rh"), (F.col("c") / 10.0).alias("rain"),
+                        (mean["x"] / 100.0).alias("wind"), (F.lit(860.0) + mean["x"] / 100.0).alias("p_hpa"), ((mean["q"] + mean["d"]) / 100.0).alias("y"))
 
     def sales(self) -> DataFrame:
         """Daily order count and turnover (in whole cents) per nation."""
@@ -133,7 +134,7 @@ CTES = {
         CAST(sum(CAST(regexp_extract(props,'[0-9]+') AS BIGINT))*100 // count(*) AS BIGINT) AS kc,
         CAST(sum(user_id % 100)*100 // count(*) AS BIGINT) AS uc
         FROM events GROUP BY 1, 2""",
-    "met": """SELECT series_id, ts, n, least(xc // 4 - 1000, 4500) / 100e0 AS t_c, kc / 100e0 AS rh,
+    "met": """SELECT series_id, ts, n, (xc // 4 - 1000) / 100e0 AS t_c, kc / 100e0 AS rh,
         CASE WHEN n % 3 = 0 THEN xc / 1000e0 ELSE 0e0 END AS rain, uc / 10e0 AS wind, 860e0 + uc / 1000e0 AS p_hpa,
         (kc + uc) // 2 AS yc, ((kc + uc) // 2) / 100e0 AS y FROM cells""",
     "grid": """SELECT g.series_id, g.ts, m.t_c, m.rh, m.y FROM
@@ -156,8 +157,8 @@ CTES = {
     "fct": "SELECT fc.*, thr.threshold FROM fc CROSS JOIN (SELECT unnest([62e0, 67e0, 75e0]) AS threshold) thr",
     "ship": """SELECT l_suppkey AS series_id, date_trunc('day', l_shipdate) AS ts,
         CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS lines FROM lineitem GROUP BY 1, 2""",
-    "depots": """SELECT series_id, ts, least(q, 400)/10e0 AS t_c, CAST(least(d, 100) AS DOUBLE) AS rh, c/10e0 AS rain, CAST(x AS DOUBLE) AS wind, 860e0 + c AS p_hpa, (least(q, 1000) + d)/10e0 AS y FROM (
-        SELECT g.series_id, g.ts, coalesce(q, 0) AS q, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(x, 0) AS x FROM
+    "depots": """SELECT series_id, ts, q/100e0 AS t_c, d/10e0 AS rh, c/10e0 AS rain, x/100e0 AS wind, 860e0 + x/100e0 AS p_hpa, (q + d)/100e0 AS y FROM (
+        SELECT g.series_id, g.ts, coalesce(q*100 // c, 0) AS q, coalesce(c, 0) AS c, coalesce(d*100 // c, 0) AS d, coalesce(x*100 // c, 0) AS x FROM
           (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM depot_days GROUP BY 1) g LEFT JOIN depot_days USING (series_id, ts))""",
     "sales": """SELECT c_nationkey AS series_id, date_trunc('day', o_orderdate) AS ts, count(*) AS n,
         CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) AS cents
