@@ -264,7 +264,9 @@ def made_page(rng: random.Random):
 
 def fit(pages: DataFrame) -> Labeller:
     """Trains on the driver, on the bounded sample named above."""
-    rows = (pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64("html")).limit(SAMPLE_PAGES).collect())
+    hashed = pages.where("html IS NOT NULL").select(F.xxhash64("html").alias("hash"), "html")
+    drawn = [r.hash for r in hashed.select("hash").distinct().orderBy("hash").limit(SAMPLE_PAGES).collect()]  # hashes first: pages are long
+    rows = hashed.where(F.col("hash").isin(drawn)).groupBy("hash").agg(F.first("html").alias("html")).orderBy("hash").collect() if drawn else []
     rng = random.Random(11)
     made = [made_page(rng) for _ in range(MADE_PAGES)]
     found = [p for p in (labelled_page(r.html) for r in rows) if p is not None]
