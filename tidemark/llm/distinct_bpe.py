@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,7 @@ _DOUBLE = regex.compile(r"[\s\x1c-\x1f\x85]{2}")
 
 @functools.lru_cache(4)
 def library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)

@@ -5,7 +5,7 @@ File format
     ``tables`` (one row: the frequencies of all symbols, shared by every block). A block holds whole documents:
 
     ========== =========================================================================================
-    shard, seq  order of the blocks: by shard, then by seq
+    shard, seq  order of the blocks: by shard, then by the number of their first document in the shard
     doc_ids     ids of its documents, in order
     lens        packed token counts of these documents
     lanes       number of interleaved coders; token i belongs to lane i mod lanes
@@ -25,6 +25,7 @@ per row, next to each other and ordered by their text; an empty table gives no b
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Callable
@@ -50,7 +51,7 @@ LOW = np.uint64(1 << 31)
 #: Text of one shard, about; a shard is one sorted partition and so one file.
 SHARD_BYTES = 32 << 20
 #: Words remembered per Python worker: about 150 bytes each.
-MEMO = 500_000
+MEMO = 800_000
 #: Texts that are split into words at the same time.
 TEXTS = 200
 
@@ -151,6 +152,8 @@ def crc(ids: np.ndarray) -> int:
 _memo: dict[str, dict[bytes, bytes]] = {}
 #: Marks that compose with a Latin letter are in U+0300 to U+036F; with them, case must stay as it is before composition.
 _COMBINING = (b"\xcc", b"\xcd")
+#: A stop after an ASCII letter or digit is a piece of its own: words with and without it are one word then.
+_STOPS = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \t-\r]|\Z)")
 
 
 def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
@@ -162,11 +165,14 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     memo = _memo.setdefault(path, {})
     split = []
     for t in texts:
-        split.append((t if any(m in t for m in _COMBINING) else t.lower()).split())
+        t = t if any(m in t for m in _COMBINING) else t.lower()
+        split.append(_STOPS.sub(rb" \1", t).split())
     new = list({w for words in split for w in words if w not in memo})
-    if len(memo) + len(new) > MEMO:
+    if len(memo) + len(new) > MEMO:  # long words are the rare ones
+        kept = {w: i for w, i in memo.items() if len(w) <= 7}
         memo.clear()
-        new = list({w for words in split for w in words})
+        memo.update(kept if len(kept) <= MEMO // 2 else {})
+        new = list({w for words in split for w in words if w not in memo})
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         found = library(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
@@ -175,6 +181,11 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     return [b"".join(map(memo.__getitem__, words)) + last for words in split]
 
 
+def _packed(ids: bytes) -> bytes:
+    a = np.frombuffer(ids, "<u4")
+    return pack(a if a.max() > 65535 else a.astype(np.uint16), 9)
+
+
 def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(shard, seq, doc_id, ids) in ascending order of doc_id: shards are ranges of ids, written as one file each.
 
@@ -195,7 +206,7 @@ def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], s
                 ids = tokenise(utf8(part["text"]))
                 n = len(ids)
                 yield pa.record_batch([pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(seq, seq + n)), part["doc_id"].cast(pa.int64()),
-                                       pa.array(ids, pa.binary())], ["shard", "seq", "doc_id", "ids"])
+                                       pa.array([_packed(x) for x in ids], pa.binary())], ["shard", "seq", "doc_id", "ids"])
                 seq += n
 
     return stage(ordered.mapInArrow(run, "shard INT, seq LONG, doc_id LONG, ids BINARY"), "rans-ids")
@@ -210,7 +221,7 @@ def shared_table(ids: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), "<u4"), minlength=len(total))
+            n = np.bincount(np.concatenate([unpack(x) for x in b["ids"].to_pylist()] or [np.zeros(0, np.int64)]), minlength=len(total))
             n[: len(total)] += total
             total = n
         used = np.flatnonzero(total)
@@ -248,36 +259,28 @@ def write(docs: DataFrame, path: str, tokenise: Callable | None = None, vocabula
         docs, parts, size, shard, seq = [], [], 0, None, 0
 
         def block():
-            own = np.frombuffer(b"".join(parts), "<u4")
+            own = np.concatenate(parts).astype(np.uint32)
             words, marks = encode(own, shared, lanes, mark_steps)
             made = [{"step": s, "place": p, "states": x.tobytes()} for s, p, x in marks]
-            lens = np.fromiter(map(len, parts), np.uint32, len(parts)) // np.uint32(4)
+            lens = np.fromiter(map(len, parts), np.uint32, len(parts))
             row = [shard, seq, docs, pack(lens), len(own), lanes, words.tobytes(), made, zlib.crc32(words.tobytes()), crc(own)]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, BLOCK)], schema=BLOCK)
 
+        # A task reads pieces of the shards' files, rows in order: a block ends where the next row does not follow.
         for b in batches:
-            for s, doc, x in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist()):
-                if shard is not None and s != shard:
-                    if parts:
-                        yield block()
-                    docs, parts, size, seq = [], [], 0, 0
-                shard = s
-                docs.append(doc)
-                parts.append(x)
-                size += len(x) // 4
-                if size >= block_tokens:
+            for s, n, doc, x in zip(b["shard"].to_pylist(), b["seq"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist()):
+                if parts and (size >= block_tokens or s != shard or n != seq + len(docs)):
                     yield block()
-                    docs, parts, size, seq = [], [], 0, seq + 1
+                    docs, parts, size = [], [], 0
+                if not parts:
+                    shard, seq = s, n
+                docs.append(doc)
+                parts.append(unpack(x))
+                size += len(parts[-1])
         if parts:
             yield block()
 
-    # A file of ids may be read by several tasks: rows of a shard are brought together in order before they are coded.
-    ordered = ids.repartition(_tasks(ids), "shard").sortWithinPartitions("shard", "seq")
-    ordered.mapInArrow(run, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
-
-
-def _tasks(ids: DataFrame) -> int:
-    return (ids.agg(F.max("shard")).first()[0] or 0) + 1
+    ids.mapInArrow(run, BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark, path: str, each: Callable, schema: str) -> DataFrame:
