@@ -354,13 +354,16 @@ def l8b(t):
     return r6(m.select("n", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
 
 
-@query("l14_two_driver_rollout", f"""WITH z AS (SELECT series_id, ts, y, (t_c - avg(t_c) OVER w)/stddev_pop(t_c) OVER w AS z1, (rh - avg(rh) OVER w)/stddev_pop(rh) OVER w AS z2 FROM met WHERE ts < TIMESTAMP '2024-01-11' WINDOW w AS (PARTITION BY series_id)),
+L14_SQL = f"""WITH z AS (SELECT series_id, ts, y, (t_c - avg(t_c) OVER w)/stddev_pop(t_c) OVER w AS z1, (rh - avg(rh) OVER w)/stddev_pop(rh) OVER w AS z2 FROM met WHERE ts < TIMESTAMP '2024-01-11' WINDOW w AS (PARTITION BY series_id)),
     mo AS (SELECT series_id, {MOM} FROM z GROUP BY 1), r AS (SELECT series_id, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, my FROM mo),
     g AS (SELECT a.series_id, avg(a.z1*a.z1) + 0.5 AS a11, avg(a.z2*a.z2) + 0.5 AS a22, avg(a.z1*a.z2) AS a12, avg(a.z1*b.z1) AS b11, avg(a.z1*b.z2) AS b12, avg(a.z2*b.z1) AS b21, avg(a.z2*b.z2) AS b22
       FROM z a JOIN z b ON b.series_id = a.series_id AND b.ts = a.ts + INTERVAL 1 HOUR GROUP BY 1),
     k AS (SELECT series_id, (a22*b11 - a12*b21)/d AS k11, (a11*b21 - a12*b11)/d AS k12, (a22*b12 - a12*b22)/d AS k21, (a11*b22 - a12*b12)/d AS k22 FROM (SELECT *, a11*a22 - a12*a12 AS d FROM g)),
     h1 AS (SELECT series_id, w1*k11 + w2*k21 AS u1, w1*k12 + w2*k22 AS u2, my, k11, k12, k21, k22 FROM r JOIN k USING (series_id))
-    SELECT series_id, 1 AS horizon_h, {R('u1')} AS w1, {R('u2')} AS w2, {R('my')} AS b0 FROM h1 UNION ALL SELECT series_id, 2, {R('u1*k11 + u2*k21')}, {R('u1*k12 + u2*k22')}, {R('my')} FROM h1""")
+    SELECT series_id, 1 AS horizon_h, {R('u1')} AS w1, {R('u2')} AS w2, {R('my')} AS b0 FROM h1 UNION ALL SELECT series_id, 2, {R('u1*k11 + u2*k21')}, {R('u1*k12 + u2*k22')}, {R('my')} FROM h1"""
+
+
+@query("l14_two_driver_rollout", L14_SQL)
 def l14b(t):
     """Rolled readouts w'K and w'K^2; the transition comes from moments of consecutive hours."""
     m = L.fit_transition(feats(t, (0,), TWO, key="series_id").where(IS_TRAIN), S, (1, 2))
@@ -507,3 +510,80 @@ def d15(t):
         s = D.score_domains(D.predict_domains(z, models, TASK), models, TASK).withColumn("protocol", F.lit(protocol))
         out = s if out is None else out.unionByName(s)
     return r6(out.select("protocol", "horizon_h", "domain", "arm", "n_sources", "n", "r2", "rmse", "nrmse", "error"), 4)
+
+
+# ---- closed forms for cache, modes and transfer ---------------------------------------------
+
+def _two(models, *keys):
+    return r6(models.select(*keys, F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"))
+
+
+@query("l1_two_driver_ridge", f"SELECT n, w1, w2, b0 FROM ({TWO_SQL}) WHERE horizon_h = 0")
+def l1b(t):
+    return _two(fit(feats(t, (0,), TWO), (0,)), "n")
+
+
+@query("s9_two_driver_cache", f"SELECT horizon_h, false AS first_hit, true AS second_hit, w1, w2, b0 FROM ({TWO_SQL}) WHERE horizon_h = 24")
+def s9b(t):
+    """The stored weights that the second call finds are the closed form of the first call's fit."""
+    path = f"{checkpoint_dir(t.spark)}/models-{uuid.uuid4().hex}"
+    f = feats(t, (24,), TWO)
+    key = fingerprint(source=t.dir, split="2024-01-11", beta=0.5, spec=TWO)
+    _, hit1 = load_or_fit(t.spark, path, key, lambda: fit(f, (24,)))
+    m, hit2 = load_or_fit(t.spark, path, key, lambda: fit(f, (24,)))
+    return _two(m, "horizon_h", F.lit(hit1).alias("first_hit"), F.lit(hit2).alias("second_hit"))
+
+
+L15_SQL = L14_SQL[: L14_SQL.index("h1 AS (")].rstrip().rstrip(",") + f""", e AS (SELECT series_id, k11 + k22 AS tr, k11*k22 - k12*k21 AS det, (k11 + k22)*(k11 + k22)/4 - (k11*k22 - k12*k21) AS disc FROM k),
+    v AS (SELECT series_id, s, CASE WHEN disc < 0 THEN tr/2 ELSE tr/2 + s*sqrt(disc) END AS re, CASE WHEN disc < 0 THEN s*sqrt(-disc) ELSE 0e0 END AS im FROM e CROSS JOIN (SELECT unnest([1e0, -1e0]) AS s)),
+    a AS (SELECT *, sqrt(re*re + im*im) AS size FROM v)
+    SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY round(size, 12) DESC, im DESC) - 1 AS INT) AS mode, {R('size', 5)} AS abs_lambda, {R('-1/ln(size)', 4)} AS tau_hours,
+    CASE WHEN im = 0 AND re > 0 THEN NULL ELSE {R('2*pi()/abs(atan2(im, re))', 4)} END AS period_hours FROM a WHERE size > 0 AND size < 1"""
+
+
+@query("l15_two_driver_modes", L15_SQL)
+def l15b(t):
+    """Two drivers: the eigenvalues are roots of a quadratic. A mode that does not turn has no period."""
+    m = L.mode_table(feats(t, (0,), TWO, key="series_id").where(IS_TRAIN), S)
+    period = F.when(F.col("period_hours") < float("inf"), F.round("period_hours", 4))
+    return m.select("series_id", "mode", F.round("abs_lambda", 5).alias("abs_lambda"), F.round("tau_hours", 4).alias("tau_hours"), period.alias("period_hours"))
+
+
+TWO_SITE = """st AS (SELECT *, (x2 + u)/2 AS y FROM (SELECT 'site' || (user_id % 8) AS domain, date_trunc('hour', ts) AS ts, avg(value)/4 - 10 AS x1,
+      avg(CAST(regexp_extract(props,'[0-9]+') AS DOUBLE)) AS x2, avg(user_id % 100) AS u FROM events GROUP BY 1, 2)),
+    rw AS (SELECT domain, x1, x2, y, CASE WHEN pos < floor(n_rows*0.6) THEN 'train' WHEN pos < floor(n_rows*0.6) + floor(n_rows*0.2) THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n_rows FROM st)),
+    al AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS d1, avg(x2) AS a2, stddev_pop(x2) AS d2 FROM rw), co AS (SELECT domain, avg(x2) AS s FROM st GROUP BY 1),
+    fold AS (SELECT h.domain AS hold, avg(x1) AS mu1, stddev_pop(x1) AS sd1, avg(x2) AS mu2, stddev_pop(x2) AS sd2 FROM co h JOIN rw ON rw.domain <> h.domain WHERE split = 'train' GROUP BY 1),
+    near AS (SELECT h.domain AS hold, arg_min(o.domain, abs(o.s - h.s)) AS pick FROM co h JOIN co o ON o.domain <> h.domain GROUP BY 1)"""
+#: Which rows each arm fits on, for the held-out domain ``hold``.
+ARM_ROWS = {"pooled": "rw.domain <> hold AND split <> 'test'", "nearest": "rw.domain = pick AND split <> 'test'", "oracle": "rw.domain = hold AND split = 'train'"}
+DTWO = X.FeatureSpec(drivers=("t_c", "rh"), lags=1, windows=(), slow=False, ratio=False)
+
+
+def _arm_sql(arm):
+    return f"""WITH {TWO_SITE}, mo AS (SELECT hold, {MOM} FROM (SELECT hold, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN near USING (hold) JOIN rw ON {ARM_ROWS[arm]}) GROUP BY 1),
+    w AS (SELECT hold, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo), r AS (SELECT hold, w1/sd1 AS r1, w2/sd2 AS r2, my - w1*m1 - w2*m2 - w1*mu1/sd1 - w2*mu2/sd2 AS b FROM w JOIN fold USING (hold))
+    SELECT hold AS domain, '{arm}' AS arm, {R('r1*d1', 5)} AS w1, {R('r2*d2', 5)} AS w2, {R('b + r1*a1 + r2*a2', 5)} AS b0 FROM r CROSS JOIN al"""
+
+
+def _arm_two(t, arm):
+    """Weights of one arm for every held-out site, on the scale of all rows, as two-driver closed forms."""
+    m = sites(t)
+    f = split_by_fraction(X.build_features(m, ["domain"], DTWO, labels=("y", (0,))), ["domain"]).select(
+        "domain", "ts", "split", "psi", F.get("labels", F.lit(0)).alias("y"), F.lit(0).alias("horizon_h"))
+    _, mom = D.domain_moments(f.where("y IS NOT NULL"), TASK)
+    models = D.fit_domains(mom, site_coords(m).where("coord = 'mean'"), TASK, D.TransferSpec(arms=(arm,), betas=(0.5,)))
+    return r6(models.select("domain", "arm", F.get("w_raw", F.lit(0)).alias("w1"), F.get("w_raw", F.lit(1)).alias("w2"), F.col("b_raw").alias("b0")), 5)
+
+
+for _id, _arm in ((2, "pooled"), (3, "nearest"), (9, "oracle")):
+    query(f"d{_id}_two_driver_{_arm}", _arm_sql(_arm))(lambda t, a=_arm: _arm_two(t, a))
+
+
+@query("d6_two_driver_heads", f"""WITH {TWO_SITE}, s AS (SELECT domain, avg(x1) AS mu1, stddev_pop(x1) AS sd1, avg(x2) AS mu2, stddev_pop(x2) AS sd2 FROM rw WHERE split = 'train' GROUP BY 1),
+    mo AS (SELECT domain, {MOM} FROM (SELECT rw.domain, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM rw JOIN s USING (domain) WHERE split = 'train') GROUP BY 1)
+    SELECT domain, n, {R(W1.format(b='1e0'))} AS w1, {R(W2.format(b='1e0'))} AS w2, {R('my')} AS b0 FROM mo""")
+def d6b(t):
+    f = split_by_fraction(X.build_features(sites(t), ["domain"], DTWO, labels=("y", (0,))), ["domain"]).where(IS_TRAIN)
+    return _two(L.fit_ridge(f, ["domain"], (0,), beta=1.0), "domain", "n")
