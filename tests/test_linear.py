@@ -188,13 +188,10 @@ def test_l15_modes(spark):
     assert rows[0]["tau_hours"] == pytest.approx(-1 / np.log(abs(ev[0])), rel=1e-6)
 
 
-def test_moments_do_not_depend_on_open_key_limit(spark, monkeypatch):
+def test_moments_do_not_depend_on_the_memory_limit(spark):
     d, X, Y, key = random_features(spark, keys=5)
-    from tidemark.operators import moments
-
     stats = vector_stats(d, M)
     z = standardise_vectors(d, stats, M)
     a = grams(z, M).orderBy("model_id", "h", "i").collect()
-    monkeypatch.setattr(moments, "MAX_OPEN_KEYS", 1)
-    b = grams(z, M).orderBy("model_id", "h", "i").collect()
+    b = grams(z, M, max_bytes=1).orderBy("model_id", "h", "i").collect()
     assert [r["g"] for r in a] == [pytest.approx(r["g"]) for r in b]

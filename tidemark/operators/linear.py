@@ -350,7 +350,12 @@ def _transition_cells(feats: DataFrame, keys, ts="ts"):
     nxt = z.select(*keys, add_hours(ts, -1).alias(ts), F.col("z").alias("_next"))
     none = F.transform("z", lambda v: F.lit(None).cast("double"))
     j = z.join(nxt, [*keys, ts], "left").withColumn("labels", F.concat(F.array("_y0"), F.coalesce("_next", none)))
-    return grams(j, keys), stats
+    return grams(j, keys, gaps=_together), stats
+
+
+def _together(n):
+    """The target has gaps of its own; the next state's entries are missing together."""
+    return [0] + [1] * (n - 1)
 
 
 def fit_transition(feats: DataFrame, keys, horizons, beta=0.5) -> DataFrame:
@@ -370,7 +375,7 @@ def fit_transition(feats: DataFrame, keys, horizons, beta=0.5) -> DataFrame:
 def _operator(pdf, beta):
     """Transition matrix (no intercept), the same-hour readout and its labelled rows, from one key's moments."""
     p = len(pdf.loc[pdf["h"] == -1, "g"].iloc[0]) - 1
-    cells = unpack(pdf, p + 1)
+    cells = unpack(pdf, p + 1, _together)
     G0, b0, _ = cells[0]
     w = ridge(G0, b0, G0[-1, -1], beta)
     G1 = cells[1][0]

@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 SHARED = -1  # horizon index of the part that all horizons share
-MAX_OPEN_KEYS = 64  # partial matrices held by a task before they are emitted
+MAX_BYTES = 256 << 20  # partial matrices held by a task before they are emitted
 
 
 def matrix(col) -> np.ndarray:
@@ -73,12 +73,18 @@ def _summed(parts: DataFrame, keys) -> DataFrame:
     return total.withColumn("g", vector_to_array("g"))
 
 
-def grams(df: DataFrame, keys, z="z", labels="labels") -> DataFrame:
+def _held(acc):
+    return sum(m.nbytes for m in acc.values())
+
+
+def grams(df: DataFrame, keys, z="z", labels="labels", gaps=range, max_bytes=MAX_BYTES) -> DataFrame:
     """Moment rows ``(keys, h, i, g)`` of the vectors ``[z, 1]`` and each label horizon.
 
     ``h = -1`` holds the matrix over all rows; for each horizon, row 0 holds
     ``[A'y, y'y]`` over its labelled rows and further rows (if any) the matrix of the rows
     without that label, to be subtracted. So any number of horizons costs one pass.
+    ``gaps(n)`` names for each label the label whose missing rows are also its own; labels that are missing
+    together share one such matrix. A task emits what it holds whenever that exceeds ``max_bytes``.
     """
     def run(batches):
         acc = {}
@@ -93,12 +99,13 @@ def grams(df: DataFrame, keys, z="z", labels="labels") -> DataFrame:
                 cross = np.column_stack([y0.T @ a, (y0 * y0).sum(axis=0)])
                 for h in range(y.shape[1]):
                     _add(acc, (key, 2 * h), cross[h : h + 1])
+                for h in set(gaps(y.shape[1])):
                     gone = a[~ok[:, h]]
                     if len(gone):
                         _add(acc, (key, 2 * h + 1), gone.T @ gone)
-            if len({k for k, _ in acc}) > MAX_OPEN_KEYS:
-                yield from _emit(keys, acc)
-                acc = {}
+                if _held(acc) > max_bytes:
+                    yield from _emit(keys, acc)
+                    acc = {}
         yield from _emit(keys, acc)
 
     need = df.select(*keys, z, labels)
@@ -110,14 +117,14 @@ def _add(acc, k, m):
     acc[k] = acc[k] + m if k in acc else m
 
 
-def unpack(pdf, n_labels):
-    """Moment rows of one key to ``[(G, b, yy)]`` per horizon (sums, not means)."""
+def unpack(pdf, n_labels, gaps=range):
+    """Moment rows of one key to ``[(G, b, yy)]`` per horizon (sums, not means); ``gaps`` as given to ``grams``."""
     by_h = {h: np.vstack(g.sort_values("i")["g"].to_list()) for h, g in pdf.groupby("h")}
     G = by_h[SHARED]
     out = []
-    for h in range(n_labels):
+    for h, gap in zip(range(n_labels), gaps(n_labels)):
         row = by_h[2 * h][0]
-        out.append((G - by_h.get(2 * h + 1, 0.0), row[:-1], float(row[-1])))
+        out.append((G - by_h.get(2 * gap + 1, 0.0), row[:-1], float(row[-1])))
     return out
 
 
@@ -137,6 +144,9 @@ def weighted_grams(df: DataFrame, keys, weigh, n_sets, z="z", labels="labels") -
                     ok = np.isfinite(y)
                     full = np.column_stack([A[idx][ok], y[ok]])
                     _add(acc, (key, s), (full * w[ok][:, None]).T @ full)
+                if _held(acc) > MAX_BYTES:
+                    yield from _emit(keys, acc)
+                    acc = {}
         yield from _emit(keys, acc)
 
     parts = df.select(*keys, z, labels).mapInArrow(run, _schema(df, keys, ["h INT", "i INT", "g ARRAY<DOUBLE>"]))
@@ -150,7 +160,7 @@ def triangular(df: DataFrame, keys, z="z", y="y", weight=None, fan_in=32) -> Dat
     no step holds more than ``fan_in`` factors whatever the number of tasks.
     """
     def local(batches):
-        acc = {}
+        acc, pid = {}, TaskContext.get().partitionId()
         for b in batches:
             Z = matrix(b.column(z))
             rows = np.column_stack([Z, np.ones(len(Z)), b.column(y).to_numpy(zero_copy_only=False)])
@@ -158,10 +168,11 @@ def triangular(df: DataFrame, keys, z="z", y="y", weight=None, fan_in=32) -> Dat
                 rows = rows * np.sqrt(b.column(weight).to_numpy(zero_copy_only=False))[:, None]
             for key, idx in key_slices(b, keys):
                 part = rows[idx][np.isfinite(rows[idx]).all(axis=1)]
-                acc[key] = np.linalg.qr(np.vstack([acc[key], part]) if key in acc else part, mode="r")
-        pid = TaskContext.get().partitionId()
-        for rb in _emit(keys, {(k, pid): r for k, r in acc.items()}):
-            yield rb
+                acc[key, pid] = np.linalg.qr(np.vstack([acc[key, pid], part]) if (key, pid) in acc else part, mode="r")
+                if _held(acc) > MAX_BYTES:
+                    yield from _emit(keys, acc)
+                    acc = {}
+        yield from _emit(keys, acc)
 
     cols = [z, y] + ([weight] if weight else [])
     schema = _schema(df, keys, ["h INT", "i INT", "g ARRAY<DOUBLE>"])
