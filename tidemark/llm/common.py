@@ -83,6 +83,13 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices, so that only few texts are Python objects at the same time."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def in_fold(column: str, remainder: int, folds: int = 5):
     """Whether crc32 of the id as text has this remainder; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds) == remainder

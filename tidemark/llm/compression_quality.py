@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_fold, utf8
+from .common import fold_of, in_fold, small, utf8
 
 SAMPLE = 3000
 DICTIONARY_TEXT = 16_384
@@ -96,7 +96,7 @@ class Calibration:
 def featured(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     def run(batches):
         sizes = Sizes(good, bad)
-        for b in batches:
+        for b in small(batches):
             x = [list(map(float, sizes.features(t))) for t in utf8(b["text"])]
             yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -113,7 +113,7 @@ class Model:
 
         def run(batches):
             sizes = Sizes(model.good, model.bad)
-            for b in batches:
+            for b in small(batches):
                 texts = utf8(b["text"])
                 if model.calibration is None or not texts:
                     p = np.full(len(texts), model.share)

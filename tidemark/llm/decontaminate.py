@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small, utf8
 
 Q = 8
 EDIT_RATE = 0.1
@@ -232,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             index = Index(sent.value)
-            for b in batches:
+            for b in small(batches):
                 got = [(doc, index.ids[i], e, s, z) for doc, hits in zip(b["doc_id"].to_pylist(), scan(index, utf8(b["text"]))) for i, e, s, z in hits]
                 cols = list(zip(*got)) if got else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -250,7 +250,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             index = Index(sent.value)
-            for b in batches:
+            for b in small(batches):
                 keep = [not hits for hits in scan(index, utf8(b["text"]))]
                 yield pa.RecordBatch.from_arrays([b[i] for i in range(len(names))], names).filter(pa.array(keep, pa.bool_()))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, stage, utf8
+from .common import groups_for, small, stage, utf8
 
 MIN_CHARS = 10
 #: Keys per shard: bounds one filter (about 2.2 MB) and the rows of one group.
@@ -49,7 +49,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id), each key once per row of ``docs``; the key is a 128-bit digest of the normalised line."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             keys, ids = [], []
             for doc, text in zip(b["doc_id"].to_pylist(), utf8(b["text"])):
                 own = {k for k in map(line_key, text.split(b"\n")) if len(k) >= min_chars}
@@ -261,7 +261,7 @@ def dedup_lines(docs: DataFrame, state: LineDedup | None = None, min_chars: int
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts, n, k = [], [], []
             for text, lost in zip(utf8(b["text"]), b["_lost"].to_pylist()):
                 lines = text.split(b"\n")

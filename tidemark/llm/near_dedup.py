@@ -2,9 +2,10 @@
 
 Fingerprints of such pairs differ in about ten of 64 bits, too many for bands of bits. The shards of the BK-trees are
 therefore the documents that share a minimum of their shingles under one of ``KEYS`` hash orders (a pair at 0.8 misses all
-of them with probability 0.2 ** 10). Inside a shard the tree's edges within ``RADIUS`` bits (more than four standard
-deviations above ten) give the pairs to compare; these are compared exactly, by their sets of shingles, unless already
-connected, and a task returns stars of linked documents. Shards of more than ``SHARD`` texts are cut into chunks, and every
+of them with probability 0.2 ** 8). Inside a shard the tree's edges within ``RADIUS`` bits (more than four standard
+deviations above ten) give the pairs to compare. A first search keeps the documents that have such a pair; their sets of
+shingles are then fetched, pairs are compared exactly unless already connected, and a task returns stars of linked
+documents. Shards of more than ``SHARD`` texts are cut into chunks, and every
 two chunks meet in a task of their own, so that no task holds a hot shard and none of its pairs is left out.
 
 Texts that are equal but for case and white space are one text from the start. Defined results: null and empty texts are
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import small, stage, utf8
 from .components import components, local_components
 from .simhash import BKForest, shingles
 
-WIDTH, SIMILARITY, KEYS, RADIUS = 5, 0.8, 10, 22
+WIDTH, SIMILARITY, KEYS, RADIUS = 5, 0.8, 8, 22
 SHARD = 4000
 #: Rows of shards that share one task, about.
-TASK_ROWS = 20_000
+TASK_ROWS, SET_ROWS = 50_000, 4_000
 _ODD = (np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
@@ -59,7 +60,7 @@ def prints_of(s: np.ndarray) -> tuple[int, list[int]]:
 
 def prints(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text in zip(b["doc_id"].to_pylist(), utf8(b["text"])):
                 s = shingle_set(text)
@@ -75,7 +76,7 @@ def with_digest(docs: DataFrame, name: str = "_digest") -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             own = pa.array([digest(t) for t in utf8(b["text"])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(names))), own], [*names, name])
 
@@ -86,7 +87,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(digest, set) of the texts in ``wanted``, each once."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch([b["digest"], pa.array([shingle_set(t).tobytes() for t in utf8(b["text"])], pa.binary())], ["digest", "set"])
 
     texts = with_digest(docs.select("text"), "digest").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
@@ -100,6 +101,19 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+def promising(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """The rows (task, shard, digest, fp, n) that have another of their shard within the radius and of a possible size."""
+
+    def run(t: pa.Table) -> pa.Table:
+        size, hit = np.asarray(t["n"]).astype(float), np.zeros(len(t), bool)
+        for q, node in BKForest(np.asarray(t["shard"]), np.asarray(t["fp"]).view(np.uint64)).links(radius):
+            close = np.minimum(size[q], size[node]) >= similarity * np.maximum(size[q], size[node])
+            hit[q[close]] = hit[node[close]] = True
+        return t.filter(pa.array(hit))
+
+    return rows.groupBy("task").applyInArrow(run, rows.schema)
+
+
 def compared(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
     """(a, b): digests linked inside a shard or between two chunks of one, as stars."""
 
@@ -136,21 +150,25 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
     """Texts (digest, doc_id, rows), and (node, root) of the digests that are linked to others."""
     texts = stage(prints(docs).groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n")), "near-texts")
-    keyed = texts.where("n > 0").select("digest", "fp", F.posexplode("keys").alias("order", "low")).select("digest", "fp", F.xxhash64("order", "low").alias("shard"))
+    keyed = texts.where("n > 0").select("digest", "fp", "n", F.posexplode("keys").alias("order", "low"))
+    keyed = keyed.select("digest", "fp", "n", F.xxhash64("order", "low").alias("shard"))
     sizes = keyed.groupBy("shard").count().where("count > 1")
     rows = stage(keyed.join(sizes, "shard"), "near-shards")
-    wanted = rows.select("digest").distinct()
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("count") / SHARD)).cast("int")
+    own = rows.select("digest", "fp", "n", "shard", chunks.alias("chunks"), F.pmod(F.xxhash64("digest"), chunks).cast("int").alias("chunk"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "digest", "fp", "n", F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("shard"), "chunks")
+
+    def dealt(df: DataFrame, total: int, each: int) -> DataFrame:
+        """Cut shards have a task each, the others are packed into tasks of about ``each`` rows."""
+        return df.withColumn("task", F.when(F.col("chunks") > 1, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-total // each))))))
+
+    near = stage(promising(dealt(meet, rows.count(), TASK_ROWS), similarity, radius), "near-candidates")
+    wanted = near.select("digest").distinct()
     if wanted.isEmpty():
         return texts, docs.sparkSession.createDataFrame([], "node BINARY, root BINARY")
     sets = stage(sets_of(docs, wanted), "near-sets")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("count") / SHARD)).cast("int")
-    own = rows.select("digest", "fp", "shard", chunks.alias("chunks"), F.pmod(F.xxhash64("digest"), chunks).cast("int").alias("chunk"))
-    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "digest", "fp", F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("shard"), "chunks")
-    tasks = max(1, -(-rows.count() // TASK_ROWS))
-    task = F.when(F.col("chunks") > 1, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(tasks)))
-    links = compared(meet.withColumn("task", task).join(sets, "digest"), similarity, radius)
-    return texts, components(links)
+    return texts, components(compared(dealt(near, near.count(), SET_ROWS).join(sets, "digest"), similarity, radius))
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

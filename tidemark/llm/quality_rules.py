@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import small, stage, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -118,7 +118,7 @@ def measured(docs: DataFrame) -> DataFrame:
     names = [*STATS, "base_failed", "votes"]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             m = judged(utf8(b["text"]))
             yield pa.record_batch([b["doc_id"].cast(pa.int64()), *(pa.array(m[k]) for k in names)], ["doc_id", *names])
 
@@ -182,7 +182,7 @@ def judge(stats: DataFrame, prior: np.ndarray, theta: np.ndarray, threshold: flo
     names = stats.columns
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             p = posterior(np.asarray(b["votes"]), prior, theta) if b.num_rows else np.zeros(0)
             kept = (p >= threshold) & ~np.asarray(b["base_failed"].to_pylist(), bool)
             yield pa.record_batch([*(b[c] for c in names), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], [*names, "quality", "kept"])
@@ -196,7 +196,7 @@ def filter_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             m = judged(utf8(b["text"]))
             kept = (posterior(m["votes"], prior, theta) >= threshold) & ~m["base_failed"] if b.num_rows else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([b[i] for i in range(len(names))], names).filter(pa.array(kept, pa.bool_()))

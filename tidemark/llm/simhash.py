@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import small, stage, utf8
 from .components import components, local_components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             fp = np.array([fingerprint(t, width) for t in utf8(b["text"])], np.uint64).view(np.int64)
             yield pa.record_batch([b["doc_id"].cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
