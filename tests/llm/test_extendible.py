@@ -34,7 +34,8 @@ def check(got, limit):
 
 def test_hot_keys_and_equal_rows_split(spark, documents):
     rows = [*ODD, *[(5, "same text in one row after the other")] * 300, *[(6, f"same id {k}") for k in range(200)], (77, "y" * 5000)]
-    docs = documents(rows).withColumn("shard", F.lit("clash")).withColumn("cell", F.lit(1))
+    docs = documents(rows).withColumn("shard", F.lit("clash")).withColumn("cell", F.lit(1)).withColumn("_bits", F.lit("mine"))
+    assert {r._bits for r in X.sharded(docs.limit(3)).collect()} == {"mine"}
     got = X.sharded(docs, 1000).collect()
     assert len(got) == len(rows)
     by = check(got, 1000)

@@ -67,8 +67,8 @@ def test_near_dedup_equals_all_pairs(spark, documents, monkeypatch, kind, shard)
     family = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(60)]
     rows = {"odd": ODD, "copies": near_copies(60), "family": family, "empty": [],
             "table": [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]}[kind]
-    got = N.near_dedup(documents(rows).withColumn("digest", F.lit("clash")))
-    assert got.columns[-1] == "digest"
+    got = N.near_dedup(documents(rows).withColumns({"digest": F.lit("clash"), "_digest": F.lit("clash"), "_keep": F.lit(1)}))
+    assert got.columns[-3:] == ["digest", "_digest", "_keep"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == kept_of(rows)
 
 

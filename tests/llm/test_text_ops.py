@@ -69,8 +69,8 @@ def test_cuckoo_filter_keeps_and_forgets():
 def test_clashing_columns(documents):
     from pyspark.sql import functions as F
 
-    docs = documents(ODD).withColumns({"n_lines": F.lit("x"), "fp": F.lit(1), "keys": F.lit(2), "votes": F.lit(3), "key": F.lit(4)})
-    assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "keys", "votes", "key", "n_lines", "n_dropped"]
+    docs = documents(ODD).withColumns({"n_lines": F.lit("x"), "fp": F.lit(1), "keys": F.lit(2), "votes": F.lit(3), "key": F.lit(4), "_doc": F.lit(5), "_lost": F.lit(6)})
+    assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "keys", "votes", "key", "_doc", "_lost", "n_lines", "n_dropped"]
     assert line_dedup.dedup_lines(docs).count() == len(ODD) == simhash.query(docs).count() == quality_rules.query(docs).count()
     assert quality_rules.filter_documents(docs).columns == docs.columns
 

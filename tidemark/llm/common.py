@@ -83,6 +83,17 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def small(batches, rows: int = 1000):
     """Arrow batches in slices, so that only few texts are Python objects at the same time."""
     for b in batches:

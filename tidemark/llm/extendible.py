@@ -68,7 +68,7 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def assigned(rows: DataFrame, limit: int) -> DataFrame:
-    """Staged rows with their shard; one join per round of the directory, the first of which holds nearly all rows."""
+    """Staged rows (keys in _bits and _bytes) with their shard; one join per round of the directory, the first of which holds nearly all rows."""
     made = directory(rows.select("_bits", "_bytes"), limit)
     names = [c for c in rows.columns if c not in ("_bits", "_bytes")]
     none = [F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs")]
@@ -81,7 +81,10 @@ def assigned(rows: DataFrame, limit: int) -> DataFrame:
 
 def sharded(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with shard (its bits), depth, shard_bytes and shard_docs."""
-    return assigned(stage(keyed(docs.drop(*ADDED, "_bits", "_bytes")), "hash-rows"), limit)
+    docs = docs.drop(*ADDED)
+    own = {c: f"{c}__own" for c in docs.columns if c in ("_bits", "_bytes", "_cell")}  # set aside, then named as before
+    made = assigned(stage(keyed(docs.withColumnsRenamed(own)), "hash-rows"), limit)
+    return made.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:

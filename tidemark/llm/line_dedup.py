@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, small, stage, utf8
+from .common import groups_for, small, stage, unused, utf8
 
 MIN_CHARS = 10
 #: Keys per shard: bounds one filter (about 2.2 MB) and the rows of one group.
@@ -256,14 +256,15 @@ def dedup_lines(docs: DataFrame, state: LineDedup | None = None, min_chars: int
     state = state or LineDedup.build(docs, min_chars)
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    lost = state.dropped().withColumnsRenamed({"doc_id": "_doc", "keys": "_lost"})
-    joined = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, gone = unused(docs, "_doc", "_lost")
+    lost = state.dropped().withColumnsRenamed({"doc_id": doc, "keys": gone})
+    joined = docs.join(lost, F.col("doc_id") == F.col(doc), "left").drop(doc)
     at = names.index("text")
 
     def run(batches):
         for b in small(batches):
             texts, n, k = [], [], []
-            for text, lost in zip(utf8(b["text"]), b["_lost"].to_pylist()):
+            for text, lost in zip(utf8(b["text"]), b[gone].to_pylist()):
                 lines = text.split(b"\n")
                 kept = lines
                 if lost:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage, utf8
+from .common import small, stage, unused, utf8
 from .components import components, local_components
 from .simhash import BKForest, shingles
 
@@ -178,9 +178,10 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RA
     # nulls last: a null id stays only if there is no other
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
     fate = named.join(best, "root").select("digest", (F.col("digest") == F.col("best.digest")).alias("stays"))
+    dig, keep, stays = unused(docs, "_digest", "_keep", "_stays")
     touched = (texts.join(fate, "digest", "left").where("rows > 1 OR stays IS NOT NULL")
-               .select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_keep"), F.coalesce("stays", F.lit(True)).alias("_stays")))
-    joined = with_digest(docs).join(touched, "_digest", "left")
-    free = joined.where("_stays IS NULL")
-    one = joined.where("_stays AND doc_id <=> _keep").dropDuplicates(["_digest"])
+               .select(F.col("digest").alias(dig), F.col("doc_id").alias(keep), F.coalesce("stays", F.lit(True)).alias(stays)))
+    joined = with_digest(docs, dig).join(touched, dig, "left")
+    free = joined.where(F.col(stays).isNull())
+    one = joined.where(F.col(stays) & F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([dig])
     return free.unionByName(one).select(docs.columns)
