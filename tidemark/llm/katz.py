@@ -316,10 +316,11 @@ def token_probabilities(p: Pairs, tokens, number, count, found: list[dict], how:
         for k in range(MAX_R):
             m[at, k] = np.repeat(unpack(parts[1 + k]).astype(np.int64), n)
         mass[at] = np.repeat(unpack(parts[1 + MAX_R]).view(np.float64), n)
-    if hot:
-        for h in np.unique(p.history[count[p.history] > how.hot_above]).tolist():
-            own = p.history == h
-            m[own], mass[own] = hot[int(number[h])][:MAX_R], hot[int(number[h])][MAX_R]
+    own = np.flatnonzero(count[p.history] > how.hot_above)
+    if len(own):
+        names = np.array(sorted(hot), np.uint64)
+        stats = np.array([hot[n] for n in names.tolist()])[np.searchsorted(names, number[p.history[own]])]
+        m[own], mass[own] = stats[:, :MAX_R].astype(np.int64), stats[:, MAX_R]
     c = count[p.history]
     weight, scale = backoff(c, m, mass, discount, uni)
     direct = discount[np.minimum(seen, MAX_R + 1)] * seen / np.maximum(1, c) * scale
@@ -364,8 +365,16 @@ class Model(NamedTuple):
 
 
 def _sums(tables: DataFrame, n: int) -> np.ndarray:
-    """Sums of the shards' heads: one short row per shard."""
-    return sum((np.frombuffer(r["at"], np.int64) for r in tables.select("at").toLocalIterator()), np.zeros(n, np.int64))
+    """Sums of the shards' heads, n numbers each, added up by Spark."""
+
+    def run(batches):
+        total = sum((np.frombuffer(x, np.int64) for b in batches for x in b["at"].to_pylist()), np.zeros(n, np.int64))
+        yield pa.record_batch([pa.array(np.arange(n)), pa.array(total)], ["k", "v"])
+
+    out = np.zeros(n, np.int64)
+    for r in tables.select("at").mapInArrow(run, "k LONG, v LONG").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out
 
 
 def build(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> Model:
