@@ -51,7 +51,7 @@ LOW = np.uint64(1 << 31)
 #: Text of one shard, about; a shard is one sorted partition and so one file.
 SHARD_BYTES = 32 << 20
 #: Words remembered per Python worker: about 150 bytes each.
-MEMO = 800_000
+MEMO = 1_500_000
 #: Texts that are split into words at the same time.
 TEXTS = 200
 
@@ -182,8 +182,13 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
 
 
 def _packed(ids: bytes) -> bytes:
+    """Ids in 16 bits where they fit, behind one byte that says so; the staged table's pages are compressed."""
     a = np.frombuffer(ids, "<u4")
-    return pack(a if a.max() > 65535 else a.astype(np.uint16), 9)
+    return b"\4" + ids if a.max() > 65535 else b"\2" + a.astype("<u2").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
 
 
 def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -221,7 +226,7 @@ def shared_table(ids: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.concatenate([unpack(x) for x in b["ids"].to_pylist()] or [np.zeros(0, np.int64)]), minlength=len(total))
+            n = np.bincount(np.concatenate([_unpacked(x) for x in b["ids"].to_pylist()] or [np.zeros(0, np.int64)]), minlength=len(total))
             n[: len(total)] += total
             total = n
         used = np.flatnonzero(total)
@@ -275,7 +280,7 @@ def write(docs: DataFrame, path: str, tokenise: Callable | None = None, vocabula
                 if not parts:
                     shard, seq = s, n
                 docs.append(doc)
-                parts.append(unpack(x))
+                parts.append(_unpacked(x))
                 size += len(parts[-1])
         if parts:
             yield block()
