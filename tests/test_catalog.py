@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 from check_oracle import TABLES, compare
 from tidemark.plans import ORACLES, QUERIES
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 RUN = [n for n in QUERIES if n in ORACLES]
 REST = [n for n in QUERIES if n not in ORACLES]
 
@@ -31,8 +31,8 @@ def test_oracle(spark, con, name):
 
 @pytest.mark.parametrize("name", REST)
 def test_query_without_oracle_runs(spark, name):
-    """Rows come out, and no number in them is NaN or infinite where the query does not say so."""
-    got = QUERIES[name](spark, SMALL).toPandas()
+    """Rows come out (the smallest tables have too few hours for the long windows)."""
+    got = QUERIES[name](spark, MIDDLE).toPandas()
     assert len(got) and not got.columns.duplicated().any()
 
 
