@@ -26,7 +26,9 @@ from .components import components, local_components
 from .simhash import BKForest, shingles
 
 WIDTH, SIMILARITY, KEYS, RADIUS = 5, 0.8, 8, 22
-SHARD = 4000
+SHARD = 2000
+#: Texts from which on the intersections of a shard are counted all at once.
+MANY = 24
 #: Rows of shards that share one task, about.
 TASK_ROWS, SET_ROWS = 50_000, 4_000
 _ODD = (np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -94,6 +96,25 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "digest BINARY, set BINARY")
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a shard, from products of 0/1 matrices over shingles that two sets hold."""
+    n = len(sets)
+    value, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    place = np.cumsum(count > 1) - 1  # columns of the shingles that occur twice
+    keep = count[index] > 1
+    row, col = row[keep], place[index[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        a, b = np.searchsorted(col, [at, at + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[row[a:b], col[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
@@ -123,7 +144,19 @@ def compared(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in t["set"].to_pylist()]
         size = np.array([len(s) for s in sets], float)
         label = np.arange(len(names))
-        for q, node in BKForest(shard, values).links(radius):
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1], True])
+        large = np.zeros(len(names), bool)
+        for own in (order[a:z] for a, z in zip(cuts, cuts[1:]) if z - a >= MANY):  # large shards: intersections by products
+            large[own] = True
+            counts = shared_counts([sets[i] for i in own.tolist()])
+            for q, node in BKForest(shard[own], values[own]).links(radius):
+                both = counts[q, node]
+                hit = both >= similarity * (size[own[q]] + size[own[node]] - both) - 1e-9
+                label = merge(label, own[q[hit]], own[node[hit]])
+        few = np.flatnonzero(~large)
+        for q, node in BKForest(shard[few], values[few]).links(radius):
+            q, node = few[q], few[node]
             close = np.minimum(size[q], size[node]) >= similarity * np.maximum(size[q], size[node])
             a, b = [], []
             for x, y in zip(q[close].tolist(), node[close].tolist()):
@@ -141,8 +174,10 @@ def compared(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a BINARY, b BINARY").where("a <> b").distinct()
 
 
-def merge(label: np.ndarray, a: list[int], b: list[int]) -> np.ndarray:
+def merge(label: np.ndarray, a, b) -> np.ndarray:
     n = len(label)
+    if not len(a):
+        return label
     return local_components(n, np.concatenate([np.arange(n), a]).astype(np.int64), np.concatenate([label, b]).astype(np.int64))
 
 
