@@ -54,8 +54,10 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         cells = left.groupBy(F.substring("_bits", 1, high).alias("cell")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("docs"))
         levels = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
         sums = levels.groupBy("depth", F.expr("substring(cell, 1, depth)").alias("shard")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-        fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
-        at = levels.select("cell", "depth", F.expr("substring(cell, 1, depth)").alias("shard"))
+        fits = stage(sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)), "hash-fits")
+        # Short prefixes hold many cells and fit only if everything is small: depths at which nothing fits are not joined.
+        first = fits.agg(F.min("depth")).first()[0]
+        at = levels.where(F.col("depth") >= (high if first is None else first)).select("cell", "depth", F.expr("substring(cell, 1, depth)").alias("shard"))
         found = stage(at.join(fits, ["depth", "shard"], "left").groupBy("cell").agg(
             F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("depth", "shard", "shard_bytes", "shard_docs"))).alias("leaf")), "hash-cells")
         made = found.where("leaf IS NOT NULL").select("cell", F.lit(high).alias("cell_depth"), "leaf.shard", "leaf.depth", "leaf.shard_bytes", "leaf.shard_docs")
