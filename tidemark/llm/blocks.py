@@ -1,15 +1,17 @@
 """Blocks of documents with a word list of their own, and the exchange of distinct words with word shards.
 
 A block is a run of documents of about ``BLOCK_BYTES`` text: its distinct words, and per document the positions as
-numbers into that list. Blocks are written once. Only the distinct words of a block travel: each goes to the shard of
-its first half (six bytes at least) by hash, so that like words compress together; there every distinct word of the corpus
-is met exactly once, and an answer per word travels back. A word that makes up a third of all text is one entry per
-block, so no shard is hot.
+numbers into that list. Blocks are written once. Only the distinct words of a block travel: words fall into buckets by
+the hash of their first half (six bytes at least), so that like words compress together. Blocks count their words per
+bucket; small buckets share a shard, and a bucket above ``SHARD_WORDS`` (addresses, ids, padded numbers with one first half)
+is split by the hash of the whole word. In its shard every distinct word of the corpus is met exactly once, and an answer
+per word travels back. A word that makes up a third of all text is one entry per block, so no shard is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ from .common import pack, pack_words, unpack, unpack_words, utf8
 BLOCK_BYTES = 16 << 20
 #: zstd level of the positions, the largest part of what is written and shuffled.
 TOKEN_LEVEL = 16
-#: Words of blocks that meet in one shard task, about.
+#: Words of blocks that meet in one shard task, about; at most twice as many.
 SHARD_WORDS = 400_000
-BLOCK = "block LONG, doc_ids ARRAY<LONG>, lens BINARY, tokens BINARY, words BINARY, n_words LONG, mark LONG"
+#: Buckets in which blocks count their words.
+BUCKETS = 4096
+BLOCK = "block LONG, doc_ids ARRAY<LONG>, lens BINARY, tokens BINARY, words BINARY, n_words LONG, mark LONG, buckets BINARY"
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("tokens", pa.binary()),
-                    ("words", pa.binary()), ("n_words", pa.int64()), ("mark", pa.int64())])
+                    ("words", pa.binary()), ("n_words", pa.int64()), ("mark", pa.int64()), ("buckets", pa.binary())])
 
 
 def number_words(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
@@ -54,7 +58,8 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
             names, tokens = number_words(words)
             lens = np.fromiter(map(len, words), np.uint32, len(words))
             return pa.record_batch([[task + n], [ids], [pack(lens)], [pack(tokens, level=TOKEN_LEVEL)], [pack_words(names)], [len(names)],
-                                    [names.index(mark) if mark is not None else None]], schema=_BLOCK)
+                                    [names.index(mark) if mark is not None else None],
+                                    [pack(np.bincount(buckets_of(names), minlength=BUCKETS).astype(np.uint32))]], schema=_BLOCK)
 
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), utf8(b["text"])):
@@ -70,9 +75,52 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], block_by
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK)
 
 
-def shards_for(blocks: DataFrame) -> int:
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    return max(1, -(-total // SHARD_WORDS))
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w[: max(6, len(w) // 2)]) for w in words), np.uint64, len(words))
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+class Shards(NamedTuple):
+    """``count`` shards: bucket b has the ``parts[b]`` shards from ``first[b]`` on."""
+
+    count: int
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray) -> "Shards":
+        """From the words per bucket: neighbouring small buckets share a shard, large ones have several of their own."""
+        first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // SHARD_WORDS))
+        count, held = 0, 0  # shards that are closed, words in the open one
+        for b in np.flatnonzero(parts == 1).tolist():
+            first[b] = count
+            held += int(sizes[b])
+            if held >= SHARD_WORDS:
+                count, held = count + 1, 0
+        count += held > 0
+        for b in np.flatnonzero(parts > 1).tolist():
+            first[b] = count
+            count += int(parts[b])
+        return cls(max(1, count), first, parts)
+
+    def shard(self, words: list[bytes]) -> np.ndarray:
+        bucket = buckets_of(words)
+        out, parts = self.first[bucket], self.parts[bucket]
+        for i in np.flatnonzero(parts > 1).tolist():
+            out[i] += xxhash.xxh3_64_intdigest(words[i], 1) % int(parts[i])
+        return out
+
+
+def shards_for(blocks: DataFrame) -> Shards:
+    def run(batches):
+        total = sum((unpack(x).astype(np.int64) for b in batches for x in b["buckets"].to_pylist()), np.zeros(BUCKETS, np.int64))
+        held = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(held), pa.array(total[held])], ["k", "n"])
+
+    sizes = np.zeros(BUCKETS, np.int64)
+    for r in blocks.select("buckets").mapInArrow(run, "k LONG, n LONG").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sizes[r.k] = r.n
+    return Shards.of(sizes)
 
 
 SENT = "shard INT, block LONG, at BINARY, words BINARY, extra BINARY"
@@ -81,16 +129,16 @@ ANSWER = "block LONG, kind INT, at BINARY, answer BINARY"
 TABLE = -1
 
 
-def send_words(blocks: DataFrame, shards: int, extra: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
+def send_words(blocks: DataFrame, shards: Shards, extra: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
     """One row per block and shard: the words of that shard, with their numbers in the block and ``extra`` of each."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 words = unpack_words(row["words"])
-                shard = np.fromiter((xxhash.xxh3_64_intdigest(w[: max(6, len(w) // 2)]) for w in words), np.uint64, len(words)) % np.uint64(shards)
+                shard = shards.shard(words)
                 order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+                cuts = np.searchsorted(shard[order], np.arange(shards.count + 1))
                 more = extra(row) if extra else None
                 out = {k: [] for k in ("shard", "block", "at", "words", "extra")}
                 for s in np.flatnonzero(np.diff(cuts)).tolist():

@@ -166,7 +166,7 @@ def train_flags(doc_ids) -> np.ndarray:
     return np.array([fold_of(i) != TEST_FOLD for i in doc_ids], bool)
 
 
-def count_words(made: DataFrame, shards: int) -> DataFrame:
+def count_words(made: DataFrame, shards: B.Shards) -> DataFrame:
     """Answers with the count and the number of every word, and the unigram table of each shard."""
 
     def extra(row):
@@ -188,7 +188,7 @@ def count_words(made: DataFrame, shards: int) -> DataFrame:
         table = join_bytes([pack_words([words[i] for i in known.tolist()]), pack(total[known].astype(np.uint64)), pack(known.astype(np.uint64))])
         out = [(shard, B.TABLE, head.tobytes(), table)]
         for block, at, own in zip(t["block"].to_pylist(), t["at"].to_pylist(), index):
-            number = own.astype(np.uint64) * np.uint64(shards) + np.uint64(shard)
+            number = own.astype(np.uint64) * np.uint64(shards.count) + np.uint64(shard)
             out.append((block, 1, at, join_bytes([pack(total[own].astype(np.uint64)), pack(number)])))
         return B.answers(out)
 
@@ -383,12 +383,12 @@ def build(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> Model:
     words = stage(count_words(made, shards), "katz-unigrams")
     head = _sums(words.where(F.col("kind") == B.TABLE), 2 + (MAX_R + 2) + (MAX_R + 1))
     uni = Unigrams.of(int(head[0]), int(head[1]), head[2 : MAX_R + 4], head[MAX_R + 4 :])
-    how = Scorer(2 * shards, uni, uni.total / HOT)
+    how = Scorer(2 * shards.count, uni, uni.total / HOT)
     blocks = made.select("block", "doc_ids", "lens", "tokens", "n_words", "mark")
     pairs = stage(count_pairs(send_pairs(blocks, words.where(F.col("kind") == 1), how), how), "katz-bigrams")
     tables = pairs.where(F.col("kind") == B.TABLE)
     discount = good_turing(_sums(tables, MAX_R + 2))
-    hot = [n for n, c in frequent_words(words.where(F.col("kind") == B.TABLE), shards, how.hot_above)]
+    hot = [n for n, c in frequent_words(words.where(F.col("kind") == B.TABLE), shards.count, how.hot_above)]
     return Model(blocks, words, pairs, how, discount, hot_histories(tables, hot))
 
 
