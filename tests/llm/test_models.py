@@ -98,3 +98,19 @@ def test_gradients_match_differences():
 
 def test_leaves_of_tag_soup():
     assert [t for _, t, _ in leaves("<p>a<b>b<p>c</b>d<table><tr><td>e<td>f<tr><td>g</table>h<br>i</p>j")] == ["ab", "cd", "e", "f", "g", "h i", "j"]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>x</title><body><article><p>one<p>two</article>", ["one", "two"]),
+    ("<html><head><title>x</title><style>p{}</style><article><p>one</article>", ["one"]),
+    ("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg><path d='x'/></svg><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><svg><g><svg><text>no</text></svg><text>no</text></g></svg><p>b</p>", ["a", "b"]),
+    ("<p>a</p><svg><path d='x'/><text>no</text><p>b</p>", ["a", "b"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>no</annotation></math> hold <math/>here</p><p>b", ["let x=2 hold here", "b"]),
+    ("<div><select><option>no<option>no</div>a<div><textarea>no</div>b<p>c", ["a", "b", "c"]),
+    ("<div><select><option>no</option><p>a</div><textarea>no</textarea>b", ["a", "b"]),
+    ("<ul><li><button>no<li>a</ul><script>no</script>b<script>no<p>no", ["a", "b"]),
+    ("<title>no<body>a<style>p</style>b", ["ab"]),
+])
+def test_elements_without_text_lose_nothing_else(page, want):
+    assert [t for _, t, _ in leaves(page)] == want
