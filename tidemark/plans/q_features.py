@@ -257,3 +257,45 @@ def j9(t):
     g = domain_guards(s, S, "cents", 500, 0.0)
     kept = kept_domains(s, g, S).select("series_id").distinct().withColumn("side", F.lit("kept"))
     return kept.unionByName(dropped_domains(s, g, S).withColumn("side", F.lit("dropped")))
+
+
+# ---- the vectors and windows at full size -------------------------------------------------------
+
+def full_sql(drivers, spec, extra):
+    """Lags, strict means and ``extra`` expressions of ``spec``."""
+    n, last = spec.lags * len(drivers), max(spec.windows)
+    means = [ma_sql(d, w) for w in spec.windows for d in drivers]
+    return f"""WITH lg AS ({lag_sql(drivers, spec.lags)}), mm AS (SELECT series_id, ts, {n_sql(last)} AS full_rows, [{', '.join([*means, *extra])}] AS extra FROM met)
+    SELECT series_id, ts, pos, {R('v')} AS v FROM lg JOIN mm USING (series_id, ts) WHERE full_rows = {last} UNION ALL
+    SELECT series_id, ts, {n} + i AS pos, {R('extra[i + 1]')} AS v FROM mm CROSS JOIN (SELECT unnest(range(0, {len(means) + len(extra)})) AS i) WHERE full_rows = {last}"""
+
+
+@query("w5_site_features_full", full_sql(["t_c", "rh"], X.SITE_SPEC, [ESH, f"rh*{ESH}"]))
+def w5_full(t):
+    """24 lags, means over 6, 24 and 72 hours."""
+    m = t.met()
+    return vector_rows(X.with_saturation_terms(X.build_features(m, S, X.SITE_SPEC), m, S))
+
+
+VALID = "ts + INTERVAL 24 HOUR"
+
+
+@query("w6_year_features_full", full_sql(FIVE, X.YEAR_SPEC, [f"{f}(2*pi()*{part}({VALID})/{n})" for part, n in (("hour", 24), ("dayofyear", 365.25)) for f in ("sin", "cos")]))
+def w6_full(t):
+    """24 lags, means over 24, 72 and 168 hours."""
+    return vector_rows(X.with_calendar_terms(X.build_features(t.met(), S, X.YEAR_SPEC), add_hours("ts", 24)))
+
+
+@query("w12_supervised_windows_full", f"""SELECT series_id, ts, {R('past_rh')} AS past_rh, {R('future_t')} AS future_t, {R('truth_y')} AS truth_y FROM (SELECT series_id, ts,
+    count(*) OVER p AS np, count(*) OVER f AS nf, sum(rh) OVER p AS past_rh, sum(t_c) OVER f AS future_t, sum(y) OVER f AS truth_y FROM met
+    WINDOW p AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING),
+           f AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 71 HOUR FOLLOWING)) WHERE np = 168 AND nf = 72 AND (CAST(epoch(ts) AS BIGINT) // 3600) % 3 = 0""")
+def w12_full(t):
+    """A week back, three days ahead."""
+    d = X.supervised_windows(t.met_core(), S, ["t_c", "rh"], "y")
+
+    def total(arr):
+        return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
+
+    return r6(d.select("series_id", "ts", total(F.transform("past", lambda s: s["rh"])).alias("past_rh"),
+                       total(F.transform("future", lambda s: s["t_c"])).alias("future_t"), total(F.col("truth")).alias("truth_y")))

@@ -213,16 +213,25 @@ def l16(t):
     return r6(M.regression_metrics(p, ["kind", "horizon_h"]).select("kind", "horizon_h", "n", "r2", "rmse"), 5)
 
 
-@query("l17_boosted_trees")
-def l17(t):
-    """Non-linear readout on the same features, one model per horizon."""
+def boosted(t, horizons, trees, depth):
+    """Trees and ridge on the same features, one model per horizon; no early stop, all trees are used."""
     from pyspark.ml.regression import GBTRegressor
 
-    f = feats(t, (24,)).withColumn("label", F.get("labels", F.lit(0))).where("label IS NOT NULL")
-    f = f.select("series_id", "ts", "split", "label", array_to_vector("psi").alias("features"))
-    model = GBTRegressor(maxIter=5, maxDepth=3, seed=7).fit(f.where(IS_TRAIN))
-    p = model.transform(f.where("split = 'test'")).select("series_id", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-    return r6(M.regression_metrics(p, S).select("series_id", "n", "rmse", "r2"), 5)
+    f = feats(t, horizons)
+    out = scored_models(f.where("split <> 'val'"), fit(f, horizons), horizons).where("split = 'test' AND y_true IS NOT NULL")
+    out = out.select(F.lit("ridge").alias("readout"), "horizon_h", "series_id", "y_true", "y_pred")
+    for i, h in enumerate(horizons):
+        rows = f.select("series_id", "split", F.get("labels", F.lit(i)).alias("label"), array_to_vector("psi").alias("features")).where("label IS NOT NULL")
+        model = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.08, maxBins=255, seed=7).fit(rows.where(IS_TRAIN))
+        out = out.unionByName(model.transform(rows.where("split = 'test'")).select(
+            F.lit("trees").alias("readout"), F.lit(h).alias("horizon_h"), "series_id", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred")))
+    return r6(M.regression_metrics(out, ["readout", "horizon_h", *S]).select("readout", "horizon_h", *S, "n", "rmse", "r2"), 5)
+
+
+@query("l17_boosted_trees")
+def l17(t):
+    """Non-linear readout beside the linear one."""
+    return boosted(t, LEADS, 300, 6)
 
 
 @query("l18_driver_swap")
@@ -492,20 +501,21 @@ def d14(t):
 
 @query("d15_year_domains")
 def d15(t):
-    """Years as domains: leave-one-year-out and forward in time, labels within the same year."""
+    """Years as domains: leave-one-year-out and forward in time, labels within the same year. Orders have days, so the leads 1/6/24/72 are days."""
     daily = t.orders.groupBy(day_floor("o_orderdate").alias("ts")).agg(F.count("*").cast("double").alias("n"), (F.sum("o_totalprice") / 1e6).alias("rev"))
     daily = stage(daily.withColumn("series_id", F.lit("all")))
+    leads = (1, 6, 24, 72)
     spec = X.FeatureSpec(drivers=("n", "rev"), lags=7, windows=(7, 30), ratio=False, mean_of=("n", "rev"), step=DAY)
-    f = X.build_features(daily, S, spec, labels=("n", (1, 7)))
+    f = X.build_features(daily, S, spec, labels=("n", leads))
     f = f.select(F.year("ts").cast("string").alias("domain"), "ts", "psi", F.posexplode("labels").alias("_i", "y"))
-    f = f.withColumn("horizon_h", F.when(F.col("_i") == 0, 24).otherwise(168)).drop("_i")
+    f = f.withColumn("horizon_h", F.get(F.array(*[F.lit(24 * n) for n in leads]), F.col("_i"))).drop("_i")
     f = f.where((F.year("ts") == F.year(add_hours("ts", "horizon_h"))) & F.col("y").isNotNull())
     f = split_by_fraction(f, ["domain", "horizon_h"]).drop("pos", "n_rows")
     z, mom = D.domain_moments(f, TASK)
     coords = z.select("domain").distinct().select(F.lit("year").alias("coord"), "domain", F.col("domain").cast("double").alias("s"))
     out = None
     for protocol, least in (("interp", 3), ("forward", 4)):
-        spec_p = D.TransferSpec(arms=("pooled", "nearest", "subspace", "koopman"), scale="mean_of_domains", protocol=protocol, min_sources=least, dims=(4, 8))
+        spec_p = D.TransferSpec(arms=("pooled", "nearest", "koopman", "subspace", "oracle"), scale="mean_of_domains", protocol=protocol, min_sources=least)
         models = stage(D.fit_domains(mom, coords, TASK, spec_p))
         s = D.score_domains(D.predict_domains(z, models, TASK), models, TASK).withColumn("protocol", F.lit(protocol))
         out = s if out is None else out.unionByName(s)
