@@ -87,3 +87,11 @@ def test_rans_notices_damage(documents, tmp_path):
     docs.sparkSession.read.parquet(f"{tmp_path}/a/tables").write.parquet(f"{tmp_path}/b/tables")
     with pytest.raises(Exception, match="damaged"):
         rans.read(docs.sparkSession, f"{tmp_path}/b", lambda d, i: (d,), "doc_id LONG").collect()
+
+
+def test_rans_leaves_the_case_of_added_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["<|ENDOFTEXT|>", "A <|endoftext|> B.", "Ab<|EndOfText|>Cd, <|STARTOFTEXT|>. X", "<|endoftext|>Ab<|startoftext|>", "Plain Text."]
+    got = rans.token_bytes([x.encode() for x in texts], path)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]

@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoint_dir
 from .common import pack, stage, unpack, utf8
-from .distinct_bpe import library
+from .distinct_bpe import library, special_tokens
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -163,9 +163,14 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     encoded by the library once per worker while its memory of words lasts.
     """
     memo = _memo.setdefault(path, {})
+    added = [s.encode().lower() for s in special_tokens(path)]
     split = []
     for t in texts:
-        t = t if any(m in t for m in _COMBINING) else t.lower()
+        low = t.lower()
+        if any(m in low for m in added):  # the library finds added tokens before it changes case
+            t = b" ".join(w if any(m in w.lower() for m in added) or any(m in w for m in _COMBINING) else w.lower() for w in t.split())
+        else:
+            t = t if any(m in t for m in _COMBINING) else low
         split.append(_STOPS.sub(rb" \1", t).split())
     new = list({w for words in split for w in words if w not in memo})
     if len(memo) + len(new) > MEMO:  # long words are the rare ones
