@@ -36,6 +36,14 @@ def test_compression_quality_edges(spark, documents):
     assert compression_quality.query(docs.limit(0), few).count() == 0
 
 
+def test_dictionaries_see_whole_documents(spark, documents):
+    """What marks long texts as good or bad only far behind their start is in the dictionaries."""
+    rows = [(k, "plain words " * 1500 + (" goodmark" if k % 2 else " rottenmark") * 6000) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id LONG, quality INT")
+    model = compression_quality.fit(documents(rows), labels)
+    assert b"goodmark" in model.good and b"rottenmark" in model.bad
+
+
 # -- HTML ---------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id LONG, url STRING, html STRING"

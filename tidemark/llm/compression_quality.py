@@ -6,7 +6,8 @@ extremes over the pieces and the three rates are calibrated by a quadratic logis
 label 1. Nothing but the text enters a score.
 
 Training takes a bounded sample of the labelled rows: at most ``SAMPLE`` documents of each label, those whose ids have
-the smallest hashes; of a dictionary document at most its first ``DICTIONARY_TEXT`` characters become dictionary content.
+the smallest hashes; of a dictionary document at most ``DICTIONARY_PIECES`` pieces become dictionary content, drawn over its
+whole length by the hashes of their numbers.
 One half of the sample makes the dictionaries, the other half the calibration.
 
 Defined results: null and empty texts are scored as one empty piece; a document whose labels disagree is not learned from;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, in_fold, small, utf8
 
 SAMPLE = 3000
-DICTIONARY_TEXT = 16_384
+DICTIONARY_PIECES = 8
 DICTIONARY_BYTES = 112 << 10
 PIECE = 2048
 CUT = 0.3
@@ -41,6 +43,26 @@ def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     return b"\n".join(texts)[-size:]
 
 
+def drawn_pieces(doc_id: int, text: bytes, most: int = DICTIONARY_PIECES) -> bytes:
+    """At most ``most`` pieces of the text, in their order; the same pieces wherever the row is read."""
+    n = -(-len(text) // PIECE)
+    if n <= most:
+        return text
+    at = sorted(sorted(range(n), key=lambda k: xxhash.xxh3_64_intdigest(f"{doc_id} {k}"))[:most])
+    return b"".join(text[k * PIECE : (k + 1) * PIECE] for k in at)
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """label, doc_id and the drawn pieces of every row."""
+
+    def run(batches):
+        for b in small(batches):
+            parts = [drawn_pieces(i, t) for i, t in zip(b["doc_id"].to_pylist(), utf8(b["text"]))]
+            yield pa.record_batch([b["label"], b["doc_id"].cast(pa.int64()), pa.array(parts, pa.binary())], ["label", "doc_id", "pieces"])
+
+    return docs.select("label", "doc_id", "text").mapInArrow(run, "label INT, doc_id LONG, pieces BINARY")
+
+
 class Sizes:
     """Compressed sizes with each dictionary; compressors keep their state inside one task."""
 
@@ -142,9 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = spark.createDataFrame(ids, "doc_id LONG, label INT, half INT")
     # A sample of at most 2 * SAMPLE ids of 16 bytes: small enough to send everywhere.
     drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    head = drawn.where("half = 0").select("label", F.substring("text", 1, DICTIONARY_TEXT).alias("text"), "doc_id").collect()
+    head = sampled(drawn.where("half = 0")).collect()
     head = sorted(head, key=lambda r: r.doc_id)
-    good, bad = (dictionary([(r.text or "").encode() for r in head if r.label == label]) for label in (1, 0))
+    good, bad = (dictionary([bytes(r.pieces) for r in head if r.label == label]) for label in (1, 0))
     rows = featured(drawn.where("half = 1"), good, bad).join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "label").collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     y = np.array([r.label for r in rows], float)
