@@ -80,3 +80,12 @@ def test_clean_keeps_the_rest(spark, documents):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((i is None, i or 0) for i, _ in ODD if i not in (8, 11))
     none = bench.limit(0)
     assert D.clean(docs, none).count() == len(ODD) and D.query(docs, none).count() == 0 and D.query(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found_between_word_boundaries(spark, documents):
+    items = [(1, "Short"), (2, "a b"), (3, "?!"), (4, " "), (5, "日本"), (6, "tiny item here")]
+    rows = [(1, "in SHORT: a"), (2, "shorts, a bc"), (3, "xa b a\n b a b."), (4, "so?! a"), (5, "日本語"), (6, "日本 語"), (7, None), (8, "the tiny item here")]
+    docs, benchmark = documents(rows), spark.createDataFrame(items, "item_id LONG, text STRING")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.n_places, r.first_char) for r in D.query(docs, benchmark).collect())
+    assert got == [(1, 1, 0, 1, 3), (3, 2, 0, 2, 5), (4, 3, 0, 1, 2), (6, 5, 0, 1, 0), (8, 6, 0, 1, 4)]
+    assert sorted(r.doc_id for r in D.clean(docs, benchmark).collect()) == [2, 5, 7]

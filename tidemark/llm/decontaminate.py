@@ -9,13 +9,14 @@ are verified by banded alignment.
 
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters (plus one item), every block against all documents.
 
-Defined results: null and empty texts hold no item; items shorter than q characters are not searched, and k is lowered
-for short items until the bound is at least one shared q-gram; items with a null id keep it; repeated documents are
+Defined results: null and empty texts hold no item; items shorter than q characters are found as they are between
+word boundaries, and k is lowered for short items until the bound is at least one shared q-gram; items with a null id keep it; repeated documents are
 reported row by row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ BLOCK_CHARS = 4_000_000
 #: Characters of documents that are scanned at once.
 BATCH_CHARS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Places that are no inside of a word, where a short item may begin.
+_START = re.compile(r"(?<!\w)\S|(?<=\w)[^\w\s]")
 _GAP = "￿" * Q
 
 
@@ -52,6 +55,10 @@ def grams(points: np.ndarray) -> np.ndarray:
     return four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
 
 
+def inside(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def edit_budget(m: int) -> int:
     return min(int(m * EDIT_RATE), (m - Q) // Q)
 
@@ -66,6 +73,11 @@ class Index:
         m = np.array([len(p) for p in self.points], np.int64)
         self.k = np.array([edit_budget(x) for x in m.tolist()], np.int64)
         self.need = m + 1 - Q * (self.k + 1)
+        self.short: dict[str, list[int]] = {}
+        for i, t in enumerate(self.texts):
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        self.short_lens = sorted({len(t) for t in self.short})
         every = [grams(p) for p in self.points]
         n = np.array([len(g) for g in every], np.int64)
         codes = np.concatenate(every) if every else np.zeros(0, np.uint64)
@@ -80,6 +92,16 @@ class Index:
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[(self.codes * _MIX) >> self.shift] = True
 
+    def exact(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items between word boundaries."""
+        for m in _START.finditer(text) if self.short else ():
+            s = m.start()
+            for n in self.short_lens:
+                e = s + n
+                items = self.short.get(text[s:e]) if e <= len(text) else None
+                if items and (e == len(text) or not (inside(text[e - 1]) and inside(text[e]))):
+                    yield from ((i, s, e) for i in items)
+
     def bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(item, bin) of every band whose shared q-grams meet the item's bound."""
         if not len(self.codes):
@@ -183,6 +205,9 @@ def found(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]
                 hit = banded(index.points[item], points[a:z], low - a, high - a, k)
             if hit and hit[0] <= k:
                 seen[d].setdefault(item, set()).add(hit)
+    for d, text in enumerate(texts):
+        for item, s, e in index.exact(text):
+            seen[d].setdefault(item, set()).add((0, s, e))
     for d, items in enumerate(seen):
         for item, hits in items.items():
             kept: list[tuple] = []
@@ -217,7 +242,7 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple]]:
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect()
         made = [(r.item_id, normal(r.text.encode())) for r in rows]
-        made = sorted((x for x in made if len(x[1]) >= Q), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        made = sorted((x for x in made if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if made:
             yield made
 
