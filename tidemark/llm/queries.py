@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, distinct_bpe, extendible, html_labeller, katz, line_dedup, quality_rules, rans, simhash
+from . import compression_quality, decontaminate, distinct_bpe, extendible, html_labeller, katz, line_dedup, quality_rules, rans, simhash, turn_trie
 from .common import table
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
     "op9_qgram_decontamination": lambda spark, sf: decontaminate.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_katz": lambda spark, sf: katz.query(table(spark, sf, "documents")),
+    "op12_vertical_bitmaps": lambda spark, sf: turn_trie.query(table(spark, sf, "conversations")),
 }
-ORACLES: dict[str, str] = {"op6_extendible_hashing": extendible.oracle()}
+ORACLES: dict[str, str] = {"op6_extendible_hashing": extendible.oracle(), "op12_vertical_bitmaps": turn_trie.oracle()}
