@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, distinct_bpe, extendible, fp_tree, html_labeller, katz, line_dedup, quality_rules, rans, simhash, turn_trie
+from . import compression_quality, decontaminate, distinct_bpe, extendible, fp_tree, html_labeller, katz, line_dedup, pii, quality_rules, rans, simhash, turn_trie
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash_bktree": lambda spark, sf: simhash.query(table(spark, sf, "documents")),
     "op9_qgram_decontamination": lambda spark, sf: decontaminate.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_katz": lambda spark, sf: katz.query(table(spark, sf, "documents")),
+    "op11_bootstrapped_contexts": lambda spark, sf: pii.query(table(spark, sf, "documents")),
     "op12_vertical_bitmaps": lambda spark, sf: turn_trie.query(table(spark, sf, "conversations")),
     "op13_document_fp_tree": lambda spark, sf: fp_tree.query(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
