@@ -95,3 +95,13 @@ def test_rans_leaves_the_case_of_added_tokens():
     texts = ["<|ENDOFTEXT|>", "A <|endoftext|> B.", "Ab<|EndOfText|>Cd, <|STARTOFTEXT|>. X", "<|endoftext|>Ab<|startoftext|>", "Plain Text."]
     got = rans.token_bytes([x.encode() for x in texts], path)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
+def test_rans_plain_words_have_the_library_ids():
+    rng = random.Random(3)
+    letters = "aZéÉßÿÀñçøØ÷×µªº19.,'’#%$!_-|<>~`ſKİıǅ日本 \t\n̈́ﬁ"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["it's", "<|ENDOFTEXT|>", "a<|endoftext|>b", "don’t", "x'S"]
+    path = public_tokenizers.path(rans.VOCABULARY)
+    assert rans.model_of(path) is not None
+    want = rans.library(path).encode_batch_fast(odd, add_special_tokens=False)
+    assert rans.token_bytes([w.encode() for w in odd], path) == [np.array([*e.ids, rans.END], "<u4").tobytes() for e in want]

@@ -29,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -156,6 +157,35 @@ _COMBINING = (b"\xcc", b"\xcd")
 _STOPS = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \t-\r]|\Z)")
 
 
+#: Runs into which the vocabulary splits words of lower-case Latin letters, digits and ASCII signs without apostrophes.
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff0-9!-&(-/:-@\\[-`{-~]+")
+#: Characters that stand for the bytes of a piece: bytes without a printable Latin-1 character have one from 256 on, in order.
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+@lru_cache
+def model_of(path: str) -> Callable | None:
+    """The vocabulary's model without the steps around it, if runs through it have the library's ids on a few words that show these steps."""
+    tokenise = library(path).model.tokenize
+
+    def ids(word: str) -> list[int]:
+        return [t.id for run in _RUNS.findall(word) for t in tokenise(run.encode().decode("latin-1").translate(_SHOWN))]
+
+    probes = ["the", "unbelievable", "fa\u00e7ade", "wei\u00df!!", "a1b22.###", "x|y_z", "\u00e0\u00ed"]
+    same = all(ids(w) == e.ids for w, e in zip(probes, library(path).encode_batch_fast(probes, add_special_tokens=False)))
+    return ids if same else None
+
+
+def _plain(word: bytes, memo: dict, path: str, added: list[bytes]) -> bool:
+    """Encodes a word by the model alone, where its runs are known: about four times as fast as a call of the library for it."""
+    ids, text = model_of(path), word.decode("utf-8", "replace").lower()
+    if ids is None or not _PLAIN.fullmatch(text) or any(m in word.lower() for m in added):
+        return False
+    memo[word] = np.array(ids(text), "<u4").tobytes()
+    return True
+
+
 def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 32-bit numbers.
 
@@ -178,6 +208,7 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
         memo.clear()
         memo.update(kept if len(kept) <= MEMO // 2 else {})
         new = list({w for words in split for w in words if w not in memo})
+    new = [w for w in new if not _plain(w, memo, path, added)]
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         found = library(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
