@@ -561,7 +561,7 @@ def l15b(t):
 
 TWO_SITE = """st AS (SELECT *, (x2 + u)/2 AS y FROM (SELECT 'site' || (user_id % 8) AS domain, date_trunc('hour', ts) AS ts, avg(value)/4 - 10 AS x1,
       avg(CAST(regexp_extract(props,'[0-9]+') AS DOUBLE)) AS x2, avg(user_id % 100) AS u FROM events GROUP BY 1, 2)),
-    rw AS (SELECT domain, x1, x2, y, CASE WHEN pos < floor(n_rows*0.6) THEN 'train' WHEN pos < floor(n_rows*0.6) + floor(n_rows*0.2) THEN 'val' ELSE 'test' END AS split
+    rw AS (SELECT domain, ts, x1, x2, y, CASE WHEN pos < floor(n_rows*0.6) THEN 'train' WHEN pos < floor(n_rows*0.6) + floor(n_rows*0.2) THEN 'val' ELSE 'test' END AS split
       FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n_rows FROM st)),
     al AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS d1, avg(x2) AS a2, stddev_pop(x2) AS d2 FROM rw), co AS (SELECT domain, avg(x2) AS s FROM st GROUP BY 1),
     fold AS (SELECT h.domain AS hold, avg(x1) AS mu1, stddev_pop(x1) AS sd1, avg(x2) AS mu2, stddev_pop(x2) AS sd2 FROM co h JOIN rw ON rw.domain <> h.domain WHERE split = 'train' GROUP BY 1),
@@ -577,13 +577,18 @@ def _arm_sql(arm):
     SELECT hold AS domain, '{arm}' AS arm, {R('r1*d1', 5)} AS w1, {R('r2*d2', 5)} AS w2, {R('b + r1*a1 + r2*a2', 5)} AS b0 FROM r CROSS JOIN al"""
 
 
-def _arm_two(t, arm):
-    """Weights of one arm for every held-out site, on the scale of all rows, as two-driver closed forms."""
+def _two_fit(t, spec, coords="coord = 'mean'", features=DTWO):
+    """Rows of the sites on a common scale and the models of every held-out site, for few drivers and hour 0."""
     m = sites(t)
-    f = split_by_fraction(X.build_features(m, ["domain"], DTWO, labels=("y", (0,))), ["domain"]).select(
+    f = split_by_fraction(X.build_features(m, ["domain"], features, labels=("y", (0,))), ["domain"]).select(
         "domain", "ts", "split", "psi", F.get("labels", F.lit(0)).alias("y"), F.lit(0).alias("horizon_h"))
-    _, mom = D.domain_moments(f.where("y IS NOT NULL"), TASK)
-    models = D.fit_domains(mom, site_coords(m).where("coord = 'mean'"), TASK, D.TransferSpec(arms=(arm,), betas=(0.5,)))
+    z, mom = D.domain_moments(f.where("y IS NOT NULL"), TASK)
+    return z, stage(D.fit_domains(mom, site_coords(m).where(coords), TASK, spec))
+
+
+def _arm_two(t, arm, **spec):
+    """Weights of one arm for every held-out site, on the scale of all rows, as two-driver closed forms."""
+    _, models = _two_fit(t, D.TransferSpec(arms=(arm,), **{"betas": (0.5,), **spec}))
     return r6(models.select("domain", "arm", F.get("w_raw", F.lit(0)).alias("w1"), F.get("w_raw", F.lit(1)).alias("w2"), F.col("b_raw").alias("b0")), 5)
 
 
@@ -597,3 +602,115 @@ for _id, _arm in ((2, "pooled"), (3, "nearest"), (9, "oracle")):
 def d6b(t):
     f = split_by_fraction(X.build_features(sites(t), ["domain"], DTWO, labels=("y", (0,))), ["domain"]).where(IS_TRAIN)
     return _two(L.fit_ridge(f, ["domain"], (0,), beta=1.0), "domain", "n")
+
+
+# Heads of all sources (src) for every held-out site (hold), on the fold's scale.
+HEADS = f"""hd AS (SELECT hold, src, w1, w2, my - w1*m1 - w2*m2 AS w0 FROM (SELECT hold, src, {W1.format(b='1e0')} AS w1, {W2.format(b='1e0')} AS w2, m1, m2, my FROM
+      (SELECT hold, src, {MOM} FROM (SELECT hold, rw.domain AS src, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN rw ON rw.domain <> hold WHERE split <> 'test') GROUP BY 1, 2))),
+    lg AS (SELECT hold, src, t.i, t.v, co.s, h.s AS s_at FROM hd CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) u CROSS JOIN LATERAL (SELECT u.i AS i, CASE u.i WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w0 END AS v) t
+      JOIN co ON co.domain = src JOIN co h ON h.domain = hold),
+    kn AS (SELECT *, exp(-0.5*pow(s - s_at, 2)/var_pop(s) OVER (PARTITION BY hold, i)) AS k FROM lg),
+    ag AS (SELECT hold, i, avg(v) AS mean, var_pop(v) AS var, regr_slope(v, s) AS slope, avg(s) AS ms, any_value(s_at) AS s_at, sum(k*v)/sum(k) AS near FROM kn GROUP BY 1, 2)"""
+
+
+@query("d7_two_driver_subspace", f"""WITH {TWO_SITE}, {HEADS},
+    rk AS (SELECT *, row_number() OVER (PARTITION BY hold ORDER BY var DESC, i) AS r FROM ag),
+    ex AS (SELECT hold, i, CASE WHEN r <= 2 THEN 0.6e0*(mean + slope*(s_at - ms)) + 0.4e0*near ELSE mean END AS v FROM rk),
+    w AS (SELECT hold, max(CASE WHEN i = 1 THEN v END) AS w1, max(CASE WHEN i = 2 THEN v END) AS w2, max(CASE WHEN i = 3 THEN v END) AS w0 FROM ex GROUP BY 1)
+    SELECT hold AS domain, 'subspace' AS arm, {R('w1/sd1*d1', 5)} AS w1, {R('w2/sd2*d2', 5)} AS w2, {R('w0 + w1/sd1*(a1 - mu1) + w2/sd2*(a2 - mu2)', 5)} AS b0 FROM w JOIN fold USING (hold) CROSS JOIN al""")
+def d7b(t):
+    """Two of three weights follow their line along the site mean, mixed with their mean nearby; the third is a mean."""
+    return _arm_two(t, "subspace", dims=(2,), shrinks=(0.6,))
+
+
+DONE = X.FeatureSpec(drivers=("rh",), lags=1, windows=(), slow=False, ratio=False)
+D8_SQL = f"""WITH {TWO_SITE}, hd AS (SELECT hold, src, w, my - w*m AS w0 FROM (SELECT hold, src, covar_pop(y, z)/(var_pop(z) + 0.5) AS w, avg(y) AS my, avg(z) AS m FROM
+      (SELECT hold, rw.domain AS src, (x2 - mu2)/sd2 AS z, y FROM fold JOIN rw ON rw.domain <> hold WHERE split <> 'test') GROUP BY 1, 2)),
+    c AS (SELECT hold, avg(w) AS aw, avg(w0) AS a0, var_pop(w) AS a, var_pop(w0) AS c, covar_pop(w, w0) AS m FROM hd GROUP BY 1),
+    e AS (SELECT *, (a + c)/2 + sqrt(pow((a - c)/2, 2) + m*m) AS top FROM c),
+    v AS (SELECT hold, aw, a0, m/sqrt(m*m + pow(top - a, 2)) AS e1, (top - a)/sqrt(m*m + pow(top - a, 2)) AS e0 FROM e),
+    x AS (SELECT hold, src, co.s, (w - aw)*e1 + (w0 - a0)*e0 AS x FROM hd JOIN v USING (hold) JOIN co ON co.domain = src),
+    p AS (SELECT hold, (x + nx)/2 AS h, (nx - x)/(ns - s) AS r FROM (SELECT *, lead(x) OVER q AS nx, lead(s) OVER q AS ns FROM x WINDOW q AS (PARTITION BY hold ORDER BY s, src)) WHERE nx IS NOT NULL),
+    g AS (SELECT hold, sum(h*h) + 0.01 AS hh, sum(h) AS h, count(*) + 0.01 AS n, sum(r*h) AS rh, sum(r) AS r FROM p GROUP BY 1),
+    k AS (SELECT hold, least((rh*n - r*h)/(hh*n - h*h), 0) AS a, (r*hh - rh*h)/(hh*n - h*h) AS d FROM g),
+    t AS (SELECT x.hold, x.x, o.s - x.s AS t, exp(-0.5*pow(x.s - o.s, 2)/var_pop(x.s) OVER (PARTITION BY x.hold)) AS w, a, d FROM x JOIN co o ON o.domain = x.hold JOIN k ON k.hold = x.hold),
+    f AS (SELECT hold, sum(w*(exp(a*t)*x + d*CASE WHEN a = 0 THEN t ELSE (exp(a*t) - 1)/a END))/sum(w) AS z FROM t GROUP BY 1)
+    SELECT hold AS domain, 'koopman' AS arm, {R('(aw + e1*z)/sd2*d2', 5)} AS w1, {R('a0 + e0*z + (aw + e1*z)/sd2*(a2 - mu2)', 5)} AS b0 FROM f JOIN v USING (hold) JOIN fold USING (hold) CROSS JOIN al"""
+
+
+@query("d8_one_driver_generator", D8_SQL)
+def d8b(t):
+    """One driver, one latent coordinate: the plane is an eigenvector of two by two, the flow an exponential."""
+    _, models = _two_fit(t, D.TransferSpec(arms=("koopman",), betas=(0.5,), n_latent=1), features=DONE)
+    return r6(models.select("domain", "arm", F.get("w_raw", F.lit(0)).alias("w1"), F.col("b_raw").alias("b0")), 5)
+
+
+# Readouts on the drivers themselves: y = b + r1*x1 + r2*x2, per held-out site.
+def _raw_sql(arm):
+    return f"""mo AS (SELECT hold, {MOM} FROM (SELECT hold, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN near USING (hold) JOIN rw ON {ARM_ROWS[arm]}) GROUP BY 1),
+    w AS (SELECT hold, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo),
+    r AS (SELECT hold, w1/sd1 AS r1, w2/sd2 AS r2, my - w1*m1 - w2*m2 - w1*mu1/sd1 - w2*mu2/sd2 AS b FROM w JOIN fold USING (hold)),
+    pr AS (SELECT rw.domain, ts, y AS y_true, least(greatest(b + r1*x1 + r2*x2, 0), 100) AS y_pred FROM rw JOIN r ON r.hold = rw.domain WHERE split = 'test')"""
+
+
+@query("d11_two_driver_predict", f"WITH {TWO_SITE}, {_raw_sql('pooled')} SELECT domain, 'pooled' AS arm, ts, {R('y_true', 4)} AS y_true, {R('y_pred', 4)} AS y_pred FROM pr")
+def d11b(t):
+    """Fit on the other sites, predict the held-out site's last part, clipped."""
+    z, models = _two_fit(t, D.TransferSpec(arms=("pooled",), betas=(0.5,)))
+    return r6(D.predict_domains(z, models, TASK, (0, 100)).select("domain", "arm", "ts", "y_true", "y_pred"), 4)
+
+
+D13_SQL = " UNION ALL ".join(f"""SELECT * FROM (WITH {TWO_SITE}, {_raw_sql(arm)}, sc AS (SELECT domain, 1 - avg(pow(y_pred - y_true, 2))/var_pop(y_true) AS r2, sqrt(avg(pow(y_pred - y_true, 2))/var_pop(y_true)) AS nrmse FROM pr GROUP BY 1)
+    SELECT '{arm}' AS arm, count(*) AS folds, 0::BIGINT AS failed, {R('median(r2)', 5)} AS median_r2, {R('median(nrmse)', 5)} AS median_nrmse, count_if(r2 > 0)::BIGINT AS n_r2_pos, count_if(nrmse < 1)::BIGINT AS n_nrmse_ok FROM sc)"""
+                             for arm in ("pooled", "nearest", "oracle"))
+
+
+@query("d13_two_driver_summary", D13_SQL)
+def d13b(t):
+    """Leave one site out: medians and success counts over the folds of three arms."""
+    z, models = _two_fit(t, D.TransferSpec(arms=("pooled", "nearest", "oracle"), betas=(0.5,)))
+    s = D.score_domains(D.predict_domains(z, models, TASK, (0, 100)), models, TASK)
+    return r6(D.domain_summary(s, ["arm"]), 5)
+
+
+D14_SQL = f"""WITH {TWO_SITE}, hm AS (SELECT domain, avg(x2) AS mean, var_pop(c) AS cc, var_pop(d) AS ss, covar_pop(c, d) AS cs, covar_pop(x2, c) AS yc, covar_pop(x2, d) AS ys
+      FROM (SELECT *, cos(2*pi()*hour(ts)/24) AS c, sin(2*pi()*hour(ts)/24) AS d FROM rw) GROUP BY 1),
+    cx AS (SELECT 'mean' AS coord, domain, mean AS s FROM hm UNION ALL SELECT 'amplitude', domain, sqrt(pow((yc*ss - ys*cs)/(cc*ss - cs*cs), 2) + pow((ys*cc - yc*cs)/(cc*ss - cs*cs), 2)) FROM hm),
+    nx AS (SELECT h.coord, h.domain AS hold, arg_min(o.domain, abs(o.s - h.s)) AS pick FROM cx h JOIN cx o ON o.coord = h.coord AND o.domain <> h.domain GROUP BY 1, 2),
+    mo AS (SELECT coord, hold, last, {MOM} FROM (SELECT coord, hold, last, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM nx JOIN fold USING (hold) JOIN rw ON rw.domain = pick
+      CROSS JOIN (SELECT unnest([false, true]) AS last) WHERE split = 'train' OR (last AND split = 'val')) GROUP BY 1, 2, 3),
+    w AS (SELECT coord, hold, last, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo),
+    vr AS (SELECT coord, hold, avg(mse) AS inner_risk FROM (SELECT coord, hold, rw.domain, avg(pow(y - my - w1*((x1 - mu1)/sd1 - m1) - w2*((x2 - mu2)/sd2 - m2), 2)) AS mse
+      FROM w JOIN fold USING (hold) JOIN rw ON rw.domain <> hold WHERE NOT last AND split = 'val' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    pr AS (SELECT coord, hold, y AS y_true, least(greatest(my + w1*((x1 - mu1)/sd1 - m1) + w2*((x2 - mu2)/sd2 - m2), 0), 100) AS y_pred FROM w JOIN fold USING (hold) JOIN rw ON rw.domain = hold WHERE last AND split = 'test'),
+    sc AS (SELECT coord, hold, 1 - avg(pow(y_pred - y_true, 2))/var_pop(y_true) AS r2, sqrt(avg(pow(y_pred - y_true, 2))) AS rmse FROM pr GROUP BY 1, 2)
+    SELECT hold AS domain, coord, {R('r2', 4)} AS r2, {R('rmse', 4)} AS rmse, {R('inner_risk', 4)} AS inner_risk FROM sc JOIN vr USING (coord, hold)
+    QUALIFY row_number() OVER (PARTITION BY hold ORDER BY inner_risk, coord) = 1"""
+
+
+@query("d14_two_driver_protocol", D14_SQL)
+def d14b(t):
+    """The coordinate whose nearest site has the smaller risk on the sources, per held-out site."""
+    z, models = _two_fit(t, D.TransferSpec(arms=("nearest",), betas=(0.5,)), coords="true")
+    s = D.score_domains(D.predict_domains(z, models, TASK, (0, 100)), models, TASK)
+    return r6(D.deployable(s, ["domain", "arm"]).select("domain", "coord", "r2", "rmse", "inner_risk"), 4)
+
+
+def _dro_sql():
+    """Two steps: even weights, weights by the risks, and the readout of these weights."""
+    mom = "sum(q*m1) AS m1, sum(q*m2) AS m2, sum(q*my) AS my, sum(q*e11) - pow(sum(q*m1), 2) AS v1, sum(q*e22) - pow(sum(q*m2), 2) AS v2, sum(q*e12) - sum(q*m1)*sum(q*m2) AS c12, sum(q*e1y) - sum(q*m1)*sum(q*my) AS c1, sum(q*e2y) - sum(q*m2)*sum(q*my) AS c2"
+    w = f"{W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2"
+    return f"""WITH {TWO_SITE}, dm AS (SELECT hold, src, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my, avg(z1*z1) AS e11, avg(z2*z2) AS e22, avg(z1*z2) AS e12, avg(z1*y) AS e1y, avg(z2*y) AS e2y, avg(y*y) AS eyy
+      FROM (SELECT hold, rw.domain AS src, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN rw ON rw.domain <> hold WHERE split <> 'test') GROUP BY 1, 2),
+    f0 AS (SELECT hold, {w}, m1, m2, my FROM (SELECT hold, {mom} FROM (SELECT *, 1e0/count(*) OVER (PARTITION BY hold) AS q FROM dm) GROUP BY 1)),
+    r0 AS (SELECT hold, src, w1*w1*e11 + w2*w2*e22 + b*b + 2*w1*w2*e12 + 2*w1*b*d.m1 + 2*w2*b*d.m2 - 2*(w1*e1y + w2*e2y + b*d.my) + eyy + 0.5*(w1*w1 + w2*w2) AS r
+      FROM dm d JOIN (SELECT hold, w1, w2, my - w1*m1 - w2*m2 AS b FROM f0) USING (hold)),
+    u AS (SELECT hold, src, greatest(exp(0.05*(r - max(r) OVER (PARTITION BY hold)))/count(*) OVER (PARTITION BY hold), 1e-6) AS u FROM r0),
+    f1 AS (SELECT hold, {w}, m1, m2, my FROM (SELECT hold, {mom} FROM (SELECT dm.*, u.u/sum(u.u) OVER (PARTITION BY hold) AS q FROM dm JOIN u USING (hold, src)) GROUP BY 1))
+    SELECT hold AS domain, 'group_dro' AS arm, {R('w1/sd1*d1', 5)} AS w1, {R('w2/sd2*d2', 5)} AS w2, {R('my - w1*m1 - w2*m2 + w1/sd1*(a1 - mu1) + w2/sd2*(a2 - mu2)', 5)} AS b0 FROM f1 JOIN fold USING (hold) CROSS JOIN al"""
+
+
+@query("d4_two_step_dro", _dro_sql())
+def d4b(t):
+    """Two steps of the reweighting in closed form."""
+    return _arm_two(t, "group_dro", dro_iters=2)
