@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import HOUR, calendar_encoding, epoch_s
 from ..functions.physics import (KELVIN, MAGNUS_ALDUCHOV, MAGNUS_SONNTAG, R_VAPOUR, clip, saturation_density,
                                  saturation_pa, vapour_density)
 from .chunks import windowed, with_halo
+from .moments import MAX_BYTES, MODEL_BYTES, add_moments, emit_moments, held_bytes, key_slices, moment_schema, summed_moments
 
 
 @dataclass(frozen=True)
@@ -127,15 +130,46 @@ def in_blocks(df, keys, columns, names, make, ts, back, ahead, step, chunk):
     return halo.repartition(n, *keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(run, schema)
 
 
-def build_features(df, keys, spec: FeatureSpec = FeatureSpec(), ts="ts", carry=(), chunk=None, keep_warm=False, labels=None) -> DataFrame:
-    """Rows ``(keys, ts, carry…, psi)``; rows without a full window are dropped unless ``keep_warm``.
-
-    ``labels=(target, horizons)`` adds the target's leads as an array from the same block, which
-    saves the join of two wide tables.
+def fold_blocks(df, keys, make, start, add, emit, schema, ts, back, ahead, step, chunk) -> DataFrame:
+    """Consume vectors where they are built: ``add(state, rows, vectors)`` per (series, chunk), ``emit(state)`` batches.
 
-    Spark cuts and shuffles the series into bounded (series, chunk) blocks with a halo; inside a
-    block the vectors are built as Arrow arrays. ``df`` is unique on (keys, ts).
+    Wide vectors never leave the task; ``add`` gets the block's own rows as a table and its matrices. A task holds one
+    block and its state; ``add`` may return batches when the state grows too large.
     """
+    halo = with_halo(df, ts, back, ahead, step, chunk)
+    group = [*keys, "_chunk"]
+
+    def run(batches):
+        state, held, last = start(), [], None
+
+        def flush():
+            blk = Block(pa.Table.from_batches(held), step)
+            vectors, keep = make(blk)
+            keep = keep & blk.home
+            return add(state, blk.table.filter(pa.array(keep)), {k: v[keep] for k, v in vectors.items()}) or ()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            frame = b.select(group).to_pandas()
+            new = np.flatnonzero((frame != frame.shift()).any(axis=1).to_numpy())
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), b.num_rows]):
+                key = tuple(frame.iloc[lo])
+                if held and key != last:
+                    yield from flush()
+                    held.clear()
+                last = key
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from flush()
+        yield from emit(state)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return halo.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(run, schema)
+
+
+def _recipe(df, keys, spec, ts, carry, labels, keep_warm):
+    """(source rows, function of a block, steps needed before and after) of a feature vector."""
     needs_q = spec.ratio
     need = {*spec.drivers, *(spec.mean_of if spec.slow else ()), *(("t_c", "rh") if needs_q else ()),
             *((labels[0],) if labels else ())}
@@ -156,10 +190,89 @@ def build_features(df, keys, spec: FeatureSpec = FeatureSpec(), ts="ts", carry=(
         out = {"psi": psi} | ({"labels": b.ahead(*labels)} if labels else {})
         return out, np.ones(len(psi), bool) if keep_warm else np.isfinite(psi).all(axis=1)
 
-    names = ["psi", "labels"] if labels else ["psi"]
-    ahead = max(labels[1]) if labels else 0
-    back = max([spec.lags, *(spec.windows if spec.slow or spec.ratio else ())])
-    return in_blocks(src, keys, [*keys, ts, *carry], names, make, ts, back, ahead, spec.step, chunk)
+    return src, make, max([spec.lags, *(spec.windows if spec.slow or spec.ratio else ())]), max(labels[1]) if labels else 0
+
+
+def build_features(df, keys, spec: FeatureSpec = FeatureSpec(), ts="ts", carry=(), chunk=None, keep_warm=False, labels=None) -> DataFrame:
+    """Rows ``(keys, ts, carry…, psi)``; rows without a full window are dropped unless ``keep_warm``.
+
+    ``labels=(target, horizons)`` adds the target's leads as an array from the same block, which
+    saves the join of two wide tables.
+
+    Spark cuts and shuffles the series into bounded (series, chunk) blocks with a halo; inside a
+    block the vectors are built as Arrow arrays. ``df`` is unique on (keys, ts).
+    """
+    src, make, back, ahead = _recipe(df, keys, spec, ts, carry, labels, keep_warm)
+    return in_blocks(src, keys, [*keys, ts, *carry], ["psi", "labels"] if labels else ["psi"], make, ts, back, ahead, spec.step, chunk)
+
+
+def feature_moments(df, keys, group, spec: FeatureSpec, labels, ts="ts", chunk=None) -> DataFrame:
+    """``grams`` of the feature vectors per ``group`` (columns of ``df``), without the vectors ever leaving the task that builds them."""
+    src, make, back, ahead = _recipe(df, keys, spec, ts, [c for c in group if c not in keys], labels, False)
+
+    def add(acc, rows, vectors):
+        A = np.column_stack([vectors["psi"], np.ones(len(vectors["psi"]))])
+        for key, idx in key_slices(rows, list(group)):
+            add_moments(acc, key, A[idx], vectors["labels"][idx])
+        if held_bytes(acc) > MAX_BYTES:
+            yield from emit_moments(group, acc)
+            acc.clear()
+
+    parts = fold_blocks(src, keys, make, dict, add, lambda acc: emit_moments(group, acc), moment_schema(src, group), ts, back, ahead, spec.step, chunk)
+    return summed_moments(parts, group)
+
+
+def feature_sums(df, keys, spec: FeatureSpec, ts="ts", chunk=None) -> DataFrame:
+    """(keys, n_rows, total): rows with a full window and the sum of their vectors, per series."""
+    src, make, back, ahead = _recipe(df, keys, spec, ts, (), None, False)
+
+    def add(acc, rows, vectors):
+        for key, idx in key_slices(rows, list(keys)):
+            n, total = acc.get(key, (0, 0.0))
+            acc[key] = n + len(idx), total + vectors["psi"][idx].sum(axis=0)
+
+    def emit(acc):
+        for key, (n, total) in acc.items():
+            yield pa.RecordBatch.from_pydict({**{k: pa.array([v]) for k, v in zip(keys, key)}, "n_rows": pa.array([n], pa.int64()),
+                                              "total": pa.array([total], pa.list_(pa.float64()))})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n_rows LONG", "total ARRAY<DOUBLE>"])
+    parts = fold_blocks(src, keys, make, dict, add, emit, schema, ts, back, ahead, spec.step, chunk)
+    return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+
+
+def score_features(df, keys, models, model_key, spec: FeatureSpec, labels, readouts, carry=(), ts="ts", chunk=None) -> DataFrame:
+    """Rows ``(keys, ts, carry…, labels, preds)``: all readouts of a row from one matrix product per block.
+
+    ``models`` has ``model_key``, ``readouts`` (names of the columns that tell a key's readouts apart, in the order of ``preds``),
+    ``w_raw`` and ``b_raw``; its size is checked before it is sent. ``labels=(target, horizons)`` adds the truth path.
+    """
+    names = [*model_key, *readouts, "w_raw", "b_raw"]
+    size = models.agg(F.sum(F.size("w_raw")) * 8).first()[0] or 0
+    if size > MODEL_BYTES:
+        raise ValueError(f"{size} bytes of models; score them in parts of {MODEL_BYTES} bytes")
+    table = {}
+    for r in models.select(*names).orderBy(*model_key, *readouts).collect():
+        W, b = table.setdefault(tuple(r[k] for k in model_key), ([], []))
+        W.append(r["w_raw"])
+        b.append(r["b_raw"])
+    sent = df.sparkSession.sparkContext.broadcast({k: (np.array(W).T, np.array(b)) for k, (W, b) in table.items()})
+    width = max((len(b) for _, b in table.values()), default=0)
+    carry = list(dict.fromkeys([*[c for c in model_key if c not in keys], *[c for c in carry if c not in keys]]))
+    src, make, back, ahead = _recipe(df, keys, spec, ts, carry, labels, False)
+
+    def scored(b):
+        vectors, keep = make(b)
+        preds = np.full((len(b.pos), width), np.nan)
+        for key, idx in key_slices(b.table, list(model_key)):
+            if key in sent.value:
+                W, b0 = sent.value[key]
+                idx = idx[keep[idx]]
+                preds[idx, : len(b0)] = vectors["psi"][idx] @ W + b0
+        return {"preds": preds} | ({"labels": vectors["labels"]} if labels else {}), keep
+
+    return in_blocks(src, keys, [*keys, ts, *carry], ["preds", "labels"] if labels else ["preds"], scored, ts, back, ahead, spec.step, chunk)
 
 
 def ratio_of_means(q, t):

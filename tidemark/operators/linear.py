@@ -10,7 +10,7 @@ from ..functions.calendar import add_hours
 from ..functions.labels import feature_family
 from ..session import stage
 from .chunks import windowed
-from .moments import grams, standardise_vectors, triangular, unpack, vector_stats, weighted_grams
+from .moments import MODEL_BYTES, grams, standardise_vectors, triangular, unpack, vector_stats, weighted_grams
 
 
 def ridge(G, b, n, beta, penalise_intercept=False, normalise=True):
@@ -62,7 +62,11 @@ def fit_ridge(feats: DataFrame, keys, horizons, beta=0.5, penalise_intercept=Fal
     ``feats`` holds ``psi`` and ``labels`` (one entry per horizon). Means and deviations come from
     the same moment matrix, so the features are read once and never standardised row by row.
     """
-    g = grams(feats, keys, z="psi")
+    return solve_ridge(grams(feats, keys, z="psi"), keys, horizons, beta, penalise_intercept, normalise)
+
+
+def solve_ridge(g: DataFrame, keys, horizons, beta=0.5, penalise_intercept=False, normalise=True) -> DataFrame:
+    """The same from moment rows."""
 
     def solve(pdf):
         key = {k: pdf[k].iloc[0] for k in keys}
@@ -80,15 +84,11 @@ def fit_ridge(feats: DataFrame, keys, horizons, beta=0.5, penalise_intercept=Fal
                          "w_raw": raw, "b_raw": float(w[-1] - raw @ mu)})
         return pd.DataFrame(rows, columns=[*keys, "horizon_h", "beta", "n", "mu", "sigma", "w", "b0", "w_raw", "b_raw"])
 
-    schema = (f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, mu ARRAY<DOUBLE>, sigma ARRAY<DOUBLE>, w ARRAY<DOUBLE>, b0 DOUBLE, "
+    schema = (f"{_types(g, keys)}, horizon_h INT, beta DOUBLE, n LONG, mu ARRAY<DOUBLE>, sigma ARRAY<DOUBLE>, w ARRAY<DOUBLE>, b0 DOUBLE, "
               "w_raw ARRAY<DOUBLE>, b_raw DOUBLE")
     return g.groupBy(*keys).applyInPandas(solve, schema)
 
 
-#: Bytes of model tables that every task may hold.
-MODEL_BYTES = 64 << 20
-
-
 def small_side(models: DataFrame, psi="w_raw") -> DataFrame:
     """The models as the side that is sent, after a check of their size; larger ones are joined by shuffle on their keys.
 
@@ -134,7 +134,11 @@ def select_beta(feats: DataFrame, keys, horizons, betas, split="split") -> DataF
 
 def fit_and_test(feats: DataFrame, keys, horizons, beta=0.5, split="split") -> DataFrame:
     """Ridge readouts from the train part and their R2 on the test part, both from one pass of moments."""
-    g = grams(feats.where(F.col(split).isin("train", "test")), [*keys, split], z="psi")
+    return solve_and_test(grams(feats.where(F.col(split).isin("train", "test")), [*keys, split], z="psi"), keys, horizons, beta, split)
+
+
+def solve_and_test(g: DataFrame, keys, horizons, beta=0.5, split="split") -> DataFrame:
+    """The same from moment rows of ``[*keys, split]``."""
 
     def solve(pdf):
         part = {s: d for s, d in pdf.groupby(split)}
@@ -154,7 +158,7 @@ def fit_and_test(feats: DataFrame, keys, horizons, beta=0.5, split="split") -> D
         return pd.DataFrame(rows, columns=[*keys, *names])
 
     names = ["horizon_h", "n", "n_test", "w", "b0", "test_r2"]
-    schema = f"{_types(feats, keys)}, horizon_h INT, n LONG, n_test LONG, w ARRAY<DOUBLE>, b0 DOUBLE, test_r2 DOUBLE"
+    schema = f"{_types(g, keys)}, horizon_h INT, n LONG, n_test LONG, w ARRAY<DOUBLE>, b0 DOUBLE, test_r2 DOUBLE"
     return g.groupBy(*keys).applyInPandas(solve, schema)
 
 
@@ -190,10 +194,11 @@ def fit_reweighted(feats: DataFrame, horizons, taus, beta=0.5, kind="expectile",
     z, stats = prepare(feats, keys)
     z = stage(z.select("model_id", "z", "labels"))
     sets = [(h, tau) for h in range(len(horizons)) for tau in taus]
-    W, moved, done = None, np.inf, 0
-    for done in range(max_iter + 1):  # the unweighted start, then max_iter reweighted solves
-        def weigh(A, Y, W=W):
-            for s, (h, tau) in enumerate(sets):
+    W, live, steps = None, np.arange(len(sets)), np.zeros(len(sets), int)
+    for done in range(max_iter + 1):  # the unweighted start, then max_iter reweighted solves; a set leaves the passes when it has converged
+        def weigh(A, Y, W=W, live=live):
+            for s in live:
+                h, tau = sets[s]
                 r = np.zeros(len(A)) if W is None else Y[:, h] - A @ W[s]
                 w = np.ones(len(A)) if W is None else np.where(r > 0, tau, 1 - tau)
                 if W is not None and kind == "quantile":
@@ -208,16 +213,18 @@ def fit_reweighted(feats: DataFrame, horizons, taus, beta=0.5, kind="expectile",
                 rows.append({"s": int(s), "n": float(M[-2, -2]), "w": w})
             return pd.DataFrame(rows)
 
-        g = weighted_grams(z, keys, weigh, len(sets))
+        g = weighted_grams(z, keys, weigh, len(live))
         # At most len(horizons) * len(taus) small vectors come back.
         new = g.groupBy(*keys).applyInPandas(solve, "s INT, n DOUBLE, w ARRAY<DOUBLE>").toPandas().sort_values("s")
         nxt = np.vstack(new["w"].to_list())
-        moved = np.inf if W is None else float(np.max(np.abs(nxt - W)))
-        W = nxt
-        if moved < tol:
+        moved = np.full(len(live), np.inf) if W is None else np.abs(nxt - W[live]).max(axis=1)
+        W = nxt if W is None else W
+        W[live], steps[live] = nxt, done
+        live = live[moved >= tol]
+        if not len(live):
             break
     spark = feats.sparkSession
-    rows = [(kind, horizons[h], float(tau), float(beta), [float(v) for v in W[s][:-1]], float(W[s][-1]), done, moved < tol) for s, (h, tau) in enumerate(sets)]
+    rows = [(kind, horizons[h], float(tau), float(beta), [float(v) for v in W[s][:-1]], float(W[s][-1]), int(steps[s]), s not in live) for s, (h, tau) in enumerate(sets)]
     models = spark.createDataFrame(rows, "model_id STRING, horizon_h INT, tau DOUBLE, beta DOUBLE, w ARRAY<DOUBLE>, b0 DOUBLE, iterations INT, converged BOOLEAN")
     return _raw(models, stats, keys)
 

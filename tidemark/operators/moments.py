@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SHARED = -1  # horizon index of the part that all horizons share
 MAX_BYTES = 256 << 20  # partial matrices held by a task before they are emitted
+MODEL_BYTES = 64 << 20  # model tables that every task may hold
 
 
 def matrix(col) -> np.ndarray:
@@ -52,12 +53,12 @@ def standardise_vectors(df: DataFrame, stats: DataFrame, keys, psi="psi", out="z
     return j.withColumn(out, F.zip_with(centred, "sigma", lambda x, s: x / s)).drop("mu", "sigma")
 
 
-def _schema(df, keys, extra):
+def moment_schema(df, keys, extra=("h INT", "i INT", "g ARRAY<DOUBLE>")):
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join([f"{k} {types[k]}" for k in keys] + extra)
+    return ", ".join([f"{k} {types[k]}" for k in keys] + list(extra))
 
 
-def _emit(keys, acc):
+def emit_moments(keys, acc):
     """Accumulated {(key, h): matrix} to record batches of (keys, h, i, g)."""
     for (key, h), m in acc.items():
         n = len(m)
@@ -68,12 +69,12 @@ def _emit(keys, acc):
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def _summed(parts: DataFrame, keys) -> DataFrame:
+def summed_moments(parts: DataFrame, keys) -> DataFrame:
     total = parts.groupBy(*keys, "h", "i").agg(Summarizer.sum(array_to_vector("g")).alias("g"))
     return total.withColumn("g", vector_to_array("g"))
 
 
-def _held(acc):
+def held_bytes(acc):
     return sum(m.nbytes for m in acc.values())
 
 
@@ -92,25 +93,29 @@ def grams(df: DataFrame, keys, z="z", labels="labels", gaps=range, max_bytes=MAX
             Z, Y = matrix(b.column(z)), matrix(b.column(labels))
             A = np.column_stack([Z, np.ones(len(Z))])
             for key, idx in key_slices(b, keys):
-                a, y = A[idx], Y[idx]
-                _add(acc, (key, SHARED), a.T @ a)
-                ok = np.isfinite(y)
-                y0 = np.where(ok, y, 0.0)
-                cross = np.column_stack([y0.T @ a, (y0 * y0).sum(axis=0)])
-                for h in range(y.shape[1]):
-                    _add(acc, (key, 2 * h), cross[h : h + 1])
-                for h in set(gaps(y.shape[1])):
-                    gone = a[~ok[:, h]]
-                    if len(gone):
-                        _add(acc, (key, 2 * h + 1), gone.T @ gone)
-                if _held(acc) > max_bytes:
-                    yield from _emit(keys, acc)
+                add_moments(acc, key, A[idx], Y[idx], gaps)
+                if held_bytes(acc) > max_bytes:
+                    yield from emit_moments(keys, acc)
                     acc = {}
-        yield from _emit(keys, acc)
+        yield from emit_moments(keys, acc)
 
     need = df.select(*keys, z, labels)
-    parts = need.mapInArrow(run, _schema(df, keys, ["h INT", "i INT", "g ARRAY<DOUBLE>"]))
-    return _summed(parts, keys)
+    parts = need.mapInArrow(run, moment_schema(df, keys))
+    return summed_moments(parts, keys)
+
+
+def add_moments(acc, key, a, y, gaps=range):
+    """Adds rows ``a`` (with the constant) and their labels to the matrices of a key."""
+    _add(acc, (key, SHARED), a.T @ a)
+    ok = np.isfinite(y)
+    y0 = np.where(ok, y, 0.0)
+    cross = np.column_stack([y0.T @ a, (y0 * y0).sum(axis=0)])
+    for h in range(y.shape[1]):
+        _add(acc, (key, 2 * h), cross[h : h + 1])
+    for h in set(gaps(y.shape[1])):
+        gone = a[~ok[:, h]]
+        if len(gone):
+            _add(acc, (key, 2 * h + 1), gone.T @ gone)
 
 
 def _add(acc, k, m):
@@ -144,13 +149,13 @@ def weighted_grams(df: DataFrame, keys, weigh, n_sets, z="z", labels="labels") -
                     ok = np.isfinite(y)
                     full = np.column_stack([A[idx][ok], y[ok]])
                     _add(acc, (key, s), (full * w[ok][:, None]).T @ full)
-                if _held(acc) > MAX_BYTES:
-                    yield from _emit(keys, acc)
+                if held_bytes(acc) > MAX_BYTES:
+                    yield from emit_moments(keys, acc)
                     acc = {}
-        yield from _emit(keys, acc)
+        yield from emit_moments(keys, acc)
 
-    parts = df.select(*keys, z, labels).mapInArrow(run, _schema(df, keys, ["h INT", "i INT", "g ARRAY<DOUBLE>"]))
-    return _summed(parts, keys)
+    parts = df.select(*keys, z, labels).mapInArrow(run, moment_schema(df, keys))
+    return summed_moments(parts, keys)
 
 
 def triangular(df: DataFrame, keys, z="z", y="y", weight=None, fan_in=32) -> DataFrame:
@@ -169,13 +174,13 @@ def triangular(df: DataFrame, keys, z="z", y="y", weight=None, fan_in=32) -> Dat
             for key, idx in key_slices(b, keys):
                 part = rows[idx][np.isfinite(rows[idx]).all(axis=1)]
                 acc[key, pid] = np.linalg.qr(np.vstack([acc[key, pid], part]) if (key, pid) in acc else part, mode="r")
-                if _held(acc) > MAX_BYTES:
-                    yield from _emit(keys, acc)
+                if held_bytes(acc) > MAX_BYTES:
+                    yield from emit_moments(keys, acc)
                     acc = {}
-        yield from _emit(keys, acc)
+        yield from emit_moments(keys, acc)
 
     cols = [z, y] + ([weight] if weight else [])
-    schema = _schema(df, keys, ["h INT", "i INT", "g ARRAY<DOUBLE>"])
+    schema = moment_schema(df, keys)
     level = df.select(*keys, *cols).mapInArrow(local, schema)
 
     def stack(pdf):

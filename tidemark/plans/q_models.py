@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAY, HOUR, add_hours, day_floor, epoch_s, hour_floor
-from ..operators import climate as C, domains as D, features as X, linear as L, metrics as M
+from ..operators import climate as C, domains as D, features as X, linear as L, metrics as M, paths as P
 from ..operators.chunks import windowed
 from ..operators.clean import split_by_fraction
 from ..operators.moments import vector_stats
@@ -299,34 +299,32 @@ FULL = X.FeatureSpec(windows=(7, 14, 30, 90, 180, 365), step=DAY)
 FIVE = ("t_c", "rh", "rain", "wind", "p_hpa")
 WF = {w: f"(PARTITION BY series_id ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (48, *FULL.windows)}
 RHO = "(610.94e0*exp(17.625e0*{0}/(243.04e0+{0}))/(461.5e0*({0}+273.15e0)))"
-FULL_SQL = f"""WITH d AS (SELECT *, rh/100e0*{RHO.format('t_c')} AS q FROM depots), m AS (SELECT series_id, ts, count(*) OVER {WF[48]} AS n, {' + '.join(f'sum({c}) OVER {WF[48]}' for c in FIVE)} AS lags,
+#: Sum of (place in the vector) * value over the 240 lags: driver k at lag j has place 5 j + k, from 1.
+BY_PLACE = " + ".join(f"5*(rn*sum({c}) OVER {WF[48]} - sum(rn*{c}) OVER {WF[48]}) + {k}*sum({c}) OVER {WF[48]}" for k, c in enumerate(FIVE, 1))
+FULL_SQL = f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn, rh/100e0*{RHO.format('t_c')} AS q FROM depots), m AS (SELECT series_id, ts, count(*) OVER {WF[48]} AS n, {' + '.join(f'sum({c}) OVER {WF[48]}' for c in FIVE)} AS lags, {BY_PLACE} AS by_place,
     {', '.join(f'avg(t_c) OVER {WF[w]} AS t{w}, avg(q) OVER {WF[w]} AS q{w}' for w in FULL.windows)} FROM d)
-    SELECT series_id, count(*) AS n_rows, {R('avg(lags)', 4)} AS lags, {R('avg(' + ' + '.join(f't{w} + q{w}' for w in FULL.windows) + ')', 5)} AS slow,
+    SELECT series_id, count(*) AS n_rows, {R('avg(lags)', 4)} AS lags, {R('avg(by_place)/1000', 4)} AS lags_by_place, {R('avg(' + ' + '.join(f't{w} + q{w}' for w in FULL.windows) + ')', 5)} AS slow,
     {R('avg(' + ' + '.join(f"least(q{w}/{RHO.format(f't{w}')}*100e0, 120e0)" for w in FULL.windows) + ')', 5)} AS ratio FROM m WHERE n = 48 GROUP BY 1"""
 
 
-def full_features(t):
-    return X.build_features(t.depots(), S, FULL, carry=("y",))
-
-
 @query("w4_full_vector", FULL_SQL)
 def w4f(t):
-    """258 columns per row (240 lags, 12 slow means, 6 ratios), checked by sums per family."""
+    """258 columns per row (240 lags, 12 slow means, 6 ratios), summed where they are built; sums per family and by position."""
     def total(lo, n):
-        return F.avg(F.aggregate(F.slice("psi", lo, n), F.lit(0.0), lambda a, v: a + v))
+        return F.aggregate(F.slice("total", lo, n), F.lit(0.0), lambda a, v: a + v) / F.col("n_rows")
 
-    g = full_features(t).groupBy("series_id").agg(F.count("*").alias("n_rows"), F.round(total(1, 240), 4).alias("lags"),
-                                                  F.round(total(241, 12), 5).alias("slow"), F.round(total(253, 6), 5).alias("ratio"))
-    return g
+    by_place = F.aggregate(F.transform(F.slice("total", 1, 240), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v) / F.col("n_rows") / 1000
+    g = X.feature_sums(t.depots(), S, FULL)
+    return g.select("series_id", "n_rows", F.round(total(1, 240), 4).alias("lags"), F.round(by_place, 4).alias("lags_by_place"),
+                    F.round(total(241, 12), 5).alias("slow"), F.round(total(253, 6), 5).alias("ratio"))
 
 
 @query("l2_all_horizons")
 def l2f(t):
     """73 readouts on 258 columns from one moment pass; scored against the next part in time."""
     hs = tuple(range(73))
-    src = t.depots()
-    f = X.build_features(src, S, FULL, labels=("y", hs)).withColumn("model_id", F.lit("pooled"))
-    m = L.fit_and_test(f.withColumn("split", F.when(F.year("ts") < 2000, "train").otherwise("test")), ["model_id"], hs)
+    src = t.depots().withColumns({"model_id": F.lit("pooled"), "split": F.when(F.year("ts") < 2000, "train").otherwise("test")})
+    m = L.solve_and_test(X.feature_moments(src, S, ["model_id", "split"], FULL, ("y", hs)), ["model_id"], hs)
     return r6(m.select("horizon_h", "n", "b0", "n_test", "test_r2", F.aggregate("w", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("l1_norm")))
 
 
@@ -714,3 +712,54 @@ def _dro_sql():
 def d4b(t):
     """Two steps of the reweighting in closed form."""
     return _arm_two(t, "group_dro", dro_iters=2)
+
+
+# ---- the alarm chain on fitted readouts: arrays per origin ----------------------------------
+
+def fitted_paths(t, spec, steps, taus=()):
+    """Origins with predictions of all fitted readouts and levels, and the readouts' names.
+
+    Moments are summed where the vectors are built; the readouts score inside the same blocks.
+    """
+    src = t.met().withColumns({"model_id": F.lit("pooled"), "split": split_of("ts")})
+    g = stage(X.feature_moments(src, S, ["model_id", "split"], spec, ("y", steps)).where(IS_TRAIN).drop("split"))
+    models = L.solve_ridge(g, ["model_id"], steps).select("model_id", F.lit("linear").alias("readout"), "horizon_h", "w_raw", "b_raw")
+    if taus:
+        train = X.build_features(src, S, spec, labels=("y", steps), carry=("split",)).where(IS_TRAIN)
+        asym = L.fit_reweighted(train, steps, taus).select(F.lit("pooled").alias("model_id"), F.format_string("tau%d", F.round(F.col("tau") * 100).cast("int")).alias("readout"), "horizon_h", "w_raw", "b_raw")
+        models = models.unionByName(asym)
+    models = stage(models)
+    rows = stage(X.score_features(src, S, models, ["model_id"], spec, ("y", steps), ["readout", "horizon_h"], carry=("split",)))
+    names = sorted({r for r, _ in P.readout_names(models, ["readout", "horizon_h"])})
+    cuts = P.path_cuts(rows.where("split = 'val'"))
+    return P.level_paths(rows.where("split = 'test'").withColumnRenamed("ts", "origin_ts"), cuts, names, steps), names
+
+
+SCAN3_SQL = f"""WITH {ZZ}, lb AS (SELECT zz.series_id, zz.ts, zz.split, z1, z2, h.horizon_h, f.y FROM zz CROSS JOIN (SELECT unnest([24, 48, 72]) AS horizon_h) h LEFT JOIN met f ON f.series_id = zz.series_id AND f.ts = zz.ts + to_hours(h.horizon_h)),
+    mo AS (SELECT horizon_h, {MOM} FROM lb WHERE split = 'train' AND y IS NOT NULL GROUP BY 1), w AS (SELECT horizon_h, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo),
+    pr AS (SELECT series_id, ts, split, horizon_h, y AS y_true, my + w1*(z1 - m1) + w2*(z2 - m2) AS y_pred FROM lb JOIN w USING (horizon_h)),
+    va AS (SELECT horizon_h, thr, y_pred, row_number() OVER (PARTITION BY horizon_h, thr ORDER BY y_pred) - 1 AS rn, count(*) OVER (PARTITION BY horizon_h, thr) AS n, avg(CASE WHEN y_true >= thr THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY horizon_h, thr) AS rate
+      FROM pr CROSS JOIN (SELECT unnest([62e0, 67e0, 75e0]) AS thr) WHERE split = 'val' AND y_true IS NOT NULL),
+    ps AS (SELECT *, (1 - rate)*(n - 1) AS pos FROM va),
+    cu AS (SELECT horizon_h, thr, round(CASE WHEN max(rate) > 0 THEN max(CASE WHEN rn = floor(pos) THEN y_pred END) + (max(CASE WHEN rn = ceil(pos) THEN y_pred END) - max(CASE WHEN rn = floor(pos) THEN y_pred END))*(max(pos) - floor(max(pos))) ELSE thr END, 6) AS cut FROM ps GROUP BY 1, 2),
+    c3 AS (SELECT horizon_h, max(cut) FILTER (thr = 62) AS c62, max(cut) FILTER (thr = 67) AS c67, max(cut) FILTER (thr = 75) AS c75 FROM cu GROUP BY 1),
+    lv AS (SELECT pr.*, CASE WHEN y_pred >= c75 THEN 2 WHEN y_pred >= c67 OR y_pred >= c62 THEN 1 ELSE 0 END AS level FROM pr JOIN c3 USING (horizon_h) WHERE split = 'test' AND y_true IS NOT NULL)
+    SELECT series_id, ts AS origin_ts, 'linear' AS model, min(horizon_h) FILTER (y_true >= 62) AS first_true_h, min(horizon_h) FILTER (level >= 1) AS first_alarm_h, count(*) FILTER (level >= 1) AS n_alarm, count(*) FILTER (y_true >= 62) AS n_true,
+    {R('max(y_true)')} AS true_peak, {R('max(y_pred)', 5)} AS pred_peak, min(horizon_h) FILTER (y_true >= 62) - min(horizon_h) FILTER (level >= 1) AS lead_h, CASE WHEN max(y_pred) >= 62 THEN 1 ELSE 0 END AS crosses
+    FROM lv GROUP BY 1, 2 HAVING count(*) FILTER (level >= 1) > 0 AND count(*) FILTER (y_true >= 62) > 0"""
+
+
+@query("a5_two_driver_scan", SCAN3_SQL)
+def a5two(t):
+    """Features, ridge, cuts on the validation part, levels and the origin scan, end to end: every step has a closed form."""
+    rows, names = fitted_paths(t, TWO, (24, 48, 72))
+    s = P.scan_paths(rows, ["series_id", "origin_ts"], names, (24, 48, 72))
+    return s.withColumns({"true_peak": F.round("true_peak", 6), "pred_peak": F.round("pred_peak", 5)})
+
+
+@query("a5_readout_scan")
+def a5all(t):
+    """The same with the full hourly readouts: 73 steps, the linear one and two asymmetric ones."""
+    steps = tuple(range(73))
+    rows, names = fitted_paths(t, SPEC, steps, (0.9, 0.95))
+    return r6(P.scan_paths(rows, ["series_id", "origin_ts"], names, steps), 4)
