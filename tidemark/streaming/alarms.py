@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.chunks import positions
+from .hourly import with_state
+
+
+class RunTracker(StatefulProcessor):
+    """The open run of a series; a timer ends it when the series falls silent."""
+
+    def __init__(self, cut, silence_h):
+        self.cut, self.silence_h = cut, silence_h
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", "onset LONG, last LONG")
+        self.handle = handle
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows)).sort_values("hour")
+        hours, on = batch["hour"].to_numpy(np.int64), batch["y_pred"].to_numpy() >= self.cut
+        if self.open.exists():
+            onset, last = self.open.get()
+            hours, on = np.concatenate(([onset, last], hours)), np.concatenate(([True, True], on))
+            joined = np.array([True])  # the run's own hours are one run, however long
+        else:
+            joined = np.zeros(0, bool)
+        alarms = np.flatnonzero(on)
+        follows = (np.diff(hours[alarms]) <= 1) & (np.diff(alarms) == 1) if len(alarms) else np.zeros(0, bool)
+        follows[: len(joined)] = True
+        starts = alarms[np.concatenate(([True], ~follows))] if len(alarms) else alarms
+        ends = alarms[np.concatenate((~follows, [True]))] if len(alarms) else alarms
+        still = len(ends) > 0 and ends[-1] == len(hours) - 1  # nothing after it yet
+        done = len(ends) - still
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if still:
+            onset, last = int(hours[starts[-1]]), int(hours[ends[-1]])
+            self.open.update((onset, last))
+            self.handle.registerTimer(max((last + self.silence_h) * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.open.clear()
+        if done:
+            first, last = hours[starts[:done]], hours[ends[:done]]
+            yield pd.DataFrame({"series_id": [key[0]] * done, "onset_hour": first, "last_hour": last, "duration_h": last - first + 1})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        onset, last = self.open.get()
+        self.open.clear()
+        yield pd.DataFrame({"series_id": [key[0]], "onset_hour": [onset], "last_hour": [last], "duration_h": [last - onset + 1]})
 
 
 def alarm_runs_stream(scored: DataFrame, cut, silence_h=6, late="2 hours") -> DataFrame:
@@ -15,36 +61,8 @@ def alarm_runs_stream(scored: DataFrame, cut, silence_h=6, late="2 hours") -> Da
     ``scored`` has ``series_id, hour, y_pred``. A run clears at the first later hour without
     an alarm, or, if the series falls silent, once the watermark is ``silence_h`` past its last hour.
     """
-    def step(key, batches, state: GroupState):
-        out = []
-        if state.hasTimedOut:
-            first, last = state.get
-            out.append((key[0], first, last, last - first + 1))
-            state.remove()
-            yield pd.DataFrame(out, columns=["series_id", "onset_hour", "last_hour", "duration_h"])
-            return
-        first = last = None
-        if state.exists:
-            first, last = state.get
-        for h, p in pd.concat(list(batches)).sort_values("hour")[["hour", "y_pred"]].itertuples(index=False):
-            on = p >= cut
-            if first is not None and not (on and h == last + 1):
-                out.append((key[0], first, last, last - first + 1))
-                first = last = None
-            if on:
-                first, last = (h if first is None else first), h
-        if first is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(first), int(last)))
-            state.setTimeoutTimestamp(max((int(last) + silence_h) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["series_id", "onset_hour", "last_hour", "duration_h"])
-
-    src = scored.withColumn("_t", F.timestamp_seconds(F.col("hour") * 3600)).withWatermark("_t", late)
-    return src.select("series_id", "hour", "y_pred", "_t").groupBy("series_id").applyInPandasWithState(
-        step, "series_id STRING, onset_hour LONG, last_hour LONG, duration_h LONG", "onset LONG, last LONG", "append", GroupStateTimeout.EventTimeTimeout)
+    src = scored.select("series_id", "hour", "y_pred", F.timestamp_seconds(F.col("hour") * 3600).alias("_t")).withWatermark("_t", late)
+    return with_state(src, RunTracker(cut, silence_h), "series_id STRING, onset_hour LONG, last_hour LONG, duration_h LONG")
 
 
 def alarm_runs(scored: DataFrame, cut) -> DataFrame:
