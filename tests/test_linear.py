@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, frame, random_features, ridge_numpy, series
-from tidemark.operators import linear as L
+from tidemark.operators import features as X, linear as L
 from tidemark.operators.moments import grams, standardise_vectors, triangular, vector_stats
 
 M = ["model_id"]
@@ -195,3 +195,30 @@ def test_moments_do_not_depend_on_the_memory_limit(spark):
     a = grams(z, M).orderBy("model_id", "h", "i").collect()
     b = grams(z, M, max_bytes=1).orderBy("model_id", "h", "i").collect()
     assert [r["g"] for r in a] == [pytest.approx(r["g"]) for r in b]
+
+
+def test_affine_scan_is_the_recursion():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=1000) * 0.9, rng.normal(size=1000)
+    A, B = L.affine_scan(a, b)
+    x, want = 1.7, []
+    for u, v in zip(a, b):
+        x = u * x + v
+        want.append(x)
+    assert A * 1.7 + B == pytest.approx(want) and [len(v) for v in L.affine_scan([], [])] == [0, 0]
+
+
+@pytest.mark.parametrize("chunk", [7, 10_000])
+def test_pairs_meet_inside_their_blocks(spark, chunk):
+    rng = np.random.default_rng(5)
+    hours = [h for h in range(120) if h % 17]
+    Z = rng.normal(size=(len(hours), 3)) + 4
+    d = frame(spark, "series_id STRING, ts TIMESTAMP_NTZ, psi ARRAY<DOUBLE>, labels ARRAY<DOUBLE>",
+              [("a", at(h), [float(v) for v in z], [None if h % 5 == 0 else float(z.sum()), 1.0]) for h, z in zip(hours, Z)])
+    got = {}
+    for r in X.pair_moments(d, ["series_id"], chunk=chunk).collect():
+        got.setdefault(r.h, {})[r.i] = r.g
+    A = np.column_stack([Z, np.ones(len(Z))])
+    i = np.array([k for k in range(len(hours) - 1) if hours[k + 1] == hours[k] + 1])
+    for code, want in ((-1, A.T @ A), (X.PAIRS, A[i].T @ A[i]), (X.CROSS, A[i].T @ A[i + 1])):
+        assert np.vstack([got[code][k] for k in range(4)]) == pytest.approx(want)

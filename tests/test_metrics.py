@@ -131,3 +131,19 @@ def test_candidates_fall_back(spark):
     assert len(got) == 2 and {r["crosses"] for r in got} == {0}
     strong = demo_candidates(weak.unionByName(frame(spark, schema, [("c", 9, 20, 9, 1)]))).collect()
     assert [(r["series_id"], r["crosses"]) for r in strong] == [("c", 1)]
+
+
+def test_quantiles_of_one_key_read_few_partitions(spark):
+    """One key over all range partitions: rows are read again only where the directory finds a wanted rank."""
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=20_000), 3)
+    d = frame(spark, "series_id STRING, y DOUBLE", [("a", float(x)) for x in v]).repartition(4)
+    t = frame(spark, "series_id STRING, q DOUBLE, name STRING", [("a", q, f"q{q}") for q in (0.0, 0.3, 0.5, 0.999, 1.0)])
+    df = O.quantiles(d, K, "y", t, parts=16)
+    got = {r.q: r.quantile for r in df.collect()}
+    assert all(got[q] == pytest.approx(np.quantile(v, q)) for q in got) and len(got) == 5
+    counts = d.groupBy("series_id", F.col("y").alias("_v")).agg(F.count("*").alias("_c"))
+    held = O.directory(O.ranged(counts, K, ["_v"], 16), K).collect()
+    assert len(held) > 8 and all(r._n == 20_000 for r in held) and sorted(r._off for r in held)[0] == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "_pid" in plan

@@ -14,7 +14,7 @@ from ..functions.calendar import HOUR, calendar_encoding, epoch_s
 from ..functions.physics import (KELVIN, MAGNUS_ALDUCHOV, MAGNUS_SONNTAG, R_VAPOUR, clip, saturation_density,
                                  saturation_pa, vapour_density)
 from .chunks import windowed, with_halo
-from .moments import MAX_BYTES, MODEL_BYTES, add_moments, emit_moments, held_bytes, key_slices, moment_schema, summed_moments
+from .moments import MAX_BYTES, MODEL_BYTES, add_moments, emit_moments, held_bytes, key_slices, matrix, moment_schema, summed_moments
 
 
 @dataclass(frozen=True)
@@ -104,9 +104,10 @@ class Block:
         return x[self.pos[:, None] + np.asarray(steps)[None, :]]
 
     def output(self, columns, vectors, keep):
-        rows = self.table.select(columns).filter(pa.array(keep))
+        """Kept rows with their vectors; a vector given as a function is built for the kept rows only."""
+        rows, at = self.table.select(columns).filter(pa.array(keep)), np.flatnonzero(keep)
         for name, values in vectors.items():
-            flat = np.ascontiguousarray(values[keep])
+            flat = np.ascontiguousarray(values(at) if callable(values) else values[keep])
             n, p = flat.shape
             ends = pa.array(np.arange(n + 1, dtype=np.int32) * p)
             rows = rows.append_column(name, pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), from_pandas=True)))
@@ -131,10 +132,10 @@ def in_blocks(df, keys, columns, names, make, ts, back, ahead, step, chunk):
 
 
 def fold_blocks(df, keys, make, start, add, emit, schema, ts, back, ahead, step, chunk) -> DataFrame:
-    """Consume vectors where they are built: ``add(state, rows, vectors)`` per (series, chunk), ``emit(state)`` batches.
+    """Consume vectors where they are built: ``add(state, block, vectors, keep)`` per (series, chunk), ``emit(state)`` batches.
 
-    Wide vectors never leave the task; ``add`` gets the block's own rows as a table and its matrices. A task holds one
-    block and its state; ``add`` may return batches when the state grows too large.
+    Wide vectors never leave the task. A task holds one block and its state; ``add`` may return batches when the state
+    grows too large. Rows of the halo are in the block: ``block.home`` tells the others.
     """
     halo = with_halo(df, ts, back, ahead, step, chunk)
     group = [*keys, "_chunk"]
@@ -145,8 +146,7 @@ def fold_blocks(df, keys, make, start, add, emit, schema, ts, back, ahead, step,
         def flush():
             blk = Block(pa.Table.from_batches(held), step)
             vectors, keep = make(blk)
-            keep = keep & blk.home
-            return add(state, blk.table.filter(pa.array(keep)), {k: v[keep] for k, v in vectors.items()}) or ()
+            return add(state, blk, vectors, keep) or ()
 
         for b in batches:
             if not b.num_rows:
@@ -210,10 +210,12 @@ def feature_moments(df, keys, group, spec: FeatureSpec, labels, ts="ts", chunk=N
     """``grams`` of the feature vectors per ``group`` (columns of ``df``), without the vectors ever leaving the task that builds them."""
     src, make, back, ahead = _recipe(df, keys, spec, ts, [c for c in group if c not in keys], labels, False)
 
-    def add(acc, rows, vectors):
+    def add(acc, blk, vectors, keep):
         A = np.column_stack([vectors["psi"], np.ones(len(vectors["psi"]))])
-        for key, idx in key_slices(rows, list(group)):
-            add_moments(acc, key, A[idx], vectors["labels"][idx])
+        for key, idx in key_slices(blk.table, list(group)):
+            idx = idx[(keep & blk.home)[idx]]
+            if len(idx):
+                add_moments(acc, key, A[idx], vectors["labels"][idx])
         if held_bytes(acc) > MAX_BYTES:
             yield from emit_moments(group, acc)
             acc.clear()
@@ -226,10 +228,12 @@ def feature_sums(df, keys, spec: FeatureSpec, ts="ts", chunk=None) -> DataFrame:
     """(keys, n_rows, total): rows with a full window and the sum of their vectors, per series."""
     src, make, back, ahead = _recipe(df, keys, spec, ts, (), None, False)
 
-    def add(acc, rows, vectors):
-        for key, idx in key_slices(rows, list(keys)):
-            n, total = acc.get(key, (0, 0.0))
-            acc[key] = n + len(idx), total + vectors["psi"][idx].sum(axis=0)
+    def add(acc, blk, vectors, keep):
+        for key, idx in key_slices(blk.table, list(keys)):
+            idx = idx[(keep & blk.home)[idx]]
+            if len(idx):
+                n, total = acc.get(key, (0, 0.0))
+                acc[key] = n + len(idx), total + vectors["psi"][idx].sum(axis=0)
 
     def emit(acc):
         for key, (n, total) in acc.items():
@@ -242,6 +246,37 @@ def feature_sums(df, keys, spec: FeatureSpec, ts="ts", chunk=None) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
 
 
+#: Codes of the moment rows of consecutive hours, beside those of ``grams``.
+PAIRS, CROSS = 100, 101
+
+
+def pair_moments(feats, keys, ts="ts", psi="psi", labels="labels", step=HOUR, chunk=None) -> DataFrame:
+    """Moment rows of the vectors with their first label, and of pairs (vector, vector a step later).
+
+    ``PAIRS`` is the matrix of [psi, 1] over rows that have a next one, ``CROSS`` the products of these with the next ones.
+    Rows meet their next one inside their (series, chunk) block; nothing is joined, and no label per vector entry is needed.
+    """
+    src = feats.select(*keys, ts, psi, F.slice(labels, 1, 1).alias(labels))
+
+    def add(acc, blk, vectors, keep):
+        A = np.column_stack([matrix(blk.table.column(psi)), np.ones(len(blk.pos))])
+        key = tuple(blk.table.column(k)[0].as_py() for k in keys)
+        home = np.flatnonzero(blk.home)
+        if len(home):
+            add_moments(acc, key, A[home], matrix(blk.table.column(labels))[home])
+        at = np.flatnonzero((np.diff(blk.pos) == 1) & blk.home[:-1])
+        if len(at):
+            for code, m in ((PAIRS, A[at].T @ A[at]), (CROSS, A[at].T @ A[at + 1])):
+                acc[key, code] = acc[key, code] + m if (key, code) in acc else m
+        if held_bytes(acc) > MAX_BYTES:
+            yield from emit_moments(keys, acc)
+            acc.clear()
+
+    make = lambda b: ({}, np.ones(len(b.pos), bool))
+    parts = fold_blocks(src, keys, make, dict, add, lambda acc: emit_moments(keys, acc), moment_schema(src, keys), ts, 0, 1, step, chunk)
+    return summed_moments(parts, keys)
+
+
 def score_features(df, keys, models, model_key, spec: FeatureSpec, labels, readouts, carry=(), ts="ts", chunk=None) -> DataFrame:
     """Rows ``(keys, ts, carry…, labels, preds)``: all readouts of a row from one matrix product per block.
 
@@ -323,19 +358,37 @@ def hold_first(df, keys, col, ts="ts", name="held") -> DataFrame:
 
 
 def supervised_windows(df, keys, drivers, target, past=168, ahead=72, every=3, ts="ts") -> DataFrame:
-    """Past driver rows, future driver rows and future targets as arrays; complete windows only."""
-    def make(f):
-        row = F.struct(*drivers)
-        return {
-            "past": F.collect_list(row).over(f.between(-past, -1)),
-            "future": F.collect_list(row).over(f.between(0, ahead - 1)),
-            "truth": F.collect_list(target).over(f.between(0, ahead - 1)),
-        }
-
-    out = windowed(df, keys, make, ts, back=past, ahead=ahead)
-    hour = (epoch_s(ts) / 3600).cast("long")
-    full = (F.size("past") == past) & (F.size("future") == ahead) & (F.size("truth") == ahead)
-    return out.where(full & (hour % every == 0))
+    """Past driver rows, future driver rows and future targets as arrays; complete windows only.
+
+    Windows are strided views of a block's dense rows, copied at the anchors (hours divisible by ``every``) alone.
+    A window is complete if all its hours have a row and all its targets a value; drivers may be null.
+    """
+    src = df.select(*keys, ts, *dict.fromkeys([*drivers, target])).withColumn("_one", F.lit(1.0))
+
+    def make(b):
+        hour = b.table.column("_e").to_numpy() // HOUR
+        here = np.concatenate([np.zeros(past), np.nan_to_num(b.dense("_one")), np.zeros(ahead)])
+        known = np.concatenate([np.nan_to_num(b.dense("_one")) * np.isfinite(b.dense(target)), np.zeros(ahead)])
+        rows, truths = np.concatenate([[0.0], np.cumsum(here)]), np.concatenate([[0.0], np.cumsum(known)])
+        keep = (hour % every == 0) & (rows[b.pos + past + ahead] - rows[b.pos] == past + ahead) & (truths[b.pos + ahead] - truths[b.pos] == ahead)
+        x = np.column_stack([b.dense(c) for c in drivers])
+        x = np.vstack([np.full((past, x.shape[1]), np.nan), x, np.full((ahead, x.shape[1]), np.nan)])
+        y = np.concatenate([b.dense(target), np.full(ahead, np.nan)])
+
+        def view(a, width, shift):
+            win = np.lib.stride_tricks.sliding_window_view(a, width, axis=0)
+            size = width * (a.shape[1] if a.ndim > 1 else 1)
+            return lambda at: np.moveaxis(win[b.pos[at] + shift], -1, 1).reshape(len(at), size)
+
+        return {"past": view(x, past, 0), "future": view(x, ahead, past), "truth": view(y, ahead, 0)}, keep
+
+    out = in_blocks(src, keys, src.columns[:-1], ["past", "future", "truth"], make, ts, past, ahead, HOUR, None)
+
+    def structs(c, n):
+        k = len(drivers)
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*[F.get(c, i * k + j).alias(d) for j, d in enumerate(drivers)]))
+
+    return out.withColumns({"past": structs("past", past), "future": structs("future", ahead)})
 
 
 def standardiser(df: DataFrame, keys, cols, floor=1e-12) -> DataFrame:

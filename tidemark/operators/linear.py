@@ -10,6 +10,7 @@ from ..functions.calendar import add_hours
 from ..functions.labels import feature_family
 from ..session import stage
 from .chunks import windowed
+from .features import CROSS, PAIRS, pair_moments
 from .moments import MODEL_BYTES, grams, standardise_vectors, triangular, unpack, vector_stats, weighted_grams
 
 
@@ -306,42 +307,48 @@ def transfer_reanchored(df: DataFrame, coef: DataFrame, keys, x, y, horizon, lag
     return j.select(*keys, ts, F.lit(horizon).alias("horizon_h"), "y_true", roll.alias("y_pred"))
 
 
+def affine_scan(a, b):
+    """Composition of the maps ``x -> a[i] x + b[i]`` up to every i, as arrays (A, B), by doubling the composed length."""
+    A, B = np.array(a, float), np.array(b, float)
+    step = 1
+    while step < len(A):
+        B[step:] = A[step:] * B[:-step] + B[step:]
+        A[step:] = A[step:] * A[:-step]
+        step *= 2
+    return A, B
+
+
 def recursive_rollout(df: DataFrame, coef: DataFrame, keys, x, y, chunk_hours=24 * 366, ts="ts") -> DataFrame:
     """Recursion from one start value over a whole series, without holding a series in one task.
 
-    A chunk maps its start state to its end state by ``s -> A s + B``. Chunk maps are composed
-    over the few chunks of a series; every chunk then runs on its own from its start state.
+    A chunk maps its start state to its end state by ``s -> A s + B``. Chunk maps are composed by a scan
+    over the few chunks of a series; every chunk then runs on its own from its start state, also by a scan.
     """
     src = df.join(coef.select(*keys, "a", "b", "c"), list(keys)).withColumn(
         "_chunk", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / (chunk_hours * 3600)).cast("long"))
     src = src.select(*keys, "_chunk", ts, F.col(x).alias("_x"), F.col(y).alias("_y"), "a", "b", "c")
     kt = _types(df, keys)
 
+    def maps_of(pdf):
+        a = float(pdf["a"].iloc[0])
+        return affine_scan(np.full(len(pdf), a), pdf["b"].iloc[0] * pdf["_x"].to_numpy() + pdf["c"].iloc[0])
+
     def summarise(pdf):
         pdf = pdf.sort_values(ts)
-        a, drive = float(pdf["a"].iloc[0]), pdf["b"].iloc[0] * pdf["_x"].to_numpy() + pdf["c"].iloc[0]
-        B = 0.0
-        for d in drive:
-            B = a * B + d
+        A, B = maps_of(pdf)
         row = {k: pdf[k].iloc[0] for k in [*keys, "_chunk"]}
-        return pd.DataFrame([{**row, "A": a ** len(drive), "B": B, "y0": float(pdf["_y"].iloc[0])}])
+        return pd.DataFrame([{**row, "A": A[-1], "B": B[-1], "y0": float(pdf["_y"].iloc[0])}])
 
     def compose(pdf):
         pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        s, starts = float(pdf["y0"].iloc[0]), []
-        for A, B in zip(pdf["A"], pdf["B"]):
-            starts.append(s)
-            s = A * s + B
-        return pdf[[*keys, "_chunk"]].assign(start=starts)
+        A, B = affine_scan(pdf["A"], pdf["B"])
+        s = float(pdf["y0"].iloc[0])
+        return pdf[[*keys, "_chunk"]].assign(start=np.concatenate(([s], A[:-1] * s + B[:-1])))
 
     def run(pdf):
         pdf = pdf.sort_values(ts)
-        a, drive = float(pdf["a"].iloc[0]), pdf["b"].iloc[0] * pdf["_x"].to_numpy() + pdf["c"].iloc[0]
-        s, out = float(pdf["start"].iloc[0]), []
-        for d in drive:
-            s = a * s + d
-            out.append(s)
-        return pdf[[*keys, ts, "_y"]].rename(columns={"_y": "y_true"}).assign(y_pred=out)
+        A, B = maps_of(pdf)
+        return pdf[[*keys, ts, "_y"]].rename(columns={"_y": "y_true"}).assign(y_pred=A * float(pdf["start"].iloc[0]) + B)
 
     maps = src.groupBy(*keys, "_chunk").applyInPandas(summarise, f"{kt}, _chunk LONG, A DOUBLE, B DOUBLE, y0 DOUBLE")
     starts = maps.groupBy(*keys).applyInPandas(compose, f"{kt}, _chunk LONG, start DOUBLE")
@@ -350,52 +357,43 @@ def recursive_rollout(df: DataFrame, coef: DataFrame, keys, x, y, chunk_hours=24
 
 # ---- transition operator -----------------------------------------------------------------
 
-def _transition_cells(feats: DataFrame, keys, ts="ts"):
-    """Moments of (state, next state, target): the next state's entries are extra labels."""
-    z, stats = prepare(feats, keys)
-    z = stage(z.select(*keys, ts, "z", F.get("labels", F.lit(0)).alias("_y0")))
-    nxt = z.select(*keys, add_hours(ts, -1).alias(ts), F.col("z").alias("_next"))
-    none = F.transform("z", lambda v: F.lit(None).cast("double"))
-    j = z.join(nxt, [*keys, ts], "left").withColumn("labels", F.concat(F.array("_y0"), F.coalesce("_next", none)))
-    return grams(j, keys, gaps=_together), stats
-
-
-def _together(n):
-    """The target has gaps of its own; the next state's entries are missing together."""
-    return [0] + [1] * (n - 1)
-
-
 def fit_transition(feats: DataFrame, keys, horizons, beta=0.5) -> DataFrame:
     """Rollout readouts: ``w' K^h z`` folded into one weight vector per horizon, so scoring is ``score``."""
-    g, stats = _transition_cells(feats, keys)
-
     def solve(pdf):
-        K, w, n = _operator(pdf, beta)
+        K, w, n, mu, sigma = _operator(pdf, beta)
         key = {k: pdf[k].iloc[0] for k in keys}
-        rows = [{**key, "horizon_h": h, "beta": float(beta), "n": n, "w": np.linalg.matrix_power(K, h).T @ w[:-1], "b0": float(w[-1])} for h in horizons]
+        rows = []
+        for h in horizons:
+            v = np.linalg.matrix_power(K, h).T @ w[:-1]
+            raw = v / sigma
+            rows.append({**key, "horizon_h": h, "beta": float(beta), "n": n, "w": v, "b0": float(w[-1]), "w_raw": raw, "b_raw": float(w[-1] - raw @ mu)})
         return pd.DataFrame(rows)
 
-    schema = f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, w ARRAY<DOUBLE>, b0 DOUBLE"
-    return _raw(g.groupBy(*keys).applyInPandas(solve, schema), stats, keys)
+    schema = f"{_types(feats, keys)}, horizon_h INT, beta DOUBLE, n LONG, w ARRAY<DOUBLE>, b0 DOUBLE, w_raw ARRAY<DOUBLE>, b_raw DOUBLE"
+    return pair_moments(feats, keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def _operator(pdf, beta):
-    """Transition matrix (no intercept), the same-hour readout and its labelled rows, from one key's moments."""
-    p = len(pdf.loc[pdf["h"] == -1, "g"].iloc[0]) - 1
-    cells = unpack(pdf, p + 1, _together)
-    G0, b0, _ = cells[0]
+    """Transition matrix (no intercept), the same-hour readout, its labelled rows and the scale, from one key's moments."""
+    part = {h: np.vstack(g.sort_values("i")["g"].to_list()) for h, g in pdf.groupby("h")}
+    (G0, b0, _), = unpack(pdf[pdf["h"] < PAIRS], 1)
+    mu, sigma, scale = standardised(part[-1])
+    G0, b0 = scale((G0, b0))
     w = ridge(G0, b0, G0[-1, -1], beta)
-    G1 = cells[1][0]
+    p = len(mu)
+    n = int(round(G0[-1, -1]))
+    if PAIRS not in part:  # no two consecutive hours: nothing is carried over
+        return np.zeros((p, p)), w, n, mu, sigma
+    T = np.diag(np.append(1.0 / sigma, 1.0))
+    T[-1, :-1] = -mu / sigma
+    G1, X = T.T @ part[PAIRS] @ T, T.T @ part[CROSS] @ T
     m = G1[-1, -1]
-    cross = np.column_stack([cells[1 + j][1][:p] for j in range(p)])
-    K = np.linalg.solve(G1[:p, :p] / m + beta * np.eye(p), cross / m).T
-    return K, w, int(round(G0[-1, -1]))
+    K = np.linalg.solve(G1[:p, :p] / m + beta * np.eye(p), X[:p, :p] / m).T
+    return K, w, n, mu, sigma
 
 
 def mode_table(feats: DataFrame, keys, beta=0.5, top_k=8) -> DataFrame:
     """Slowest stable modes of the transition operator: decay time and period in hours."""
-    g, _ = _transition_cells(feats, keys)
-
     def solve(pdf):
         # z(t + 1) = K z(t): a mode shrinks by |v| an hour and turns by arg v, so exp(-1/tau) = |v| and 2 pi / period = |arg v|.
         v = np.linalg.eigvals(_operator(pdf, beta)[0]).astype(complex)
@@ -408,7 +406,7 @@ def mode_table(feats: DataFrame, keys, beta=0.5, top_k=8) -> DataFrame:
                              "tau_hours": tau.to_numpy(), "period_hours": period.fillna(np.inf).to_numpy()})
 
     schema = f"{_types(feats, keys)}, mode INT, eigenvalue STRUCT<re: DOUBLE, im: DOUBLE>, abs_lambda DOUBLE, tau_hours DOUBLE, period_hours DOUBLE"
-    return g.groupBy(*keys).applyInPandas(solve, schema)
+    return pair_moments(feats, keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 # ---- tables about weights ----------------------------------------------------------------

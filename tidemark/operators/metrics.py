@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.calendar import HOUR, epoch_s
 from .chunks import windowed
-from .order import quantiles, running_totals
+from .order import quantiles, running_totals, sent
 
 
 def regression_metrics(df: DataFrame, keys, y="y_true", p="y_pred", min_pairs=1) -> DataFrame:
@@ -142,7 +142,7 @@ def peak_capture(df: DataFrame, keys, q=0.99, y="y_true", p="y_pred") -> DataFra
     """Mean prediction over mean truth where the truth is in its top share."""
     ok = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     targets = ok.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, F.lit(float(q)).alias("q"))
-    top = ok.join(quantiles(ok, keys, y, targets), keys).where(F.col(y) >= F.col("quantile"))
+    top = ok.join(sent(quantiles(ok, keys, y, targets)), keys).where(F.col(y) >= F.col("quantile"))
     return top.groupBy(*keys).agg(
         F.count("*").alias("peak_n"), F.avg(y).alias("peak_true"), F.avg(p).alias("peak_pred"),
         F.try_divide(F.avg(p), F.avg(y)).alias("peak_ratio"))

@@ -32,22 +32,44 @@ def running_totals(df, keys, order, sums: dict[str, str], parts=None) -> DataFra
     return out.drop("_pid")
 
 
-def quantiles(df, keys, value, targets: DataFrame, frac="q", out="quantile") -> DataFrame:
+def directory(st: DataFrame, keys, count="_c") -> DataFrame:
+    """(keys, _pid, _off, _here, _n) of ranged rows: how many come before, are in and belong to each key's range partitions.
+
+    One row per key and partition; the rows themselves are only counted.
+    """
+    d = st.groupBy(*keys, "_pid").agg(F.sum(count).alias("_here"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    return d.select(*keys, "_pid", "_here", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_off"), F.sum("_here").over(whole).alias("_n"))
+
+
+def sent(df: DataFrame, row_bytes: int = 256, limit: int = 64 << 20) -> DataFrame:
+    """``df`` staged, as the side that is sent if its rows (about ``row_bytes`` each) fit ``limit``."""
+    df = stage(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def quantiles(df, keys, value, targets: DataFrame, frac="q", out="quantile", parts=None) -> DataFrame:
     """Exact linear-interpolated quantiles; ``targets`` holds key columns and a fraction per row.
 
-    Values are counted first (map-side combine), so repeated values cost nothing and
-    only distinct values are ordered. ``targets`` may carry further label columns.
+    Values are counted first (map-side combine), so repeated values cost nothing and only distinct values are ordered.
+    The directory of range partitions tells which ones hold a wanted rank; only their rows are read again and ranked.
+    ``targets`` may carry further label columns.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     counts = clean.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    run = running_totals(counts, keys, ["_v"], {"_b": "_c"})
-    n = run.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    st = ranged(counts, keys, ["_v"], parts)
     pos = F.col(frac) * (F.col("_n") - 1)
-    t = (targets.join(n, keys).withColumn("_pos", pos)
-         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    hit = run.join(t, keys).where((F.col("_hi") >= F.col("_b")) & (F.col("_lo") < F.col("_b") + F.col("_c")))
+    d = directory(st, keys).join(targets, list(keys)).withColumn("_pos", pos).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+    last = F.col("_off") + F.col("_here")
+    holds = ((F.col("_lo") >= F.col("_off")) & (F.col("_lo") < last)) | ((F.col("_hi") >= F.col("_off")) & (F.col("_hi") < last))
+    wanted = sent(d.where(holds))
+    here = [*keys, "_pid"]
+    read = st.join(wanted.select(*here).distinct(), here, "left_semi")
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*here).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = read.withColumn("_in", inside).join(wanted, here).withColumn("_b", F.col("_off") + F.col("_in"))
     end = F.col("_b") + F.col("_c")
-    picked = hit.groupBy(*targets.columns, "_pos", "_lo").agg(
+    picked = hit.where((F.col("_hi") >= F.col("_b")) & (F.col("_lo") < end)).groupBy(*targets.columns, "_pos", "_lo").agg(
         F.max(F.when((F.col("_lo") >= F.col("_b")) & (F.col("_lo") < end), F.col("_v"))).alias("_a"),
         F.max(F.when((F.col("_hi") >= F.col("_b")) & (F.col("_hi") < end), F.col("_v"))).alias("_z"))
     w = F.col("_pos") - F.col("_lo")

@@ -22,8 +22,12 @@ XK = ["series_id", "model", "horizon_h"]
 CTES["fcxw"] = CTES["fcw"].replace("unnest([24, 48, 72])", "CAST(unnest(range(0, 73)) AS INT)")
 CTES["fcx"] = CTES["fc"].replace("fcw", "fcxw")
 CTES["fcxt"] = "SELECT fcx.*, thr.threshold FROM fcx CROSS JOIN (SELECT unnest([62e0, 67e0, 75e0]) AS threshold) thr"
-XCUTS = CUTS_SQL.replace("cuts AS", "xc AS").replace("fct", "fcxt") + """, xcuts AS (SELECT series_id, model, horizon_h, max(cut) FILTER (threshold = 62) AS cut_62, max(cut) FILTER (threshold = 67) AS cut_67,
-    max(cut) FILTER (threshold = 75) AS cut_75 FROM xc GROUP BY 1, 2, 3), lev AS (SELECT f.*, cut_62, cut_67, cut_75, CAST(CASE WHEN y_pred >= cut_75 THEN 2 WHEN y_pred >= cut_67 OR y_pred >= cut_62 THEN 1 ELSE 0 END AS BIGINT) AS level,
+#: Sorted validation values once per (series, model, step); the three cuts are read from them.
+XCUTS = "xv AS (SELECT series_id, model, horizon_h, list_sort(list(y_pred)) AS qs, count(*) AS n, " + ", ".join(
+    f"(1 - avg(CASE WHEN y_true >= {c} THEN 1e0 ELSE 0e0 END)) * (count(*) - 1) AS p{c}, max(y_true) >= {c} AS e{c}" for c in (62, 67, 75)) + \
+    " FROM fcx WHERE split = 'val' AND y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2, 3), xcuts AS (SELECT series_id, model, horizon_h, " + ", ".join(
+    f"round(CASE WHEN e{c} THEN qs[CAST(floor(p{c}) AS INT) + 1] + (qs[CAST(ceil(p{c}) AS INT) + 1] - qs[CAST(floor(p{c}) AS INT) + 1]) * (p{c} - floor(p{c})) ELSE {c}e0 END, 6) AS cut_{c}" for c in (62, 67, 75)) + \
+    """ FROM xv), lev AS (SELECT f.*, cut_62, cut_67, cut_75, CAST(CASE WHEN y_pred >= cut_75 THEN 2 WHEN y_pred >= cut_67 OR y_pred >= cut_62 THEN 1 ELSE 0 END AS BIGINT) AS level,
     CAST(CASE WHEN y_pred >= 75 THEN 2 WHEN y_pred >= 62 THEN 1 ELSE 0 END AS BIGINT) AS level_raw FROM fcx f JOIN xcuts USING (series_id, model, horizon_h) WHERE split = 'test')"""
 SCAN = """scan AS (SELECT *, first_true_h - first_alarm_h AS lead_h, CASE WHEN pred_peak >= 62 THEN 1 ELSE 0 END AS crosses FROM (SELECT series_id, model, origin_ts, min(horizon_h) FILTER (y_true >= 62) AS first_true_h,
     min(horizon_h) FILTER (level >= 1) AS first_alarm_h, count(*) FILTER (level >= 1) AS n_alarm, count(*) FILTER (y_true >= 62) AS n_true, max(y_true) AS true_peak, max(y_pred) AS pred_peak FROM lev GROUP BY 1, 2, 3) WHERE n_alarm > 0 AND n_true > 0)"""

@@ -134,8 +134,8 @@ def w11(t):
     return r6(X.mean_of_domain_stats(t.met().where("series_id <> 'view'"), S, "rh"))
 
 
-@query("w12_supervised_windows", f"""SELECT series_id, ts, {R('past_rh')} AS past_rh, {R('future_t')} AS future_t, {R('truth_y')} AS truth_y FROM (SELECT series_id, ts,
-    count(*) OVER p AS np, count(*) OVER f AS nf, sum(rh) OVER p AS past_rh, sum(t_c) OVER f AS future_t, sum(y) OVER f AS truth_y FROM met
+@query("w12_supervised_windows", f"""SELECT series_id, ts, {R('past_rh')} AS past_rh, {R('future_t')} AS future_t, {R('truth_y')} AS truth_y, {R('past_place', 4)} AS past_place, {R('truth_place', 4)} AS truth_place FROM (SELECT series_id, ts,
+    sum((h + 1)*rh) OVER p - (h - 12)*sum(rh) OVER p AS past_place, sum((h + 1)*y) OVER f - h*sum(y) OVER f AS truth_place, count(*) OVER p AS np, count(*) OVER f AS nf, sum(rh) OVER p AS past_rh, sum(t_c) OVER f AS future_t, sum(y) OVER f AS truth_y FROM (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 - 473352 AS h FROM met)
     WINDOW p AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING),
            f AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 5 HOUR FOLLOWING)) WHERE np = 12 AND nf = 6 AND (CAST(epoch(ts) AS BIGINT) // 3600) % 3 = 0""")
 def w12(t):
@@ -144,8 +144,13 @@ def w12(t):
     def total(arr):
         return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
 
+    def by_place(arr):
+        return total(F.transform(arr, lambda v, i: v * (i + 1)))
+
     return r6(d.select("series_id", "ts", total(F.transform("past", lambda s: s["rh"])).alias("past_rh"),
-                       total(F.transform("future", lambda s: s["t_c"])).alias("future_t"), total(F.col("truth")).alias("truth_y")))
+                       total(F.transform("future", lambda s: s["t_c"])).alias("future_t"), total(F.col("truth")).alias("truth_y"),
+                       by_place(F.transform("past", lambda s: s["rh"])).alias("past_place"), by_place(F.col("truth")).alias("truth_place")).withColumns(
+                           {c: F.round(c, 4) for c in ("past_place", "truth_place")}))
 
 
 @query("w13_spliced_readout", f"""WITH lg AS ({lag_sql(['t_c', 'rh'], 4)}), dot AS (SELECT series_id, ts, sum(v/(pos + 1)) AS d FROM lg GROUP BY 1, 2),
@@ -286,8 +291,8 @@ def w6_full(t):
     return vector_rows(X.with_calendar_terms(X.build_features(t.met(), S, X.YEAR_SPEC), add_hours("ts", 24)))
 
 
-@query("w12_supervised_windows_full", f"""SELECT series_id, ts, {R('past_rh')} AS past_rh, {R('future_t')} AS future_t, {R('truth_y')} AS truth_y FROM (SELECT series_id, ts,
-    count(*) OVER p AS np, count(*) OVER f AS nf, sum(rh) OVER p AS past_rh, sum(t_c) OVER f AS future_t, sum(y) OVER f AS truth_y FROM met
+@query("w12_supervised_windows_full", f"""SELECT series_id, ts, {R('past_rh')} AS past_rh, {R('future_t')} AS future_t, {R('truth_y')} AS truth_y, {R('past_place', 4)} AS past_place, {R('truth_place', 4)} AS truth_place FROM (SELECT series_id, ts,
+    sum((h + 1)*rh) OVER p - (h - 168)*sum(rh) OVER p AS past_place, sum((h + 1)*y) OVER f - h*sum(y) OVER f AS truth_place, count(*) OVER p AS np, count(*) OVER f AS nf, sum(rh) OVER p AS past_rh, sum(t_c) OVER f AS future_t, sum(y) OVER f AS truth_y FROM (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 - 473352 AS h FROM met)
     WINDOW p AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING),
            f AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 71 HOUR FOLLOWING)) WHERE np = 168 AND nf = 72 AND (CAST(epoch(ts) AS BIGINT) // 3600) % 3 = 0""")
 def w12_full(t):
@@ -297,5 +302,10 @@ def w12_full(t):
     def total(arr):
         return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
 
+    def by_place(arr):
+        return total(F.transform(arr, lambda v, i: v * (i + 1)))
+
     return r6(d.select("series_id", "ts", total(F.transform("past", lambda s: s["rh"])).alias("past_rh"),
-                       total(F.transform("future", lambda s: s["t_c"])).alias("future_t"), total(F.col("truth")).alias("truth_y")))
+                       total(F.transform("future", lambda s: s["t_c"])).alias("future_t"), total(F.col("truth")).alias("truth_y"),
+                       by_place(F.transform("past", lambda s: s["rh"])).alias("past_place"), by_place(F.col("truth")).alias("truth_place")).withColumns(
+                           {c: F.round(c, 4) for c in ("past_place", "truth_place")}))
