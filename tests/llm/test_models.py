@@ -122,3 +122,27 @@ def test_leaves_of_tag_soup():
 ])
 def test_elements_without_text_lose_nothing_else(page, want):
     assert [t for _, t, _ in leaves(page)] == want
+
+
+def test_deep_pages_keep_their_paths():
+    """Two thousand nested elements before and inside the article: end tags close what they opened, nothing outside."""
+    deep = "<div>" * 2000 + "deep" + "</div>" * 2000
+    blocks = leaves(f"<body><nav><ul><li>menu</li></ul></nav><article>{deep}<p>after</p></article><footer>end</footer></body>")
+    paths = {text: path for path, text, _ in blocks}
+    assert [text for _, text, _ in blocks] == ["menu", "deep", "after", "end"]
+    assert paths["deep"].count("div") == 2000 and paths["after"] == ("body", "article", "p") and paths["end"] == ("body", "footer")
+    lost = leaves("<body><article>" + "<div>" * 3000 + "x" + "</div>" * 10 + "</article><p>after</p></body>")
+    assert [(p[:2], t) for p, t, _ in lost] == [(("body", "article"), "x"), (("body", "p"), "after")]
+
+
+def test_dictionaries_of_small_samples_see_every_text():
+    """A sample of 300 kB in 60 texts whose marks lie in its first documents: they are in the dictionary, trained or thinned."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    texts = [(" ".join(["earlymark" if k < 20 and i % 9 == 0 else rng.choice(words) for i in range(730)])).encode() for k in range(60)]
+    assert 290_000 < sum(map(len, texts)) < 320_000
+    made = compression_quality.dictionary(texts)
+    assert b"earlymark" in made and len(made) <= compression_quality.DICTIONARY_BYTES
+    thin = compression_quality.thinned([b"a" * 200_000, b"Z" * 200_000], 1000)
+    assert len(thin) <= 1100 and abs(thin.count(b"a") - thin.count(b"Z")) <= 2 * compression_quality.THIN
+    assert compression_quality.dictionary([b"one", b"two"]) == b"one\ntwo" and compression_quality.dictionary([]) == b""

@@ -126,3 +126,13 @@ def test_hot_shards_are_cut_without_loss(spark, monkeypatch):
     mine = {v: find(v) for v in values}
     up = want
     assert {v: find(v) for v in values} == mine
+
+
+def test_variety_is_judged_at_every_length():
+    """Five thousand words from forty are as poor as two hundred from four; long running text is not."""
+    rng = np.random.default_rng(0)
+    poor = [" ".join(f"w{k}" for k in rng.integers(0, kinds, n)).encode() for n, kinds in ((200, 4), (5000, 40), (60_000, 90))]
+    rich = [" ".join(f"w{k}" for k in rng.zipf(1.3, n)).encode() for n in (200, 5000, 60_000)]
+    at = [r[1] for r in quality_rules._RULES].index("variety")
+    votes = quality_rules._digits(quality_rules.judged(poor + rich)["votes"])[:, at]
+    assert votes[:3].tolist() == [1, 1, 1] and votes[3:].tolist() == [2, 2, 2]

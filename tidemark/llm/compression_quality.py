@@ -29,18 +29,28 @@ SAMPLE = 3000
 DICTIONARY_PIECES = 8
 DICTIONARY_BYTES = 112 << 10
 PIECE = 2048
+#: Bytes of the runs that are kept where a text is thinned.
+THIN = 64
 CUT = 0.3
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    if sum(map(len, pieces)) > 4 * size and len(pieces) > 100:
-        try:
-            return zstandard.train_dictionary(size, pieces).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"\n".join(texts)[-size:]
+    """A trained dictionary; from smaller pieces where there are too few to train on, else the texts themselves, thinned alike over their whole length."""
+    for piece in (PIECE, PIECE // 8):
+        pieces = [t[i : i + piece] for t in texts for i in range(0, len(t), piece)]
+        if len(pieces) > 8:
+            try:
+                return zstandard.train_dictionary(size, pieces).as_bytes()
+            except zstandard.ZstdError:
+                continue
+    return thinned(texts, size)
+
+
+def thinned(texts: list[bytes], size: int) -> bytes:
+    """At most about ``size`` bytes: runs of ``THIN`` at even distances over all texts."""
+    whole = b"\n".join(texts)
+    every = max(1, -(-len(whole) // size))
+    return b"".join(whole[i : i + THIN] for i in range(0, len(whole), THIN * every))
 
 
 def drawn_pieces(doc_id: int, text: bytes, most: int = DICTIONARY_PIECES) -> bytes:
@@ -107,6 +117,7 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
 
     def _expand(self, x):
+        # An outlier counts as six deviations, so that its square outweighs nothing.
         z = np.clip((x - self.mean) / self.sd, -6, 6)
         first, second = np.triu_indices(z.shape[1])
         return np.column_stack([z, z[:, first] * z[:, second], np.ones(len(z))])
@@ -163,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(b"", b"", None, 0.5 if share is None else share)
     chosen = spark.createDataFrame(ids, "doc_id LONG, label INT, half INT")
     # A sample of at most 2 * SAMPLE ids of 16 bytes: small enough to send everywhere.
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows with one id the text with the smallest hash is learned from, wherever the rows are read.
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min_by(F.struct("text", "label", "half"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.*")
     head = sampled(drawn.where("half = 0")).collect()
     head = sorted(head, key=lambda r: r.doc_id)
     good, bad = (dictionary([bytes(r.pieces) for r in head if r.label == label]) for label in (1, 0))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements without content, elements that stay inside a line, elements whose content is not text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,8 +28,6 @@ FLOW = frozenset("address article aside blockquote body center dd details dialog
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _REST = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)" + _REST, re.S)
-#: Elements nested deeper than this are read as part of their ancestor, as browsers do.
-DEPTH = 512
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
@@ -65,12 +64,22 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(names on the path, text, share of link text) of every block with text, in page order."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter = Counter()  # elements of the stack by tag, so that an end tag need not look for its start
     text: list[str] = []
     linked = 0
     path: tuple[str, ...] | None = None
     hidden: int | None = None  # place in the stack of an open RAW element without an end tag
     ends: dict[str, dict[int, int]] = {}
 
+    def push(tag: str, names: tuple[str, ...]):
+        stack.append((tag, names))
+        opened[tag] += 1
+
+    def cut(k: int):
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
     def flush():
         nonlocal text, linked, path
         if text:
@@ -86,7 +95,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if path is None and not piece.isspace():
             path = tuple(n for tag, names in stack if tag not in INLINE for n in names)
         text.append(piece)
-        if any(tag == "a" for tag, _ in stack):
+        if opened["a"]:
             linked += len(piece)
 
     at = 0
@@ -100,18 +109,20 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 if tag not in INLINE:
                     flush()
-                while stack.pop()[0] != tag:
-                    pass
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                cut(k)
                 if hidden is not None and len(stack) <= hidden:
                     hidden = None
             elif tag == "p":
                 flush()
             continue
         if hidden is not None and tag in FLOW:
-            del stack[hidden:]
+            cut(hidden)
             hidden = None
         if tag == "head":
             flush()
@@ -132,7 +143,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 continue
             if hidden is None:
                 hidden = len(stack)
-                stack.append((tag, (tag,)))
+                push(tag, (tag,))
             continue
         if tag == "br":
             add(" ")
@@ -142,19 +153,19 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             if tag == "p" or tag not in ("td", "th", "tr", "li", "dd", "dt"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] not in INLINE:
                         break
-            if tag in CLOSES:
+            if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in CLOSES[tag]:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead"):
                         break
-        if tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append((tag, path_names(tag, m[3])))
+        if tag not in VOID and not m[3].rstrip().endswith("/"):
+            push(tag, path_names(tag, m[3]))
     add(page[at:])
     flush()
     return out

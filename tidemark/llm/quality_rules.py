@@ -60,6 +60,10 @@ def measure(text: bytes) -> tuple:
     )
 
 
+#: Distinct words of running text, factor and exponent over its words (Heaps' law): variety is judged alike at every length.
+HEAPS = (2.5, 0.75)
+
+
 def _rules(m: dict) -> list[tuple[str, str, np.ndarray, np.ndarray]]:
     """(kind of junk, name, votes bad, votes good) from the arrays of ``measure``; neither is an abstention.
 
@@ -67,17 +71,17 @@ def _rules(m: dict) -> list[tuple[str, str, np.ndarray, np.ndarray]]:
     """
     w, lines, chars = np.maximum(m["n_words"], 1), np.maximum(m["n_lines"], 1), np.maximum(m["word_chars"], 1)
     symbols, runs, marks = m["n_symbols"] / w, m["n_runs"] / w, m["n_marks"] / chars
-    length, kinds, ended = m["word_chars"] / w, m["n_kinds"] / w, m["n_ended"] / lines
+    length, ended = m["word_chars"] / w, m["n_ended"] / lines
     dup, rep = m["n_dup_lines"] / lines, m["n_repeat_words"] / w
     upper, bang = m["n_upper"] / chars, m["n_bang"] / w
-    long = m["n_words"] >= 50
+    long, variety = m["n_words"] >= 50, m["n_kinds"] / (HEAPS[0] * w ** HEAPS[1])
     return [
         ("symbols", "symbols", symbols > 0.1, symbols < 0.02),
         ("symbols", "symbol_runs", runs > 0.08, runs < 0.02),
         ("symbols", "punctuation", marks > 0.12, marks < 0.08),
         ("repetition", "duplicate_lines", dup > 0.3, (dup == 0) & (m["n_lines"] >= 3)),
         ("repetition", "repetition", rep > 0.15, (rep < 0.03) & long),
-        ("repetition", "variety", (kinds < 0.2) & long & (m["n_words"] < 2000), kinds > 0.35),
+        ("repetition", "variety", (variety < 0.3) & long, variety > 0.5),
         ("shouting", "capitals", upper > 0.3, upper < 0.1),
         ("shouting", "exclamation", bang > 0.1, (bang < 0.02) & long),
         ("structure", "word_length", (length < 2.5) | (length > 14), (length >= 3) & (length <= 12)),
