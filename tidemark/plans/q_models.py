@@ -763,3 +763,130 @@ def a5all(t):
     steps = tuple(range(73))
     rows, names = fitted_paths(t, SPEC, steps, (0.9, 0.95))
     return r6(P.scan_paths(rows, ["series_id", "origin_ts"], names, steps), 4)
+
+
+# ---- closed forms of iterated, rolled, swapped, selected and yearly readouts ------------------
+
+def _reweighted_sql(kind, tau, steps, h=24):
+    """Weighted two-driver ridge, unrolled: even weights first, then weights by the sign (and size) of the residual."""
+    weighted = ", ".join(f"sum(w*{e})/sum(w) AS {n}" for n, e in (("m1", "z1"), ("m2", "z2"), ("my", "y"), ("e11", "z1*z1"), ("e22", "z2*z2"), ("e12", "z1*z2"), ("e1", "z1*y"), ("e2", "z2*y")))
+    central = "m1, m2, my, e11 - m1*m1 AS v1, e22 - m2*m2 AS v2, e12 - m1*m2 AS c12, e1 - m1*my AS c1, e2 - m2*my AS c2"
+    ctes = [f"lb AS (SELECT z1, z2, f.y FROM zz JOIN met f ON f.series_id = zz.series_id AND f.ts = zz.ts + INTERVAL {h} HOUR WHERE zz.split = 'train')", "x0 AS (SELECT *, 1e0 AS w FROM lb)"]
+    for k in range(steps + 1):
+        ctes.append(f"s{k} AS (SELECT w1, w2, my - w1*m1 - w2*m2 AS w0 FROM (SELECT {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM (SELECT {central} FROM (SELECT {weighted} FROM x{k}))))")
+        r = "(y - w0 - w1*z1 - w2*z2)"
+        size = f"/greatest(abs({r}), 0.001)" if kind == "quantile" else ""
+        ctes.append(f"x{k + 1} AS (SELECT z1, z2, y, CASE WHEN {r} > 0 THEN {tau} ELSE {round(1 - tau, 9)} END{size} AS w FROM lb CROSS JOIN s{k})")
+    return f"WITH {ZZ}, {', '.join(ctes[:-1])} SELECT {h} AS horizon_h, {R('w1', 5)} AS w1, {R('w2', 5)} AS w2, {R('w0', 5)} AS b0 FROM s{steps}"
+
+
+def _reweighted(t, kind, tau, steps):
+    m = L.fit_reweighted(feats(t, (24,), TWO).where(IS_TRAIN), (24,), (tau,), kind=kind, max_iter=steps, tol=0.0)
+    return r6(m.select("horizon_h", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"), "b0"), 5)
+
+
+@query("l3_two_driver_expectile", _reweighted_sql("expectile", 0.9, 4))
+def l3b(t):
+    """Four reweighted solves in closed form."""
+    return _reweighted(t, "expectile", 0.9, 4)
+
+
+@query("l4_two_driver_quantile", _reweighted_sql("quantile", 0.9, 4))
+def l4b(t):
+    return _reweighted(t, "quantile", 0.9, 4)
+
+
+L16_SQL = L14_SQL[: L14_SQL.index("h1 AS (")].rstrip().rstrip(",") + f""", sc AS (SELECT series_id, avg(t_c) AS a1, stddev_pop(t_c) AS d1, avg(rh) AS a2, stddev_pop(rh) AS d2 FROM met WHERE ts < TIMESTAMP '2024-01-11' GROUP BY 1),
+    zl AS (SELECT m.series_id, m.ts, (t_c - a1)/d1 AS z1, (rh - a2)/d2 AS z2 FROM met m JOIN sc USING (series_id)),
+    ml AS (SELECT series_id, {MOM} FROM (SELECT zl.series_id, z1, z2, f.y FROM zl JOIN met f ON f.series_id = zl.series_id AND f.ts = zl.ts + INTERVAL 2 HOUR WHERE zl.ts < TIMESTAMP '2024-01-11') GROUP BY 1),
+    dr AS (SELECT series_id, 'direct' AS kind, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM ml),
+    h1 AS (SELECT series_id, w1*k11 + w2*k21 AS u1, w1*k12 + w2*k22 AS u2, my, k11, k12, k21, k22 FROM r JOIN k USING (series_id)),
+    al AS (SELECT series_id, kind, w1, w2, my - w1*m1 - w2*m2 AS b0 FROM dr UNION ALL SELECT series_id, 'rollout', u1*k11 + u2*k21, u1*k12 + u2*k22, my FROM h1),
+    p AS (SELECT kind, f.y AS y_true, b0 + w1*z1 + w2*z2 AS y_pred FROM zl JOIN al USING (series_id) JOIN met f ON f.series_id = zl.series_id AND f.ts = zl.ts + INTERVAL 2 HOUR WHERE zl.ts >= TIMESTAMP '2024-01-21')
+    SELECT kind, 2 AS horizon_h, count(*) AS n, {R('1 - avg(pow(y_pred - y_true, 2))/var_pop(y_true)', 5)} AS r2, {R('sqrt(avg(pow(y_pred - y_true, 2)))', 5)} AS rmse FROM p GROUP BY 1"""
+
+
+@query("l16_two_driver_rollout", L16_SQL)
+def l16b(t):
+    """One readout two hours ahead against the same-hour readout rolled twice, per series, on the test part."""
+    f = feats(t, (0, 2), TWO, key="series_id").withColumn("model_id", F.col("series_id"))
+    tr = f.where(IS_TRAIN)
+    roll = L.fit_transition(tr.drop("series_id").withColumnRenamed("model_id", "series_id"), S, (2,)).withColumnRenamed("series_id", "model_id")
+    cols = ["model_id", "horizon_h", "kind", "w_raw", "b_raw"]
+    both = stage(L.fit_ridge(tr, ["model_id"], (0, 2)).withColumn("kind", F.lit("direct")).select(*cols).unionByName(roll.withColumn("kind", F.lit("rollout")).select(*cols)))
+    p = L.score(truth(f, (0, 2)).where("split = 'test' AND horizon_h = 2"), both, ["model_id", "horizon_h"])
+    return r6(M.regression_metrics(p, ["kind", "horizon_h"]).select("kind", "horizon_h", "n", "r2", "rmse"), 5)
+
+
+def _swap_sql(name, a, b):
+    return f"""SELECT '{name}' AS variant, * FROM (WITH s AS (SELECT avg({a}) AS mu1, stddev_pop({a}) AS sd1, avg({b}) AS mu2, stddev_pop({b}) AS sd2 FROM met WHERE ts < TIMESTAMP '2024-01-11'),
+    lb AS (SELECT CASE WHEN m.ts < TIMESTAMP '2024-01-11' THEN 'train' WHEN m.ts < TIMESTAMP '2024-01-21' THEN 'val' ELSE 'test' END AS split, (m.{a} - mu1)/sd1 AS z1, (m.{b} - mu2)/sd2 AS z2, f.y
+      FROM met m CROSS JOIN s JOIN met f ON f.series_id = m.series_id AND f.ts = m.ts + INTERVAL 24 HOUR),
+    mo AS (SELECT {MOM} FROM lb WHERE split = 'train'), w AS (SELECT {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo)
+    SELECT 24 AS horizon_h, count(*) AS n, {R('sqrt(avg(pow(my + w1*(z1 - m1) + w2*(z2 - m2) - y, 2)))', 5)} AS rmse, {R('1 - avg(pow(my + w1*(z1 - m1) + w2*(z2 - m2) - y, 2))/var_pop(y)', 5)} AS r2 FROM lb CROSS JOIN w WHERE split = 'test')"""
+
+
+SWAPS = (("humidity", "t_c", "rh"), ("wind", "t_c", "wind"), ("pressure", "t_c", "p_hpa"))
+
+
+@query("l18_two_driver_swap", " UNION ALL ".join(_swap_sql(*v) for v in SWAPS))
+def l18b(t):
+    """One of two drivers exchanged; same rows, same penalty."""
+    out = None
+    for name, a, b in SWAPS:
+        f = feats(t, (24,), X.FeatureSpec(drivers=(a, b), lags=1, windows=(), slow=False, ratio=False))
+        p = scored_models(f.where("split = 'test'"), fit(f, (24,)), (24,)).where("y_true IS NOT NULL")
+        m = M.regression_metrics(p, ["horizon_h"]).select(F.lit(name).alias("variant"), "horizon_h", "n", "rmse", "r2")
+        out = m if out is None else out.unionByName(m)
+    return r6(out, 5)
+
+
+D10_SQL = f"""WITH {TWO_SITE}, {HEADS.replace("split <> 'test'", "split = 'train'")}, it AS (SELECT a.hold, j.src AS gone, a.i, a.v, a.s, sj.s AS at_s FROM lg a JOIN hd j ON j.hold = a.hold AND j.src <> a.src JOIN co sj ON sj.domain = j.src),
+    ik AS (SELECT *, exp(-0.5*pow(s - at_s, 2)/var_pop(s) OVER (PARTITION BY hold, gone, i)) AS k FROM it),
+    ia AS (SELECT hold, gone, i, avg(v) AS mean, var_pop(v) AS var, regr_slope(v, s) AS slope, avg(s) AS ms, any_value(at_s) AS at_s, sum(k*v)/sum(k) AS near FROM ik GROUP BY 1, 2, 3),
+    ir AS (SELECT *, row_number() OVER (PARTITION BY hold, gone ORDER BY var DESC, i) AS r FROM ia),
+    ie AS (SELECT hold, gone, i, shrink, CASE WHEN r <= 2 THEN shrink*(mean + slope*(at_s - ms)) + (1 - shrink)*near ELSE mean END AS v FROM ir CROSS JOIN (SELECT unnest([0e0, 0.6e0, 1e0]) AS shrink)),
+    iw AS (SELECT hold, gone, shrink, max(CASE WHEN i = 1 THEN v END) AS w1, max(CASE WHEN i = 2 THEN v END) AS w2, max(CASE WHEN i = 3 THEN v END) AS w0 FROM ie GROUP BY 1, 2, 3),
+    im AS (SELECT hold, gone, shrink, avg(pow(y - w0 - w1*(x1 - mu1)/sd1 - w2*(x2 - mu2)/sd2, 2)) AS mse FROM iw JOIN fold USING (hold) JOIN rw ON rw.domain = gone WHERE split = 'val' GROUP BY 1, 2, 3),
+    ri AS (SELECT hold, shrink, avg(mse) AS risk FROM im GROUP BY 1, 2)
+    SELECT hold AS domain, {R('shrink', 4)} AS shrink, {R('risk', 4)} AS inner_risk FROM ri QUALIFY row_number() OVER (PARTITION BY hold ORDER BY risk, shrink) = 1"""
+
+
+@query("d10_two_driver_selection", D10_SQL)
+def d10b(t):
+    """Every source left out once more: the shrinkage with the smallest mean risk on the left-out sites."""
+    _, models = _two_fit(t, D.TransferSpec(arms=("subspace",), dims=(2,), shrinks=(0.0, 0.6, 1.0)))
+    return r6(models.select("domain", "shrink", "inner_risk"), 4)
+
+
+D15_SQL = f"""WITH dy AS (SELECT date_trunc('day', o_orderdate) AS ts, CAST(count(*) AS DOUBLE) AS x1, sum(o_totalprice)/1e6 AS x2 FROM orders GROUP BY 1),
+    lb AS (SELECT year(d.ts) AS domain, d.ts, d.x1, d.x2, f.x1 AS y FROM dy d JOIN dy f ON f.ts = d.ts + INTERVAL 6 DAY AND year(f.ts) = year(d.ts)),
+    rw AS (SELECT *, CASE WHEN pos < floor(n_rows*0.6) THEN 'train' WHEN pos < floor(n_rows*0.6) + floor(n_rows*0.2) THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n_rows FROM lb)),
+    ds AS (SELECT domain, avg(x1) AS mu1, stddev_pop(x1) AS sd1, avg(x2) AS mu2, stddev_pop(x2) AS sd2 FROM rw WHERE split = 'train' GROUP BY 1),
+    fold AS (SELECT h.domain AS hold, count(*) AS n_sources, avg(d.mu1) AS mu1, avg(d.sd1) AS sd1, avg(d.mu2) AS mu2, avg(d.sd2) AS sd2 FROM ds h JOIN ds d ON d.domain <> h.domain GROUP BY 1),
+    mo AS (SELECT hold, {MOM} FROM (SELECT hold, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN rw ON rw.domain <> hold AND split <> 'test') GROUP BY 1),
+    w AS (SELECT hold, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo),
+    pr AS (SELECT hold, n_sources, y, my + w1*((x1 - mu1)/sd1 - m1) + w2*((x2 - mu2)/sd2 - m2) AS p FROM w JOIN fold USING (hold) JOIN rw ON rw.domain = hold AND split = 'test')
+    SELECT CAST(hold AS VARCHAR) AS domain, max(n_sources) AS n_sources, count(*) AS n, {R('1 - avg(pow(p - y, 2))/var_pop(y)', 4)} AS r2, {R('sqrt(avg(pow(p - y, 2)))', 4)} AS rmse FROM pr GROUP BY 1"""
+
+
+@query("d15_two_driver_years", D15_SQL)
+def d15b(t):
+    """Years as domains, two drivers, six days ahead: pooled readouts on the mean scale of the other years."""
+    daily = t.orders.groupBy(day_floor("o_orderdate").alias("ts")).agg(F.count("*").cast("double").alias("n"), (F.sum("o_totalprice") / 1e6).alias("rev"))
+    daily = stage(daily.withColumn("series_id", F.lit("all")))
+    f = X.build_features(daily, S, X.FeatureSpec(drivers=("n", "rev"), lags=1, windows=(), slow=False, ratio=False, step=DAY), labels=("n", (6,)))
+    f = f.select(F.year("ts").cast("string").alias("domain"), "ts", "psi", F.get("labels", F.lit(0)).alias("y"), F.lit(144).alias("horizon_h"))
+    f = f.where((F.year("ts") == F.year(add_hours("ts", "horizon_h"))) & F.col("y").isNotNull())
+    z, mom = D.domain_moments(split_by_fraction(f, ["domain", "horizon_h"]).drop("pos", "n_rows"), TASK)
+    coords = z.select("domain").distinct().select(F.lit("year").alias("coord"), "domain", F.col("domain").cast("double").alias("s"))
+    models = stage(D.fit_domains(mom, coords, TASK, D.TransferSpec(arms=("pooled",), betas=(0.5,), scale="mean_of_domains")))
+    s = D.score_domains(D.predict_domains(z, models, TASK), models, TASK)
+    return r6(s.select("domain", "n_sources", "n", "r2", "rmse"), 4)
+
+
+@query("d5_even_risk", _dro_sql().replace("f1 JOIN fold", "f0 JOIN fold").replace("'group_dro'", "'vrex'"))
+def d5b(t):
+    """Without a penalty on the spread of risks, the minimum of the mean risk: the first step of the reweighting."""
+    return _arm_two(t, "vrex", vrex_lambda=0.0)
