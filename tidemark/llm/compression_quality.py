@@ -11,7 +11,10 @@ whole length by the hashes of their numbers.
 One half of the sample makes the dictionaries, the other half the calibration.
 
 Defined results: null and empty texts are scored as one empty piece; a document whose labels disagree is not learned from;
-where a label is missing altogether every score is the share of label 1 among the labelled rows (0.5 if there are none).
+where a label is missing altogether every score is the share of label 1 among the labelled rows (0.5 if there are none);
+texts of any length are scored whole, piece by piece; of rows with one id the text with the smallest hash is learned from and
+every row is scored; ties in the order of the sample go to the smaller id; an empty table gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters (plus one it
 
 Defined results: null and empty texts hold no item; items shorter than q characters are found as they are between
 word boundaries, and k is lowered for short items until the bound is at least one shared q-gram; items with a null id keep it; repeated documents are
-reported row by row.
+reported row by row; texts of any length are searched whole; of places with equally few edits the first is reported; without
+documents or items nothing is found, and cleaning keeps all rows; cleaning keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, utf8
+from .common import small, stage, utf8
 
 Q = 8
 EDIT_RATE = 0.1
@@ -268,9 +269,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns; narrow passes, one per block of items."""
+    """The rows of ``docs`` in which no item is found, with all their columns; narrow passes, one per block of items.
+
+    Rows are staged between the passes, so that the workers hold one block's index at a time.
+    """
     names = docs.columns
-    for items in blocks_of(benchmark):
+    for k, items in enumerate(blocks_of(benchmark)):
+        docs = stage(docs, "clean") if k else docs
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):

@@ -5,7 +5,9 @@ corpus is encoded once by the tokenizers library; the ids come back by position.
 pattern: a space that follows a non-space and precedes a non-space always opens a new piece, and so does a single line
 feed. Texts with two white-space characters in a row, or with a special token, are split by the full pattern.
 
-Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded row by row.
+Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded row by row;
+texts of any length are part of one block; ties in the order of words change no result; an empty table gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ hash), and (b) ``MADE_PAGES`` page layouts drawn at random, which show the same
 and seeded, so that a model depends on the sample alone.
 
 Defined results: null and empty pages give an empty text; a page without any block called main gives an empty text;
-repeated rows are extracted row by row.
+repeated rows are extracted row by row; pages of any length and depth are read whole; a block at even odds is not main; an empty
+table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Movement
 Every document is the sequence of its lower-cased words and one end; the history of its first token is the end.
 
 Defined results: null and empty texts are one end; a word that training has not seen is the unknown word; repeated rows
-are scored row by row, and each counts in training; without training rows every token has probability 1.
+are scored row by row, and each counts in training; without training rows every token has probability 1;
+texts of any length are scored whole; ties in the order of words change no result; an empty table gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

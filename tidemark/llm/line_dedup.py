@@ -11,7 +11,8 @@ inserting the remaining documents would give.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped; two rows
 with the same id are one document (none of its own lines goes because of the other row); rows with a null id keep all
-lines and hold no key.
+lines and hold no key; texts and lines of any length are read whole; of equal lines in one document all stay or all go; an
+empty table gives no row; all columns stay, but n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ two chunks meet in a task of their own, so that no task holds a hot shard and no
 
 Texts that are equal but for case and white space are one text from the start. Defined results: null and empty texts are
 equal; fewer than five words are one shingle; of a group the smallest id stays (a null id only if there is no other), and
-of rows equal in id and text one; all columns stay.
+of rows equal in id and text one; texts of any length are read whole; of groups with equal smallest ids the smaller digest stays;
+an empty table stays empty; all columns stay, whatever their names.
 """
 
 from __future__ import annotations

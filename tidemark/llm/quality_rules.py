@@ -5,7 +5,8 @@ pattern over all documents (at most 3 ** 11 rows, whatever the input), and expec
 gives the share of good documents and of each kind of junk and, for each rule, the probability of each vote. A
 document stays if the posterior probability of good given its votes reaches ``THRESHOLD`` and the base filter passes.
 
-Defined results: a null text has no words; repeated rows are judged one by one; an empty table gives an empty result.
+Defined results: a null text has no words; repeated rows are judged one by one; an empty table gives an empty result;
+texts of any length are judged whole; a posterior equal to the threshold keeps; filtering keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

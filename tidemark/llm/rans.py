@@ -19,7 +19,9 @@ File format
 Coder: 63-bit states, 32-bit words, frequencies that sum to 2 ** ``precision``; every symbol that occurs has at least 1.
 
 Defined results: null and empty texts are the end id alone; rows with a null id come first; repeated ids keep one entry
-per row, next to each other and ordered by their text; an empty table gives no block.
+per row, next to each other and ordered by their text; an empty table gives no block;
+texts of any length are part of one block; symbols of equal frequency are in order of their ids; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ something as large as the corpus. Shards above ``SHARD_LIMIT`` distinct fingerpr
 on the bits left, so no link is lost. A task returns a star per linked group, never all pairs.
 
 Defined results: null and empty texts have the fingerprint zero and are linked to each other; repeated rows keep one
-row each; rows with a null id get a component like any other (null ids are not a component's smallest id).
+row each; rows with a null id get a component like any other (null ids are not a component's smallest id); texts
+of any length are read whole; a bit set in exactly half the hashes is 0; an empty table gives no row; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
