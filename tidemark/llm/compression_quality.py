@@ -93,10 +93,7 @@ class Sizes:
         s = np.array([[len(c.compress(p)) for c in self.each] for p in pieces], float)
         good, bad, none = s.sum(0)
         n, each = max(1, len(text)), (s[:, 1] - s[:, 0]) / s[:, 2]
-        return (bad - good) / none, good / n, bad / n, none / n, np.log1p(len(text)), each.min(), each.max()
-
-
-N_FEATURES = 7
+        return (bad - good) / none, good / n, bad / n, none / n, each.min(), each.max()
 
 
 class Calibration:
