@@ -67,7 +67,7 @@ def nodes_of(peers: DataFrame, full) -> dict:
     """{key: Nodes} from rows (full, s); as many rows come back as there are cells."""
     where = peers.groupBy(*full).agg(F.avg("s").alias("_c"), F.stddev_pop("s").alias("_sd"))
     cell = F.floor((F.col("s") - F.col("_c")) / F.when(F.col("_sd") > 0, F.col("_sd") / CELLS).otherwise(1.0)).cast("long")
-    rows = stage(peers.join(where, full).withColumn("_cell", cell))
+    rows = peers.join(where, full).withColumn("_cell", cell)
     counts = rows.groupBy(*full, "_c", "_sd", "_cell").agg(F.count("*").alias("_n"))
     few = rows.join(counts.where(F.col("_n") <= POINTS).select(*full, "_cell"), [*full, "_cell"]).groupBy(*full, "_cell").agg(F.collect_set("s").alias("_own"))
     found: dict = {}
@@ -345,16 +345,15 @@ def fit_heads(moments: DataFrame, coords: DataFrame, task, spec, slice_bytes: in
     rows = domain_parts(moments, task).join(coords, "domain")
     rows = rows.withColumn("merged", F.when(F.col("val").isNull(), F.col("train")).otherwise(F.zip_with("train", "val", lambda a, b: a + b)))
     arms = [a for a in spec.arms if a in ("subspace", "koopman")]
-    rows = stage(rows)
     if "koopman" in arms:
-        rows = stage(with_neighbours(rows, full))
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+        rows = with_neighbours(stage(rows), full)
+    rows = stage(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))  # read once per pass: real work per row, few rows
     sources = rows.where("train IS NOT NULL")
     nodes = nodes_of(sources.select(*full, "s"), full)
-    size = sources.agg(F.max(F.size("scale"))).first()[0]
-    if size is None:
+    first = sources.select(F.size("scale").alias("size")).first()
+    if first is None:
         return rows.sparkSession.createDataFrame([], f"{_types(rows, full)}, {_types(rows, ['domain'])}, s DOUBLE, arm STRING, {RECORD}")
-    p = size // 2
+    p = first["size"] // 2
     P, B = p + 1, max((len(x.y) for x in nodes.values()), default=0)
     variants = [(a, b) for a in arms for b in ((spec.theta_beta,) if a == "subspace" else spec.betas)]
     # Node tables of the keys differ in length; the sums of a key use the first of the places.

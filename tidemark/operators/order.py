@@ -63,7 +63,7 @@ def quantiles(df, keys, value, targets: DataFrame, frac="q", out="quantile", par
     d = directory(st, keys).join(targets, list(keys)).withColumn("_pos", pos).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
     last = F.col("_off") + F.col("_here")
     holds = ((F.col("_lo") >= F.col("_off")) & (F.col("_lo") < last)) | ((F.col("_hi") >= F.col("_off")) & (F.col("_hi") < last))
-    wanted = sent(d.where(holds))
+    wanted = stage(d.where(holds))  # two rows per target at most
     here = [*keys, "_pid"]
     read = st.join(wanted.select(*here).distinct(), here, "left_semi")
     inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*here).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
