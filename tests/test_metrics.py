@@ -147,3 +147,13 @@ def test_quantiles_of_one_key_read_few_partitions(spark):
     assert len(held) > 8 and all(r._n == 20_000 for r in held) and sorted(r._off for r in held)[0] == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "_pid" in plan
+
+
+def test_issue_time_lead(spark):
+    """Horizons 24 and 48: an onset alarmed by the longer one leads by 48 hours, never by more; a repeated hour is no onset."""
+    rows = []
+    for h, preds in ((24, {10: 70, 11: 70, 30: 1, 50: 70}), (48, {10: 1, 11: 70, 30: 1, 50: 70})):
+        rows += [("a", h, at(v), 70.0, float(p), 62.0, 65.0) for v, p in preds.items()] + [("a", h, at(v), 1.0, 70.0, 62.0, 65.0) for v in (9, 29, 49)]
+    d = frame(spark, "series_id STRING, horizon_h INT, valid_ts TIMESTAMP_NTZ, y_true DOUBLE, y_pred DOUBLE, threshold DOUBLE, cut DOUBLE", rows)
+    r = M.issue_time_lead(d, KT).first()
+    assert (r.n_onset, r.n_warned, r.mean_issue_lead_h) == (3, 2, 36.0)

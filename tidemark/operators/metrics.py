@@ -138,6 +138,18 @@ def lead_time(df: DataFrame, keys, **names) -> DataFrame:
         (F.col("n_warned") / F.col("n_onset")).alias("detect_rate"), "mean_lead_h")
 
 
+def issue_time_lead(df: DataFrame, keys, horizon="horizon_h", threshold="threshold", cut="cut", y="y_true", p="y_pred", ts="valid_ts") -> DataFrame:
+    """Onsets of a key and how long before them the first forecast was issued that alarms at the onset itself.
+
+    ``keys`` name a model without its horizon. Unlike ``lead_time``, which counts any alarm valid in the hours before, a
+    forecast of horizon h can be h hours early at most.
+    """
+    ok = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    hours = ok.groupBy(*keys, ts).agg(F.max((F.col(y) >= F.col(threshold))).alias("_a"), F.max(F.when(F.col(p) >= F.col(cut), F.col(horizon))).alias("_lead"))
+    on = windowed(hours, keys, lambda f: {"_prev": f.at("_a", -1)}, ts, back=1).where(F.col("_a") & ~F.coalesce("_prev", F.lit(False)))
+    return on.groupBy(*keys).agg(F.count("*").alias("n_onset"), F.count("_lead").alias("n_warned"), F.avg("_lead").alias("mean_issue_lead_h"))
+
+
 def peak_capture(df: DataFrame, keys, q=0.99, y="y_true", p="y_pred") -> DataFrame:
     """Mean prediction over mean truth where the truth is in its top share."""
     ok = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())

@@ -89,6 +89,18 @@ def m7(t):
     return r6(M.lead_time(scored(t), KEYS))
 
 
+K3T = ["series_id", "model", "threshold"]
+
+
+@query("m7_issue_time_lead", f"""WITH {CUTS_SQL}, {TEST_SQL}, hr AS (SELECT series_id, model, threshold, valid_ts, bool_or(y_true >= threshold) AS a, max(horizon_h) FILTER (y_pred >= cut) AS lead
+      FROM test WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY ALL),
+    ons AS (SELECT h.*, p.a AS prev FROM hr h LEFT JOIN hr p ON p.series_id = h.series_id AND p.model = h.model AND p.threshold = h.threshold AND p.valid_ts = h.valid_ts - INTERVAL 1 HOUR WHERE h.a AND NOT coalesce(p.a, false))
+    SELECT series_id, model, threshold, count(*) AS n_onset, count(lead) AS n_warned, {R('avg(lead)')} AS mean_issue_lead_h FROM ons GROUP BY 1, 2, 3""")
+def m7_issue(t):
+    """How early the forecast that alarms at the onset was issued, beside the valid-time lead."""
+    return r6(M.issue_time_lead(scored(t), K3T))
+
+
 @query("m8_peak_capture", f"""WITH q AS (SELECT series_id, model, horizon_h, quantile_cont(y_true, 0.99) AS q FROM fc GROUP BY 1, 2, 3)
     SELECT series_id, model, horizon_h, count(*) AS peak_n, {R('avg(y_true)')} AS peak_true, {R('avg(y_pred)')} AS peak_pred, {R('avg(y_pred)/avg(y_true)')} AS peak_ratio
     FROM fc JOIN q USING (series_id, model, horizon_h) WHERE y_true >= q GROUP BY 1, 2, 3""")
