@@ -176,9 +176,9 @@ def spans(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
 
 def redacted(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, text): every span replaced by its kind in brackets; overlapping spans become one mark, of the first of them."""
-    keyed = stage(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "pii-texts").withColumn("_row", F.monotonically_increasing_id())
-    _, found = spans(keyed.select(F.col("_row").alias("doc_id"), "text"), **how)
-    ids = _.withColumnRenamed("doc_id", "_row")
+    keyed = stage(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id()), "pii-texts")
+    ids, found = spans(keyed.select(F.col("_row").alias("doc_id"), "text"), **how)
+    ids = ids.withColumnRenamed("doc_id", "_row")
     by = Window.partitionBy("_row").orderBy("start", F.desc("end"), "kind")
     found = found.join(ids, "row").withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("mark", F.sum(F.when(F.col("reach").isNull() | (F.col("reach") <= F.col("start")), 1).otherwise(0)).over(by))
