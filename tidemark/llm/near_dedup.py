@@ -30,6 +30,8 @@ WIDTH, SIMILARITY, KEYS, RADIUS = 5, 0.8, 8, 22
 SHARD = 2000
 #: Texts from which on the intersections of a shard are counted all at once.
 MANY = 24
+#: Rows that search their trees at once: in a family of copies each meets most of its shard.
+QUERIES = 1000
 #: Rows of shards that share one task, about.
 TASK_ROWS, SET_ROWS = 50_000, 4_000
 _SEED = np.array([xxhash.xxh3_64_intdigest(b"order", k) for k in range(KEYS)], np.uint64)
@@ -137,7 +139,7 @@ def promising(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         size, hit = np.asarray(t["n"]).astype(float), np.zeros(len(t), bool)
-        for q, node in BKForest(np.asarray(t["shard"]), np.asarray(t["fp"]).view(np.uint64)).links(radius):
+        for q, node in BKForest(np.asarray(t["shard"]), np.asarray(t["fp"]).view(np.uint64)).links(radius, QUERIES):
             close = np.minimum(size[q], size[node]) >= similarity * np.maximum(size[q], size[node])
             hit[q[close]] = hit[node[close]] = True
         return t.filter(pa.array(hit))
@@ -160,12 +162,12 @@ def compared(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
         for own in (order[a:z] for a, z in zip(cuts, cuts[1:]) if z - a >= MANY):  # large shards: intersections by products
             large[own] = True
             counts = shared_counts([sets[i] for i in own.tolist()])
-            for q, node in BKForest(shard[own], values[own]).links(radius):
+            for q, node in BKForest(shard[own], values[own]).links(radius, QUERIES):
                 both = counts[q, node]
                 hit = both >= similarity * (size[own[q]] + size[own[node]] - both) - 1e-9
                 label = merge(label, own[q[hit]], own[node[hit]])
         few = np.flatnonzero(~large)
-        for q, node in BKForest(shard[few], values[few]).links(radius):
+        for q, node in BKForest(shard[few], values[few]).links(radius, QUERIES):
             q, node = few[q], few[node]
             close = np.minimum(size[q], size[node]) >= similarity * np.maximum(size[q], size[node])
             a, b = [], []
