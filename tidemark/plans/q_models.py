@@ -879,7 +879,7 @@ D15_SQL = f"""WITH dy AS (SELECT date_trunc('day', o_orderdate) AS ts, CAST(coun
     mo AS (SELECT hold, {MOM} FROM (SELECT hold, (x1 - mu1)/sd1 AS z1, (x2 - mu2)/sd2 AS z2, y FROM fold JOIN rw ON rw.domain <> hold AND split <> 'test') GROUP BY 1),
     w AS (SELECT hold, {W1.format(b='0.5e0')} AS w1, {W2.format(b='0.5e0')} AS w2, m1, m2, my FROM mo),
     pr AS (SELECT hold, n_sources, y, my + w1*((x1 - mu1)/sd1 - m1) + w2*((x2 - mu2)/sd2 - m2) AS p FROM w JOIN fold USING (hold) JOIN rw ON rw.domain = hold AND split = 'test')
-    SELECT CAST(hold AS VARCHAR) AS domain, max(n_sources) AS n_sources, count(*) AS n, {R('1 - avg(pow(p - y, 2))/var_pop(y)', 4)} AS r2, {R('sqrt(avg(pow(p - y, 2)))', 4)} AS rmse FROM pr GROUP BY 1"""
+    SELECT CAST(hold AS VARCHAR) AS domain, max(n_sources) AS n_sources, count(*) AS n, CASE WHEN count(*) >= 10 THEN {R('1 - avg(pow(p - y, 2))/var_pop(y)', 4)} END AS r2, CASE WHEN count(*) >= 10 THEN {R('sqrt(avg(pow(p - y, 2)))', 4)} END AS rmse FROM pr GROUP BY 1"""
 
 
 @query("d15_two_driver_years", D15_SQL)
