@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
@@ -105,3 +106,53 @@ def test_rans_plain_words_have_the_library_ids():
     assert rans.model_of(path) is not None
     want = rans.library(path).encode_batch_fast(odd, add_special_tokens=False)
     assert rans.token_bytes([w.encode() for w in odd], path) == [np.array([*e.ids, rans.END], "<u4").tobytes() for e in want]
+
+
+def test_rans_looks_a_known_word_up_once():
+    path = public_tokenizers.path(rans.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    texts = ["a word, don't 日本 a WORD. x;y", "", "日本 don't a <|endoftext|> word", "façade (a) façade."]
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, rans.END], "<u4").tobytes() for x in texts]
+
+    class Counted(rans.Words):
+        looked = 0
+
+        def __contains__(self, word):
+            self.looked += 1
+            return super().__contains__(word)
+
+        def __missing__(self, word):
+            self.looked += 1
+            return super().__missing__(word)
+
+    rans._memo[path] = Counted(path)
+    try:
+        assert rans.token_bytes([x.encode() for x in texts], path) == want
+        cold = rans._memo[path].looked
+        assert rans.token_bytes([x.encode() for x in texts], path) == want
+        assert rans._memo[path].looked == cold and not rans._memo[path].later
+    finally:
+        del rans._memo[path]
+
+
+def test_rans_forgets_words_and_keeps_their_ids(monkeypatch):
+    path = public_tokenizers.path(rans.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "it's", "日本", "étude", "long" * 3, "X.", "q;r"]) + rng.choice(["", str(k), "日"]) for _ in range(20)) for k in range(60)]
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, rans.END], "<u4").tobytes() for x in texts]
+    for most in (0, 5, 40):
+        monkeypatch.setattr(rans, "MEMO", most)
+        rans._memo.pop(path, None)
+        got = [b for at in range(0, 60, 3) for b in rans.token_bytes([x.encode() for x in texts[at : at + 3]], path)]
+        assert got == want
+    rans._memo.pop(path, None)
+
+
+def test_rans_chunks_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(rans, "CHUNK_BYTES", 10)
+    texts = ["x" * 4, None, "é" * 3, "y", "z" * 50, "", "w" * 10, None]
+    parts = list(rans._chunks(pa.record_batch([pa.array(texts)], ["text"]), "text"))
+    assert [x for p in parts for x in p["text"].to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(map(len, rans.utf8(p["text"]))) <= 10 for p in parts)
+    assert list(rans._chunks(pa.record_batch([pa.array([], pa.string())], ["text"]), "text")) == []

@@ -26,8 +26,10 @@ names.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable
@@ -36,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,12 +54,13 @@ LANES = 512
 BLOCK_TOKENS = 1 << 18
 MARK_STEPS = 256
 LOW = np.uint64(1 << 31)
+SHIFT = np.uint64(32)
 #: Text of one shard, about; a shard is one sorted partition and so one file.
 SHARD_BYTES = 32 << 20
-#: Words remembered per Python worker: about 150 bytes each.
-MEMO = 1_500_000
-#: Texts that are split into words at the same time.
-TEXTS = 200
+#: Words remembered per task: about 200 bytes each.
+MEMO = 750_000
+#: Text that is split into words at the same time; a longer text is alone.
+CHUNK_BYTES = 8 << 20
 
 
 class Table:
@@ -66,14 +70,17 @@ class Table:
         self.freq, self.precision = freq.astype(np.uint64), precision
         self.start = np.cumsum(self.freq) - self.freq
         self.limit = ((LOW >> np.uint64(precision)) << np.uint64(32)) * self.freq
-        self._symbol = None
+        self.rest = np.uint64(1 << precision) - self.freq
+        self._slots = None
 
     @property
-    def symbol(self):
-        """Slot to symbol; only the decoder needs it."""
-        if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        return self._symbol
+    def slots(self):
+        """Symbol, frequency and place inside the symbol's slots, of every slot; only the decoder needs them."""
+        if self._slots is None:
+            n = self.freq.astype(np.int64)
+            symbol = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            self._slots = symbol, self.freq[symbol], np.arange(len(symbol), dtype=np.uint64) - self.start[symbol]
+        return self._slots
 
     @classmethod
     def of(cls, counts: np.ndarray) -> "Table":
@@ -95,21 +102,21 @@ class Table:
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES, mark_steps: int = MARK_STEPS):
     """(words, marks) of one block; ``marks`` are (step, place, states) for step 0, mark_steps, 2 mark_steps, …"""
-    n, k = len(ids), np.uint64(table.precision)
+    n = len(ids)
     x = np.full(lanes, LOW, np.uint64)
     emitted, marks = [], []
     steps = -(-n // lanes)
-    for step in range(steps - 1, -1, -1):
-        s = ids[step * lanes : (step + 1) * lanes]
-        own = x[: len(s)]
-        f = table.freq[s]
-        over = own >= table.limit[s]
-        emitted.append((own[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        own = np.where(over, own >> np.uint64(32), own)
-        q = own // f
-        x[: len(s)] = (q << k) + (own - q * f) + table.start[s]
-        if step % mark_steps == 0:
-            marks.append((step, len(emitted), x.copy()))
+    for first in range((steps - 1) // mark_steps * mark_steps, -1, -mark_steps):
+        part = ids[first * lanes : (first + mark_steps) * lanes]
+        freq, limit, start, rest = table.freq[part], table.limit[part], table.start[part], table.rest[part]
+        for at in range((len(part) - 1) // lanes * lanes, -1, -lanes):
+            f = freq[at : at + lanes]
+            own = x[: len(f)]
+            over = own >= limit[at : at + lanes]
+            emitted.append(own[over].astype(np.uint32))  # the low 32 bits
+            own = np.where(over, own >> SHIFT, own)
+            x[: len(f)] = own + own // f * rest[at : at + lanes] + start[at : at + lanes]  # (q << precision) + (own - q * f) + start
+        marks.append((first, len(emitted), x.copy()))
     emitted.reverse()
     sizes = np.cumsum([0, *map(len, emitted)])
     words = np.concatenate(emitted) if emitted else np.zeros(0, np.uint32)
@@ -121,22 +128,22 @@ def decode_part(words: np.ndarray, mark, table: Table, first: int, last: int, n:
     _, place, states = mark
     x, k = states.copy(), np.uint64(table.precision)
     low = np.uint64((1 << table.precision) - 1)
-    out = np.empty(min(n, last * lanes) - first * lanes, np.uint32)
+    symbol, freq, place_in = table.slots
+    slots = np.empty(min(n, last * lanes) - first * lanes, np.uint32)
     at = 0
     for step in range(first, last):
         size = min(lanes, n - step * lanes)
         own = x[:size]
-        slot = own & low
-        s = table.symbol[slot]
-        out[at : at + size] = s
+        slot = (own & low).view(np.int64)
+        slots[at : at + size] = slot
         at += size
-        own = table.freq[s] * (own >> k) + slot - table.start[s]
+        own = freq.take(slot) * (own >> k) + place_in.take(slot)
         under = own < LOW
-        more = int(under.sum())
-        own[under] = (own[under] << np.uint64(32)) | words[place : place + more]
+        more = np.count_nonzero(under)
+        own[under] = (own[under] << SHIFT) | words[place : place + more]
         place += more
         x[:size] = own
-    return out
+    return symbol[slots]
 
 
 def decode(words: np.ndarray, marks: list, table: Table, n: int, lanes: int = LANES) -> np.ndarray:
@@ -152,71 +159,124 @@ def crc(ids: np.ndarray) -> int:
 
 # -- tokens -------------------------------------------------------------------------------------------------------------
 
-_memo: dict[str, dict[bytes, bytes]] = {}
 #: Marks that compose with a Latin letter are in U+0300 to U+036F; with them, case must stay as it is before composition.
 _COMBINING = (b"\xcc", b"\xcd")
 #: A stop after an ASCII letter or digit is a piece of its own: words with and without it are one word then.
-_STOPS = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \t-\r]|\Z)")
+_STOPS = re.compile(rb"[.,](?=[ \t-\r]|\Z)(?<=[0-9A-Za-z][.,])")
 
 
 #: Runs into which the vocabulary splits words of lower-case Latin letters, digits and ASCII signs without apostrophes.
 _RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff0-9!-&(-/:-@\\[-`{-~]+")
 #: Characters that stand for the bytes of a piece: bytes without a printable Latin-1 character have one from 256 on, in order.
-_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_EXTRA = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = "".join(chr(256 + _EXTRA.index(b) if b in _EXTRA else b) for b in range(256))
 
 
-@lru_cache
-def model_of(path: str) -> Callable | None:
-    """The vocabulary's model without the steps around it, if runs through it have the library's ids on a few words that show these steps."""
+def _run_ids(path: str) -> Callable[[str], list[int]]:
+    """Ids of a plain word by the vocabulary's model alone."""
     tokenise = library(path).model.tokenize
 
     def ids(word: str) -> list[int]:
-        return [t.id for run in _RUNS.findall(word) for t in tokenise(run.encode().decode("latin-1").translate(_SHOWN))]
+        runs = [word] if word.isalpha() else _RUNS.findall(word)
+        if not word.isascii():
+            runs = [codecs.charmap_decode(run.encode(), "strict", _SHOWN)[0] for run in runs]
+        return [t.id for run in runs for t in tokenise(run)]
 
+    return ids
+
+
+@lru_cache
+def model_of(path: str) -> Callable | None:
+    """The vocabulary's model without the steps around it, if runs through it have the library's ids on a few words that show these steps."""
+    ids = _run_ids(path)
     probes = ["the", "unbelievable", "fa\u00e7ade", "wei\u00df!!", "a1b22.###", "x|y_z", "\u00e0\u00ed"]
     same = all(ids(w) == e.ids for w, e in zip(probes, library(path).encode_batch_fast(probes, add_special_tokens=False)))
     return ids if same else None
 
 
-def _plain(word: bytes, memo: dict, path: str, added: list[bytes]) -> bool:
-    """Encodes a word by the model alone, where its runs are known: about four times as fast as a call of the library for it."""
-    ids, text = model_of(path), word.decode("utf-8", "replace").lower()
-    if ids is None or not _PLAIN.fullmatch(text) or any(m in word.lower() for m in added):
-        return False
-    memo[word] = np.array(ids(text), "<u4").tobytes()
-    return True
+class Words(dict):
+    """Ids of words, as little-endian 32-bit numbers.
+
+    A plain word is encoded when it is first looked up, by the model alone: several times as fast as a call of the library for it.
+    Other new words give nothing and are noted in ``later``; the library encodes them together.
+    """
+
+    def __init__(self, path: str):
+        super().__init__({b"": b""})
+        self.path, self.model, self.later = path, model_of(path), []
+        self.added = [s.encode().lower() for s in special_tokens(path)]
+        self.special = re.compile(b"|".join(map(re.escape, self.added)) if self.added else b"(?!)", re.IGNORECASE).search
+
+    def __missing__(self, word: bytes) -> bytes:
+        if self.model is not None and not self.special(word):
+            text = word.decode("utf-8", "replace").lower()
+            if _PLAIN.fullmatch(text):
+                ids = self.model(text)
+                self[word] = made = struct.pack(f"<{len(ids)}I", *ids)
+                return made
+        self.later.append(word)
+        return b""
+
+    def cleaned(self, text: bytes) -> bytes:
+        """The text with words as they are looked up, between white space."""
+        low = text.lower()
+        if any(m in low for m in self.added):  # the library finds added tokens before it changes case
+            low = b" ".join(w if self.special(w) or any(m in w for m in _COMBINING) else w.lower() for w in text.split())
+        elif any(m in text for m in _COMBINING):
+            low = text
+        return _STOPS.sub(rb" \g<0>", low)
+
+    def settle(self) -> None:
+        """The library's ids for the words in ``later``."""
+        new, self.later = list(set(self.later)), []
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found = library(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+
+    def forget(self) -> None:
+        """Keeps the short words: long ones are the rare ones."""
+        kept = {w: i for w, i in self.items() if len(w) <= 7}
+        self.clear()
+        self.update(kept if len(kept) <= MEMO // 2 else {b"": b""})
+
+
+_memo: dict[str, Words] = {}
 
 
 def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 32-bit numbers.
 
-    The vocabulary drops white space and never lets a piece cross it, so a text is the sequence of its words; words are
-    encoded by the library once per worker while its memory of words lasts.
+    The vocabulary drops white space and never lets a piece cross it, so a text is the sequence of its words. Each distinct
+    word of ``texts`` is looked up once, and encoded once per task while its memory of words lasts.
     """
-    memo = _memo.setdefault(path, {})
-    added = [s.encode().lower() for s in special_tokens(path)]
-    split = []
-    for t in texts:
-        low = t.lower()
-        if any(m in low for m in added):  # the library finds added tokens before it changes case
-            t = b" ".join(w if any(m in w.lower() for m in added) or any(m in w for m in _COMBINING) else w.lower() for w in t.split())
-        else:
-            t = t if any(m in t for m in _COMBINING) else low
-        split.append(_STOPS.sub(rb" \1", t).split())
-    new = list({w for words in split for w in words if w not in memo})
-    if len(memo) + len(new) > MEMO:  # long words are the rare ones
-        kept = {w: i for w, i in memo.items() if len(w) <= 7}
-        memo.clear()
-        memo.update(kept if len(kept) <= MEMO // 2 else {})
-        new = list({w for words in split for w in words if w not in memo})
-    new = [w for w in new if not _plain(w, memo, path, added)]
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        found = library(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-    last = end.to_bytes(4, "little")
-    return [b"".join(map(memo.__getitem__, words)) + last for words in split]
+    if path not in _memo:
+        _memo[path] = Words(path)
+    memo, last = _memo[path], end.to_bytes(4, "little")
+    if len(memo) > MEMO:
+        memo.forget()
+    # Arrow's white space is that of bytes.split; blanks at the ends of a text make empty words, which have no ids.
+    split = pc.ascii_split_whitespace(pa.array([memo.cleaned(t) for t in texts], pa.large_binary()).view(pa.large_string()))
+    words = split.flatten().dictionary_encode()
+    distinct = words.dictionary.view(pa.large_binary()).to_pylist()
+    found = [memo[w] for w in distinct]
+    if memo.later:
+        memo.settle()
+        found = [memo[w] for w in distinct]
+    ids = pa.array(found, pa.large_binary()).take(words.indices)
+    bounds = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+    data = memoryview(ids.buffers()[2] or b"")
+    return [bytes(data[i:j]) + last for i, j in zip(bounds, bounds[1:])]
+
+
+def _chunks(batch: pa.RecordBatch, column: str):
+    """Slices of a batch with ``CHUNK_BYTES`` of the column each, or one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _packed(ids: bytes) -> bytes:
@@ -244,13 +304,13 @@ def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], s
     def run(batches):
         shard, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
+            for part in _chunks(b, "text"):
                 ids = tokenise(utf8(part["text"]))
                 n = len(ids)
                 yield pa.record_batch([pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(seq, seq + n)), part["doc_id"].cast(pa.int64()),
                                        pa.array([_packed(x) for x in ids], pa.binary())], ["shard", "seq", "doc_id", "ids"])
                 seq += n
+        _memo.clear()  # idle workers hold no words
 
     return stage(ordered.mapInArrow(run, "shard INT, seq LONG, doc_id LONG, ids BINARY"), "rans-ids")
 
