@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from tidemark.llm import distinct_bpe, rans
 
@@ -156,3 +158,54 @@ def test_rans_chunks_hold_every_row_once(monkeypatch):
     assert [x for p in parts for x in p["text"].to_pylist()] == texts
     assert all(p.num_rows == 1 or sum(map(len, rans.utf8(p["text"]))) <= 10 for p in parts)
     assert list(rans._chunks(pa.record_batch([pa.array([], pa.string())], ["text"]), "text")) == []
+
+
+def test_rans_encodes_each_new_run_once_and_many_at_a_time(monkeypatch):
+    path = public_tokenizers.path(rans.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("abcdeßéñ") for _ in range(8)) for _ in range(1500)]
+    texts = [" ".join(rng.choice(stems).upper() + rng.choice(["", "", ".", ",", "..", "%%%", "&c"]) for _ in range(300)) + " it's 日本." for _ in range(20)]
+    calls, encode = [], rans._encode_runs
+    monkeypatch.setattr(rans, "_encode_runs", lambda p, runs: calls.append(runs) or encode(p, runs))
+    rans._memo.pop(path, None)
+    rans.model_of(path)
+    calls.clear()
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, rans.END], "<u4").tobytes() for x in texts]
+    assert rans.token_bytes([x.encode() for x in texts], path) == want
+    runs = [r for part in calls for r in part]
+    assert len(runs) == len(set(runs)) > 1000 and len(calls) == -(-len(runs) // 1000)
+    calls.clear()
+    assert rans.token_bytes([x.encode() for x in reversed(texts)], path) == want[::-1] and not calls
+    rans._memo.pop(path, None)
+
+
+def test_rans_counts_ids_of_runs_without_an_end_piece(tmp_path):
+    file = f"{tmp_path}/small.json"
+    vocabulary = {p: i for i, p in enumerate(["a", "b", "c", "ab", "c</w>", "a</w>", "bc</w>"])}  # b has no piece that ends a run
+    Tokenizer(BPE(vocab=vocabulary, merges=[("a", "b"), ("b", "c</w>")], end_of_word_suffix="</w>")).save(file)
+    runs = ["abc", "ab", "b", "bc", "a", "aab", "cab"]
+    for part in (runs, ["abc", "bc", "a"], ["b"]):
+        ids, lens = rans._encode_runs(file, part)
+        want = [[t.id for t in rans.library(file).model.tokenize(r)] for r in part]
+        assert lens.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_rans_keeps_the_words_that_come_again(monkeypatch):
+    path = public_tokenizers.path(rans.VOCABULARY)
+    monkeypatch.setattr(rans, "MEMO", 8)
+    rans._memo.pop(path, None)
+    for text in (b"often once", b"often rare some", b"often more than eight words in all", b"often"):
+        rans.token_bytes([text], path)
+    kept = rans._memo.pop(path).words.to_pylist()
+    assert kept == [b"", b"often"]
+
+
+def test_rans_parts_stops_from_words():
+    texts = ["a. b, c.. d., e,. f.", "1, 2. é. é, x.y z,\tq.\n#. ,", ". , a", "a,b.c", "", "e.\x0bf,\x0cg.\rh,"]
+    path = public_tokenizers.path(rans.VOCABULARY)
+    words = rans.Words(path)
+    want = [re.sub(rb"[.,](?=[ \t-\r]|\Z)(?<=[0-9A-Za-z][.,])", rb" \g<0>", x.encode()) for x in texts]
+    assert [words.cleaned(x.encode()) for x in texts] == want
+    t = Tokenizer.from_file(path)
+    assert rans.token_bytes([x.encode() for x in texts], path) == [np.array([*t.encode(x, add_special_tokens=False).ids, rans.END], "<u4").tobytes() for x in texts]

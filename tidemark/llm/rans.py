@@ -29,7 +29,6 @@ from __future__ import annotations
 import codecs
 import math
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Callable
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoint_dir
-from .common import pack, stage, unpack, utf8
+from .common import pack, ragged, stage, unpack, utf8
 from .distinct_bpe import library, special_tokens
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,7 +56,7 @@ LOW = np.uint64(1 << 31)
 SHIFT = np.uint64(32)
 #: Text of one shard, about; a shard is one sorted partition and so one file.
 SHARD_BYTES = 32 << 20
-#: Words remembered per task: about 200 bytes each.
+#: Words remembered per worker: about 50 bytes each.
 MEMO = 750_000
 #: Text that is split into words at the same time; a longer text is alone.
 CHUNK_BYTES = 8 << 20
@@ -137,7 +136,7 @@ def decode_part(words: np.ndarray, mark, table: Table, first: int, last: int, n:
         slot = (own & low).view(np.int64)
         slots[at : at + size] = slot
         at += size
-        own = freq.take(slot) * (own >> k) + place_in.take(slot)
+        own = freq[slot] * (own >> k) + place_in[slot]
         under = own < LOW
         more = np.count_nonzero(under)
         own[under] = (own[under] << SHIFT) | words[place : place + more]
@@ -162,7 +161,7 @@ def crc(ids: np.ndarray) -> int:
 #: Marks that compose with a Latin letter are in U+0300 to U+036F; with them, case must stay as it is before composition.
 _COMBINING = (b"\xcc", b"\xcd")
 #: A stop after an ASCII letter or digit is a piece of its own: words with and without it are one word then.
-_STOPS = re.compile(rb"[.,](?=[ \t-\r]|\Z)(?<=[0-9A-Za-z][.,])")
+_STOPS = [(re.compile(mark + rb"(?=[ \t-\r]|\Z)(?<=[0-9A-Za-z]" + mark + rb")"), b" " + stop) for stop, mark in ((b".", rb"\."), (b",", b","))]
 
 
 #: Runs into which the vocabulary splits words of lower-case Latin letters, digits and ASCII signs without apostrophes.
@@ -173,15 +172,55 @@ _EXTRA = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174
 _SHOWN = "".join(chr(256 + _EXTRA.index(b) if b in _EXTRA else b) for b in range(256))
 
 
-def _run_ids(path: str) -> Callable[[str], list[int]]:
-    """Ids of a plain word by the vocabulary's model alone."""
-    tokenise = library(path).model.tokenize
-
-    def ids(word: str) -> list[int]:
-        runs = [word] if word.isalpha() else _RUNS.findall(word)
-        if not word.isascii():
-            runs = [codecs.charmap_decode(run.encode(), "strict", _SHOWN)[0] for run in runs]
-        return [t.id for run in runs for t in tokenise(run)]
+@lru_cache
+def _bare(path: str):
+    """The vocabulary's model alone, over text that is cut at blanks; and which ids end a run."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    model = library(path).model
+    made = Tokenizer(model)
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    vocabulary, suffix = made.get_vocab(), model.end_of_word_suffix
+    last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+    last[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+    return made, last
+
+
+def _encode_runs(path: str, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of runs in order, and each run's number of ids."""
+    model, last = _bare(path)
+    text = " ".join(runs)
+    if not text.isascii():
+        text = codecs.charmap_decode(text.encode(), "strict", _SHOWN)[0].replace(_SHOWN[32], " ")
+    ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    ends = np.flatnonzero(last[ids]) + 1
+    if len(ends) == len(runs) and ends[-1] == len(ids):
+        return ids, np.diff(ends, prepend=0)
+    found = model.encode(text, add_special_tokens=False)  # a run may have no id that ends it; this call numbers the runs, in more time
+    return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(runs))
+
+
+def _run_ids(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of plain words by the vocabulary's model alone: all of them in order, and each word's number of ids."""
+
+    def ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
+        for word in words:
+            if word.isalpha():
+                flat.append(word)
+                sizes.append(1)
+            else:
+                own = _RUNS.findall(word)
+                flat += own
+                sizes.append(len(own))
+        runs = pa.array(flat, pa.large_string()).dictionary_encode()  # each distinct run is encoded once
+        distinct = runs.dictionary.to_pylist()
+        made = [_encode_runs(path, distinct[at : at + 1000]) for at in range(0, len(distinct), 1000)]
+        found, lens = (np.concatenate(x) for x in zip(*made))
+        of = runs.indices.to_numpy()
+        starts, counts = (np.cumsum(lens) - lens)[of], lens[of]
+        ends = np.cumsum(counts)[np.cumsum(sizes) - 1]
+        return found[ragged(starts, counts)], np.diff(ends, prepend=0)
 
     return ids
 
@@ -191,33 +230,25 @@ def model_of(path: str) -> Callable | None:
     """The vocabulary's model without the steps around it, if runs through it have the library's ids on a few words that show these steps."""
     ids = _run_ids(path)
     probes = ["the", "unbelievable", "fa\u00e7ade", "wei\u00df!!", "a1b22.###", "x|y_z", "\u00e0\u00ed"]
-    same = all(ids(w) == e.ids for w, e in zip(probes, library(path).encode_batch_fast(probes, add_special_tokens=False)))
-    return ids if same else None
+    found, lens = ids(probes)
+    want = [e.ids for e in library(path).encode_batch_fast(probes, add_special_tokens=False)]
+    return ids if lens.tolist() == [len(x) for x in want] and found.tolist() == sum(want, []) else None
 
 
-class Words(dict):
-    """Ids of words, as little-endian 32-bit numbers.
+class Words:
+    """Ids of the words met so far, as little-endian 32-bit numbers: two Arrow columns, compact enough to outlive a task.
 
-    A plain word is encoded when it is first looked up, by the model alone: several times as fast as a call of the library for it.
-    Other new words give nothing and are noted in ``later``; the library encodes them together.
+    New plain words are encoded by the model alone, many at a time: several times as fast as a call of the library for each.
+    Other new words are noted in ``later``; the library encodes them.
     """
 
     def __init__(self, path: str):
-        super().__init__({b"": b""})
         self.path, self.model, self.later = path, model_of(path), []
+        self.words = self.ids = pa.array([b""], pa.large_binary())
+        self.met = np.ones(1, np.int64)
         self.added = [s.encode().lower() for s in special_tokens(path)]
         self.special = re.compile(b"|".join(map(re.escape, self.added)) if self.added else b"(?!)", re.IGNORECASE).search
 
-    def __missing__(self, word: bytes) -> bytes:
-        if self.model is not None and not self.special(word):
-            text = word.decode("utf-8", "replace").lower()
-            if _PLAIN.fullmatch(text):
-                ids = self.model(text)
-                self[word] = made = struct.pack(f"<{len(ids)}I", *ids)
-                return made
-        self.later.append(word)
-        return b""
-
     def cleaned(self, text: bytes) -> bytes:
         """The text with words as they are looked up, between white space."""
         low = text.lower()
@@ -225,21 +256,54 @@ class Words(dict):
             low = b" ".join(w if self.special(w) or any(m in w for m in _COMBINING) else w.lower() for w in text.split())
         elif any(m in text for m in _COMBINING):
             low = text
-        return _STOPS.sub(rb" \g<0>", low)
-
-    def settle(self) -> None:
+        for pattern, apart in _STOPS:
+            low = pattern.sub(apart, low)
+        return low
+
+    def look_up(self, words: pa.Array) -> pa.Array:
+        """The ids of each of the distinct ``words``."""
+        if len(self.words) > MEMO:
+            self.forget()
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[at[at >= 0]] += 1
+        if len(new):
+            at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            self.ids = pa.concat_arrays([self.ids, self.encoded(new.to_pylist())])
+            self.words = pa.concat_arrays([self.words, new])
+            self.met = np.concatenate([self.met, np.ones(len(new), np.int64)])
+        return self.ids.take(pa.array(at))
+
+    def encoded(self, words: list[bytes]) -> pa.Array:
+        blob = b"\n".join(words)
+        texts = blob.decode("utf-8", "replace").lower().split("\n") if words else []
+        plain = [self.model is not None and _PLAIN.fullmatch(t) is not None for t in texts]
+        if self.special(blob):
+            plain = [p and not self.special(w) for p, w in zip(plain, words)]
+        self.later = [w for p, w in zip(plain, words) if not p]
+        made = [self.settle()]
+        if any(plain):
+            ids, lens = self.model([t for p, t in zip(plain, texts) if p])
+            ends = np.concatenate([[0], np.cumsum(4 * lens)]).astype(np.int64)
+            made.append(pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]))
+        order = np.empty(len(words), np.int64)
+        order[np.argsort(plain, kind="stable")] = np.arange(len(words))  # the library's words are first
+        return pa.concat_arrays(made).take(pa.array(order))
+
+    def settle(self) -> pa.Array:
         """The library's ids for the words in ``later``."""
-        new, self.later = list(set(self.later)), []
+        new, self.later, out = self.later, [], []
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = library(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            part = [w.decode("utf-8", "replace") for w in new[at : at + 20_000]]
+            out += [np.array(e.ids, "<u4").tobytes() for e in library(self.path).encode_batch_fast(part, add_special_tokens=False)]
+        return pa.array(out, pa.large_binary())
 
     def forget(self) -> None:
-        """Keeps the short words: long ones are the rare ones."""
-        kept = {w: i for w, i in self.items() if len(w) <= 7}
-        self.clear()
-        self.update(kept if len(kept) <= MEMO // 2 else {b"": b""})
+        """Keeps the words that several chunks had; the others are the rare ones."""
+        kept = np.flatnonzero(self.met > 1)
+        kept = np.union1d(kept if len(kept) <= MEMO // 2 else [], [0]).astype(np.int64)  # the first is the empty word
+        self.words, self.ids, self.met = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), np.ones(len(kept), np.int64)
 
 
 _memo: dict[str, Words] = {}
@@ -249,22 +313,15 @@ def token_bytes(texts: list[bytes], path: str, end: int = END) -> list[bytes]:
     """Ids of each text and the end id, as little-endian 32-bit numbers.
 
     The vocabulary drops white space and never lets a piece cross it, so a text is the sequence of its words. Each distinct
-    word of ``texts`` is looked up once, and encoded once per task while its memory of words lasts.
+    word of ``texts`` is looked up once, and encoded once per worker while its memory of words lasts.
     """
     if path not in _memo:
         _memo[path] = Words(path)
     memo, last = _memo[path], end.to_bytes(4, "little")
-    if len(memo) > MEMO:
-        memo.forget()
     # Arrow's white space is that of bytes.split; blanks at the ends of a text make empty words, which have no ids.
     split = pc.ascii_split_whitespace(pa.array([memo.cleaned(t) for t in texts], pa.large_binary()).view(pa.large_string()))
     words = split.flatten().dictionary_encode()
-    distinct = words.dictionary.view(pa.large_binary()).to_pylist()
-    found = [memo[w] for w in distinct]
-    if memo.later:
-        memo.settle()
-        found = [memo[w] for w in distinct]
-    ids = pa.array(found, pa.large_binary()).take(words.indices)
+    ids = memo.look_up(words.dictionary.view(pa.large_binary())).take(words.indices)
     bounds = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
     data = memoryview(ids.buffers()[2] or b"")
     return [bytes(data[i:j]) + last for i, j in zip(bounds, bounds[1:])]
@@ -310,7 +367,6 @@ def tokenised(docs: DataFrame, tokenise: Callable[[list[bytes]], list[bytes]], s
                 yield pa.record_batch([pa.array(np.full(n, shard), pa.int32()), pa.array(np.arange(seq, seq + n)), part["doc_id"].cast(pa.int64()),
                                        pa.array([_packed(x) for x in ids], pa.binary())], ["shard", "seq", "doc_id", "ids"])
                 seq += n
-        _memo.clear()  # idle workers hold no words
 
     return stage(ordered.mapInArrow(run, "shard INT, seq LONG, doc_id LONG, ids BINARY"), "rans-ids")
 
@@ -324,7 +380,8 @@ def shared_table(ids: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.concatenate([_unpacked(x) for x in b["ids"].to_pylist()] or [np.zeros(0, np.int64)]), minlength=len(total))
+            own = np.concatenate([_unpacked(x) for x in b["ids"].to_pylist()] or [np.zeros(0, np.int64)])
+            n = np.bincount(own.astype(np.int64), minlength=len(total))  # bincount's own cast is several times as slow
             n[: len(total)] += total
             total = n
         used = np.flatnonzero(total)
